@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, quality_cnn, secret_scan, substring_words, suffix_array
+from . import bagminhash, decontaminate, embedding_lsh, lang_id, mixing, quality_cnn, secret_scan, substring_words, suffix_array, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,21 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "doc_id")
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "class_size")
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +70,16 @@ def op6_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_words.repeated_words_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
