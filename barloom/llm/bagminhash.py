@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import batches, cut, keyed
+from .common import batches, cut, keyed, row_id
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -140,10 +140,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     verified against the least node of its bucket, and, where that leaves a bucket in
     several components, against all members of its other components, so no link between
     different texts of a bucket is lost while a bucket of copies costs one test a member.
-    class_id is the least doc_id of a connected class, and its document is kept (of
-    repeated ids and rows all that share it). Null texts are empty; texts without words are
-    one class if equal and link with nothing else. A null doc_id is larger than all ids; a
-    class of null ids only has a null class_id and keeps its rows.
+    class_id is the least doc_id of a connected class, and its document is kept; rows that
+    repeat both id and text of it are kept, too. Null texts are empty; texts without words
+    are one class if equal and link with nothing else. A null doc_id is larger than all
+    ids; a class of null ids only has a null class_id.
     """
     rows = keyed(docs, doc_id, text).withColumn("node", F.xxhash64("text"))
     signed = cut(rows.mapInArrow(_sign, "doc_id long, rid long, node long, n long, bands array<long>"))
@@ -173,6 +173,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not extra.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
     classed = signed.select("doc_id", "rid", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
+    least = classed.groupBy("component").agg(first, F.count(F.lit(1)).alias("class_size"))
     out = classed.join(least, "component")
-    return out.select("doc_id", "rid", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "class_size")
+    return out.select("doc_id", "rid", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("kept"), "class_size")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that :func:`near_duplicates` keeps, with all their columns; of repeated rows one stays."""
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, similarity=similarity).where("kept").select(F.col("rid").alias("__rid")).distinct()
+    return docs.withColumn("__rid", row_id(doc_id, text)).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")

@@ -1,9 +1,12 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage.
 
 Impacts are divided by the score that an item has for its own text, so one
-threshold serves all items. Upper bounds from block maxima discard passages in
-vectors; block-max WAND retrieves every item above the threshold for the rest,
-and word shingles of the item's question and answer verify it.
+threshold serves all items. Block-max WAND runs for a batch of passages at once:
+the lists of frequent words are never walked, they only add their maxima to what
+the rare words' lists give; an item is a pivot where that sum reaches the
+threshold, stays one where the maxima of its block do, and is then scored in
+full. So every item above the threshold is found. Word shingles of the item's
+question and answer verify it.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ OVERLAP = 0.8
 #: Share of an item's own BM25 score that a passage must reach.
 SCORE = 0.5
 K1, B = 1.2, 0.75
-PASSAGE_WORDS = 256
-BLOCK = 16
+PASSAGE_WORDS = 128
+BLOCK = 8
 #: Bytes of item text that one index holds; a larger benchmark is split over several.
 INDEX_BYTES = 32 << 20
 _STEP_BYTES = 2 << 20
@@ -65,9 +68,14 @@ class Index:
     begin: np.ndarray
     item: np.ndarray
     impact: np.ndarray
-    #: the most a word adds to any item, and to the items of each block of its postings
+    #: the most a word adds to any item
     most: np.ndarray
-    block_most: list[np.ndarray]
+    #: row of a frequent word in ``block_most`` (words, blocks of items); -1 for rare words
+    frequent: np.ndarray
+    block_most: np.ndarray
+    #: words and impacts of each item
+    own_words: list[np.ndarray]
+    own_impacts: list[np.ndarray]
     whole: list[tuple[int, np.ndarray]]
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
@@ -90,48 +98,58 @@ def build(items: list[tuple[int | None, str]]) -> Index:
     impact = impact / np.bincount(item, weights=impact, minlength=len(own))[item]
     begin = np.append(0, np.cumsum(df))
     most = np.maximum.reduceat(impact, begin[:-1]) if len(impact) else impact
-    blocks = [np.maximum.reduceat(impact[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    is_frequent = df > max(10, len(own) // 10)
+    frequent = np.where(is_frequent, np.cumsum(is_frequent) - 1, -1)
+    block_most = np.zeros((int(is_frequent.sum()), -(-len(own) // BLOCK)))
+    listed = frequent[word] >= 0
+    np.maximum.at(block_most, (frequent[word[listed]], item[listed] // BLOCK), impact[listed])
+    by_item = np.argsort(item, kind="stable")
+    cuts = np.cumsum(np.bincount(item, minlength=len(own)))[:-1]
     parts = [question_and_answer(items[i][1]) for i in keep]
     sides = []
     for k in (0, 1):
         h, f = tokens(pa.array([p[k] for p in parts], pa.string()))
         sides.append([_shingles(h[f[i] : f[i + 1]]) for i in range(len(parts))])
-    return Index(ids, words, begin, item, impact, most, blocks, [_shingles(w) for w in own], *sides, int(size.max()) if own else 0)
-
-
-def wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
-    """Every item whose score for the query's distinct words reaches the threshold, with the score."""
-    lists = [[int(index.begin[w]), int(index.begin[w + 1]), w] for w in query]
+    return Index(ids, words, begin, item, impact, most, frequent, block_most, np.split(word[by_item], cuts), np.split(impact[by_item], cuts), [_shingles(w) for w in own], *sides, int(size.max()) if own else 0)
+
+
+def wand(index: Index, passage: np.ndarray, word: np.ndarray, passages: int, threshold: float) -> list[tuple[int, int, float]]:
+    """Every (passage, item, score) at or above the threshold; the input is each passage's distinct words, sorted by passage."""
+    floor = threshold - 1e-9
+    often = index.frequent[word] >= 0
+    rest = np.bincount(passage[often], index.most[word[often]], passages)  # list maxima of frequent words
+    rare, of = word[~often], passage[~often]
+    size = index.begin[rare + 1] - index.begin[rare]
+    posting = ts.ranges(index.begin[rare], size)
+    items = len(index.ids)
+    key = np.repeat(of, size) * items + index.item[posting]
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    score = np.add.reduceat(index.impact[posting][order], at) if len(at) else np.zeros(0)
+    pivot = key[order][at]
+    keep = score + rest[pivot // items] >= floor
+    pivot, score = pivot[keep], score[keep]
+    # passages whose frequent words could do it alone: all other items are pivots, too
+    alone = np.flatnonzero(rest >= floor)
+    if len(alone):
+        every = np.setdiff1d((alone[:, None] * items + np.arange(items)).ravel(), pivot)
+        pivot, score = np.concatenate([pivot, every]), np.concatenate([score, np.zeros(len(every))])
+    # the maxima of the pivot's block, over the frequent words of its passage
+    listed, row = passage[often], index.frequent[word[often]]
+    first = np.searchsorted(listed, np.arange(passages + 1))
+    for chunk in range(0, len(pivot), 50_000):
+        own = slice(chunk, chunk + 50_000)
+        n = np.diff(first)[pivot[own] // items]
+        bound = index.block_most[row[ts.ranges(first[pivot[own] // items], n)], np.repeat(pivot[own] % items // BLOCK, n)]
+        score[own] += np.bincount(np.repeat(np.arange(len(n)), n), bound, len(n))
+    pivot = pivot[score >= floor]
+    lo, hi = np.searchsorted(passage, pivot // items), np.searchsorted(passage, pivot // items, side="right")
     found = []
-    while True:
-        lists = [x for x in lists if x[0] < x[1]]
-        lists.sort(key=lambda x: index.item[x[0]])
-        bound, pivot = 0.0, None
-        for k, x in enumerate(lists):
-            bound += index.most[x[2]]
-            if bound >= threshold - 1e-12:
-                pivot = k
-                break
-        if pivot is None:
-            return found
-        at = index.item[lists[pivot][0]]
-        while pivot + 1 < len(lists) and index.item[lists[pivot + 1][0]] == at:
-            pivot += 1
-        blocks = 0.0
-        for x in lists[: pivot + 1]:  # shallow: the block that would hold the pivot
-            p = x[0] + int(np.searchsorted(index.item[x[0] : x[1]], at))
-            if p < x[1]:
-                blocks += index.block_most[x[2]][(p - int(index.begin[x[2]])) // BLOCK]
-        if blocks >= threshold - 1e-12 and index.item[lists[0][0]] == at:
-            score = sum(float(index.impact[x[0]]) for x in lists[: pivot + 1])
-            if score >= threshold - 1e-12:
-                found.append((int(at), score))
-            for x in lists[: pivot + 1]:
-                x[0] += 1
-        else:
-            target = at + 1 if blocks < threshold - 1e-12 else at
-            for x in lists[: pivot + 1]:
-                x[0] += int(np.searchsorted(index.item[x[0] : x[1]], target))
+    for p, a, b in zip(pivot.tolist(), lo, hi, strict=True):
+        full = float(index.own_impacts[p % items][np.isin(index.own_words[p % items], word[a:b], assume_unique=True)].sum())
+        if full >= floor:
+            found.append((p // items, p % items, full))
+    return sorted(found)
 
 
 def _share(wanted: tuple[int, np.ndarray], have: dict[int, np.ndarray]) -> float:
@@ -154,24 +172,21 @@ def search(index: Index, texts: pa.Array, overlap: float = OVERLAP, threshold: f
     stop = np.minimum(start + size, first[of + 1])
     where = np.minimum(np.searchsorted(index.words, hashes), len(index.words) - 1)
     known = index.words[where] == hashes
-    bound = np.append(0, np.cumsum(np.where(known, index.most[where], 0.0)))
+    at = ts.ranges(start, stop - start)
+    passage = np.repeat(np.arange(len(start)), stop - start)[known[at]]
+    pair = np.unique(passage * len(index.words) + where[at[known[at]]])
     best: dict[tuple[int, int], dict] = {}
-    for p in np.flatnonzero(bound[stop] - bound[start] >= threshold - 1e-9):
-        a, b = start[p], stop[p]
-        query = np.unique(where[a:b][known[a:b]])
-        if index.most[query].sum() < threshold - 1e-9:
+    have: dict[int, dict[int, np.ndarray]] = {}
+    for p, item, score in wand(index, pair // len(index.words), pair % len(index.words), len(start), threshold):
+        if p not in have:
+            have = {p: {k: np.unique(ts.sequence_hashes(hashes[start[p] : stop[p]], k)) for k in range(1, SHINGLE_WORDS + 1)}}
+        whole = _share(index.whole[item], have[p])
+        if whole < overlap:
             continue
-        have = None
-        for item, score in wand(index, query.tolist(), threshold):
-            if have is None:
-                have = {k: np.unique(ts.sequence_hashes(hashes[a:b], k)) for k in range(1, SHINGLE_WORDS + 1)}
-            whole = _share(index.whole[item], have)
-            if whole < overlap:
-                continue
-            hit = best.setdefault((int(of[p]), item), {"item_id": index.ids[item], "score": 0.0, "overlap": 0.0, "question_overlap": 0.0, "answer_overlap": 0.0, "passages": 0})
-            hit["passages"] += 1
-            for name, value in (("score", score), ("overlap", whole), ("question_overlap", _share(index.question[item], have)), ("answer_overlap", _share(index.answer[item], have))):
-                hit[name] = max(hit[name], value)
+        hit = best.setdefault((int(of[p]), item), {"item_id": index.ids[item], "score": 0.0, "overlap": 0.0, "question_overlap": 0.0, "answer_overlap": 0.0, "passages": 0})
+        hit["passages"] += 1
+        for name, value in (("score", score), ("overlap", whole), ("question_overlap", _share(index.question[item], have[p])), ("answer_overlap", _share(index.answer[item], have[p]))):
+            hit[name] = max(hit[name], value)
     for (text, _), hit in sorted(best.items(), key=lambda x: x[0]):
         out[text].append(hit)
     return out
