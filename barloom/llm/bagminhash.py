@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import batches, cut, keyed, row_id
-from .components import components
+from .common import batches, cut, keyed, row_id, source_partitions
+from .components import components, spanning_forest
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 4 registers: a pair at similarity 0.8 shares no band with probability 3e-6.
 BANDS = 24
 ROWS = 4
+#: Documents a side that one comparison of blocks takes.
+BLOCK = 256
 _STEP_BYTES = 2 << 20
 _TICKS = float(2**36)
 _NEVER = np.int64(2**62)
@@ -133,13 +135,70 @@ def _verify(threshold: float):
     return verify
 
 
+def overlaps(hashes: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact weighted Jaccard similarities of texts ``left`` with texts ``right``, as a matrix."""
+    if len(left) * len(right) <= 16:
+        return np.array([[overlap(hashes[begin[i] : begin[i + 1]], hashes[begin[j] : begin[j + 1]]) for j in right] for i in left])
+    sides = []
+    for rows in (left, right):
+        size = np.diff(begin)[rows]
+        of, value = np.repeat(np.arange(len(rows)), size), hashes[ts.ranges(begin[:-1][rows], size)]
+        order = np.lexsort((value, of))
+        of, value = of[order], value[order]
+        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1]))) if len(of) else np.zeros(0, np.int64)
+        nth = np.arange(len(of)) - np.repeat(new, np.diff(np.append(new, len(of))))
+        sides.append((of, ts.mix(value + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))  # the n-th copy of a shingle is a feature
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    both = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(shared), 4096):
+        part = shared[a : a + 4096]
+        planes = []
+        for (of, value), rows in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = part[at] == value
+            plane = np.zeros((len(rows), len(part)), np.float32)
+            plane[of[hit], at[hit]] = 1
+            planes.append(plane)
+        both += planes[0] @ planes[1].T
+    size = np.diff(begin)
+    either = size[left][:, None] + size[right][None, :] - both
+    return both / np.maximum(either, 1)
+
+
+def _compare(threshold: float):
+    def compare(table: pa.Table) -> pa.Table:
+        family, i, j, side, node, component = (table.column(c).to_numpy() for c in ("family", "i", "j", "side", "node", "component"))
+        order = np.lexsort((node, side, j, i, family))
+        keys = np.stack([family, i, j])[:, order]
+        cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        text = table.column("text").combine_chunks()
+        out_a, out_b = [], []
+        for own in np.split(order, cuts[1:]):
+            left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
+            if not len(left) or not len(right):
+                continue
+            near = overlaps(*shingles(text.take(pa.array(own))), left, right) >= threshold
+            near &= component[own[left]][:, None] != component[own[right]][None, :]
+            if near.any():
+                label = spanning_forest(near, left, right, len(own))
+                moved = np.flatnonzero(label != np.arange(len(own)))
+                out_a.append(node[own[moved]])
+                out_b.append(node[own[label[moved]]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, rid, class_id, kept and class_size for every document.
 
     Documents of equal text are one node. Nodes that share a band are candidates: each is
-    verified against the least node of its bucket, and, where that leaves a bucket in
-    several components, against all members of its other components, so no link between
-    different texts of a bucket is lost while a bucket of copies costs one test a member.
+    verified against its bucket's hub, the member that meets most others over all bands.
+    Nodes that candidates connect are a family. Where links leave a family in several
+    components, every member outside its largest one is compared with all others, in
+    blocks and without a row for a pair; so no link between different texts of a family is
+    lost, while a family of copies costs little more than one test a member.
     class_id is the least doc_id of a connected class, and its document is kept; rows that
     repeat both id and text of it are kept, too. Null texts are empty; texts without words
     are one class if equal and link with nothing else. A null doc_id is larger than all
@@ -149,27 +208,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = cut(rows.mapInArrow(_sign, "doc_id long, rid long, node long, n long, bands array<long>"))
     nodes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("s"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     bands = nodes.select("node", "n", F.col("s.rid").alias("rid"), F.explode("bands").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(bands.join(leaders, "key"))
-    wanted = members.select("rid", "node").distinct()
-    texts = cut(rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("node", "text"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-        near = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        near = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return near.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, similarity double")
-
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("n_a"), F.col("n").alias("n_b"))
-    found = components(linked(stars).select("a", "b"))
-    part = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("main")).where("lo <> hi")
-    part = cut(part.join(mixed.select("key", "main"), "key").select("key", "node", "n", "leader", "component", "main"))
-    rest = part.where("component <> main").select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    others = part.where("node <> leader").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), (F.col("component") == F.col("main")).alias("in_main"))
-    # a pair outside the main component is seen from both sides; one side is enough
-    more = rest.join(others, "key").where("c_a <> c_b and (in_main or a < b)").select("a", "b", "n_a", "n_b")
-    extra = cut(linked(more).select("a", "b"))
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(bands.join(met, "key"))
+    popular = members.groupBy("node").agg(F.sum("size").alias("meets"), F.first("n").alias("n"), F.first("rid").alias("rid"))
+    texts = cut(rows.select("rid", "text").join(popular.select("rid", "node", "meets", "n"), "rid").groupBy("node").agg(F.first("text").alias("text"), F.first("meets").alias("meets"), F.first("n").alias("n")))
+    hubs = members.select("key", "node").join(texts.select("node", "meets", "n"), "node")
+    hub = hubs.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("hub"))
+    stars = hubs.join(hub, "key").where("node <> hub.node").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.first("hub.n").alias("n_a"), F.first("n").alias("n_b"))
+    stars = cut(stars)
+    near = stars.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    near = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    found = components(near.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, similarity double").select("a", "b"))
+    families = components(stars.select("a", "b")).withColumnRenamed("component", "family")
+    part = families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = part.groupBy("family", "component").agg(F.count(F.lit(1)).alias("own"))
+    mixed = sizes.groupBy("family").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("family", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.own")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
+    open_ = part.join(mixed, "family").join(texts.select("node", "text"), "node")
+    place = lambda salt, blocks: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ["family", "node", "component", "text"]
+    rest = open_.where("component <> main").select(*columns, F.lit(0).alias("side"), place(0, "lefts").alias("i"), each("rights").alias("j"))
+    every = open_.select(*columns, F.lit(1).alias("side"), place(1, "rights").alias("j"), each("lefts").alias("i"))
+    units = 16 * source_partitions(docs)
+    dealt = rest.unionByName(every).withColumn("unit", F.pmod(F.xxhash64("family", "i", "j"), F.lit(units)))
+    extra = cut(dealt.groupBy("unit").applyInArrow(_compare(similarity), "a long, b long"))
     if not extra.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
     classed = signed.select("doc_id", "rid", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def spanning_forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, nodes: int) -> np.ndarray:
+    """Least node that each of ``nodes`` reaches by the links near[i, j] between left[i] and right[j]."""
+    label = np.arange(nodes)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, np.where(near, label[right], nodes).min(axis=1, initial=nodes))
+        np.minimum.at(new, right, np.where(near, label[left][:, None], nodes).min(axis=0, initial=nodes))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, source_partitions
-from .components import components
+from .components import components, spanning_forest
 
 SIMILARITY = 0.9
 #: The share of pairs at exactly the threshold that some table must catch; pairs above it are likelier.
@@ -86,15 +86,7 @@ def _link(similarity: float):
                 out_n.append(links[hit])
             if not fresh.any():
                 continue
-            label = np.arange(len(own))  # a spanning forest, not all pairs
-            while True:
-                new = label.copy()
-                new[left] = np.minimum(new[left], np.where(near, label[right], len(own)).min(axis=1))
-                new[right] = np.minimum(new[right], np.where(near, label[left][:, None], len(own)).min(axis=0))
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            label = spanning_forest(near, left, right, len(own))  # not all pairs
             moved = np.flatnonzero(label != np.arange(len(own)))
             out_a.append(node[own[moved]])
             out_b.append(node[own[label[moved]]])
