@@ -6,6 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.core import Operator
+from ..operators.cross_section import CROSS_SECTION
+from ..operators.recursions import RECURSIONS, Scan
+from ..operators.windows import WINDOWS
+from ..sources.bars import bars, bars_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "SMP02_samples"
+FLAGSHIP = "WIN01_return_log_pct"
+
+
+def register(op: Operator | Scan) -> None:
+    """Query an operator over the bars of its mapping."""
+    QUERIES[op.name] = lambda spark, sf_dir: op(bars(spark, sf_dir, op.mapping))
+    ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
+
+
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION):
+    register(_operator)
