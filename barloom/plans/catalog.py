@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.core import Operator
 from ..operators.cross_section import CROSS_SECTION
 from ..operators.recursions import RECURSIONS, Scan
+from ..operators.relational import RELATIONAL
 from ..operators.windows import WINDOWS
 from ..sources.bars import bars, bars_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "WIN01_return_log_pct"
+FLAGSHIP = "SMP02_samples"
 
 
 def register(op: Operator | Scan) -> None:
@@ -23,5 +24,5 @@ def register(op: Operator | Scan) -> None:
     ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
 
 
-for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION):
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL):
     register(_operator)

@@ -10,7 +10,7 @@ _SPARK = {
     "MONTHS": "CAST((year({0}) - 1970) * 12 + month({0}) - 1 AS BIGINT)",
     "KEY": "struct({0})",
     "PCTL": "percentile({0})",
-    "LISTSORT": "array_sort(collect_list({0}))",
+    "SHA": "sha2({0}, 256)",
 }
 _DUCK = {
     "DAYS": "CAST(date_diff('day', DATE '1970-01-01', CAST({0} AS DATE)) AS BIGINT)",
@@ -18,7 +18,7 @@ _DUCK = {
     "MONTHS": "CAST((year({0}) - 1970) * 12 + month({0}) - 1 AS BIGINT)",
     "KEY": "row({0})",
     "PCTL": "quantile_cont({0})",
-    "LISTSORT": "list_sort(list({0}))",
+    "SHA": "sha256({0})",
 }
 
 
