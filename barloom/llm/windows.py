@@ -113,6 +113,12 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.diff(key[order], prepend=key[order][:1] ^ key.dtype.type(1)) != 0) if len(key) else np.zeros(0, np.int64)
 
 
+def _parts(key: np.ndarray) -> list[np.ndarray]:
+    """Positions of each distinct key."""
+    order, at = _groups(key)
+    return [x for x in np.split(order, at[1:]) if len(x)]
+
+
 def _find(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def find(table: pa.Table) -> pa.Table:
         found = []
@@ -136,9 +142,8 @@ def _find(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.T
         hashes = hashes[begin]
         bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         low = hashes.astype(np.uint32)
-        order, at = _groups(bucket)
         cell = table.column("cell")[0].as_py()
-        return _rows(_FOUND, [(cell, int(bucket[order[a]]), low[order[a:b]].tobytes(), docs[order[a:b]].tobytes()) for a, b in zip(at, [*at[1:], len(order)], strict=True)])
+        return _rows(_FOUND, [(cell, int(bucket[x[0]]), low[x].tobytes(), docs[x].tobytes()) for x in _parts(bucket)])
 
     return find
 
@@ -155,8 +160,7 @@ def _share(hot: int) -> Callable[[pa.Table], pa.Table]:
         keep = total >= 2
         low, cell, is_hot = low[order][keep], cell[order][keep], (total[keep] > hot).astype(np.uint8)
         key = (np.uint64(bucket) << np.uint64(32)) | low.astype(np.uint64)
-        order, at = _groups(cell)
-        return _rows(_SHARED, [(int(cell[order[a]]), key[order[a:b]].tobytes(), is_hot[order[a:b]].tobytes()) for a, b in zip(at, [*at[1:], len(order)], strict=True)])
+        return _rows(_SHARED, [(int(cell[x[0]]), key[x].tobytes(), is_hot[x].tobytes()) for x in _parts(cell)])
 
     return share
 
@@ -201,9 +205,7 @@ def _pack(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.T
             text, at, n, least, pos = text[cold], at[cold], n[cold], least[cold], pos[cold]
             begin, size = items.span(at, n + width - 1)
             bucket = ((least >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order, to = _groups(bucket)
-            for a, b in zip(to, [*to[1:], len(order)], strict=True):
-                x = order[a:b]
+            for x in _parts(bucket):
                 payload = items.data[ts.ranges(begin[x], size[x])]
                 rows.append((int(bucket[x[0]]), SEGMENT, cell, least[x].tobytes(), size[x].astype(np.int64).tobytes(), doc[text[x]].tobytes(), rid[text[x]].tobytes(), pos[x].tobytes(), n[x].tobytes(), payload.tobytes()))
         if windows:
@@ -212,8 +214,7 @@ def _pack(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.T
             rows.append((cell % buckets, DONE, cell, b"", b"", b"", rid[lost].tobytes(), pos[lost].tobytes(), b"", b""))
             a, b, doc, rid, pos = (x[least] for x in (a, b, doc, rid, pos))
             bucket = (a % np.uint64(buckets)).astype(np.int64)
-            order, to = _groups(bucket)
-            for x in np.split(order, to[1:]):
+            for x in _parts(bucket):
                 rows.append((int(bucket[x[0]]), WINDOW, cell, a[x].tobytes(), b[x].tobytes(), doc[x].tobytes(), rid[x].tobytes(), pos[x].tobytes(), b"", b""))
         return _rows(_PACKED, rows)
 
@@ -222,8 +223,7 @@ def _pack(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.T
 
 def _solve(width: int, solver: Callable, shard_bytes: int) -> Callable[[pa.Table], pa.Table]:
     def ranges_of(cell: np.ndarray, rid: np.ndarray, pos: np.ndarray, n: np.ndarray) -> list[tuple]:
-        order, at = _groups(cell)
-        return [(int(cell[x[0]]), rid[x].tobytes(), pos[x].tobytes(), n[x].tobytes()) for x in np.split(order, at[1:]) if len(x)]
+        return [(int(cell[x[0]]), rid[x].tobytes(), pos[x].tobytes(), n[x].tobytes()) for x in _parts(cell)]
 
     def solve(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
