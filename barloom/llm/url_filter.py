@@ -111,5 +111,6 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
     mined = mine(labelled, min_support=min_support, min_confidence=min_confidence)
     rest = own.where("r is null").select("tokens").distinct().withColumn("sid", F.xxhash64("tokens"))
     found = match(rest, mined)
-    out = own.withColumn("sid", F.when(F.col("r").isNull(), F.xxhash64("tokens"))).join(found, "sid", "left")
+    # pages that a rule decided need no match; a key of their own keeps them from meeting in one task
+    out = own.withColumn("sid", F.when(F.col("r").isNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("page_id", "url"))).join(found, "sid", "left").withColumn("mined", F.when(F.col("r").isNull(), F.col("mined")))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("mined.verdict"), F.lit("allow")).alias("verdict"), F.array_join("mined.items", " ").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
