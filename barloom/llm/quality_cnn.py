@@ -132,18 +132,19 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: tuple[int, int] = FIT_ROWS) -> Model:
-    """Fit on a bounded sample: ``rows`` of labels 0 and 1, those of least key hash, so reruns agree.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: tuple[int, int] = FIT_ROWS) -> Model:
+    """Fit on a bounded sample: ``rows`` of labels 0 and 1, those of least id hash, so reruns agree.
 
-    Other labels and null ones teach nothing. With one label only every text scores near
-    it, without labels 0.5.
+    The sample is drawn from the ids alone; texts are read where they lie and leave as
+    chunks. Of several labels of an id the least counts, of several texts of an id the one
+    of least key hash. Other labels, null ones, null ids and labels without a document
+    teach nothing. With one label only every text scores near it, without labels 0.5.
     """
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(0.0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("label") == name, min(1.0, 1.33 * rows[name] / n)).otherwise(rate)
+    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("label")).groupBy("id").agg(F.min("label").alias("label")).where(F.col("label").isin(0, 1))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    present = known.join(texts.select("id").distinct(), "id", "left_semi").select("id", F.col("label").cast("int").alias("label"))
+    first = [present.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id").limit(most) for name, most in enumerate(rows)]
+    sample = first[0].unionByName(first[1])
 
     def shorten(text: Column) -> Column:
         """The chunks that training looks at, cut out where the text is."""
@@ -155,15 +156,11 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
 
         return udf(text)
 
-    sample = known.where(share < rate).select("label", "rid", shorten(F.col("text")).alias("chunks")).collect()
-    taken: dict[int, dict[int, list]] = {0: {}, 1: {}}
-    for r in sorted(sample, key=lambda r: r["rid"] * 0x9E3779B97F4A7C15 % 2**64):
-        own = taken[r["label"]]
-        if len(own) < rows[r["label"]]:
-            own[r["rid"]] = r["chunks"]
-    data = [np.frombuffer(b"".join(map(bytes, chunks)), np.uint8).reshape(-1, _CHUNK) for own in (taken[0], taken[1]) for chunks in own.values()]
-    labels = np.repeat([0.0, 1.0], [len(taken[0]), len(taken[1])])
-    return train(data, labels)
+    chunks = texts.join(F.broadcast(sample), "id").select("id", "label", "rid", shorten(F.col("text")).alias("chunks"))  # sum(rows) ids at most
+    taken = chunks.groupBy("id", "label").agg(F.min_by("chunks", "rid").alias("chunks")).collect()
+    taken.sort(key=lambda r: (r["label"], r["id"] * 0x9E3779B97F4A7C15 % 2**64))
+    data = [np.frombuffer(b"".join(map(bytes, r["chunks"])), np.uint8).reshape(-1, _CHUNK) for r in taken]
+    return train(data, np.array([r["label"] for r in taken], float))
 
 
 def score(model: Model, text: Column) -> Column:

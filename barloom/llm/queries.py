@@ -52,9 +52,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_cnn.Model:
-    """Fit on the labelled documents outside the held-out fold; of several labels of an id the least counts."""
-    labels = learnable(labels).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return quality_cnn.fit(learnable(docs).select("doc_id", "text").join(labels, "doc_id"))
+    """Fit on the labelled documents outside the held-out fold."""
+    return quality_cnn.fit(learnable(docs), learnable(labels))
 
 
 @query
