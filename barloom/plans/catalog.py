@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.core import Operator
 from ..operators.cross_section import CROSS_SECTION
+from ..operators.evaluation import EVALUATION
 from ..operators.recursions import RECURSIONS, Scan
 from ..operators.relational import RELATIONAL
 from ..operators.windows import WINDOWS
@@ -24,5 +25,5 @@ def register(op: Operator | Scan) -> None:
     ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
 
 
-for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL):
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION):
     register(_operator)

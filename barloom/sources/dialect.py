@@ -11,6 +11,8 @@ _SPARK = {
     "KEY": "struct({0})",
     "PCTL": "percentile({0})",
     "SHA": "sha2({0}, 256)",
+    "SETTEXT": "array_join(sort_array(collect_set({0})), ',')",
+    "TODATE": "date_add(DATE '1970-01-01', CAST({0} AS INT))",
 }
 _DUCK = {
     "DAYS": "CAST(date_diff('day', DATE '1970-01-01', CAST({0} AS DATE)) AS BIGINT)",
@@ -19,6 +21,8 @@ _DUCK = {
     "KEY": "row({0})",
     "PCTL": "quantile_cont({0})",
     "SHA": "sha256({0})",
+    "SETTEXT": "string_agg(DISTINCT {0}, ',' ORDER BY {0})",
+    "TODATE": "(DATE '1970-01-01' + CAST({0} AS INTEGER))",
 }
 
 
