@@ -255,3 +255,17 @@ def test_pipeline(spark):
         assert after.columns == docs.columns and {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}, name
     found = corpus_pipeline.run(spark, SF)
     assert 0 < found.count() <= docs.count() and {"doc_id", "taken", "target"} <= set(found.columns)
+
+
+def test_quality_fit_reads_each_id_once(spark):
+    """Repeated rows, null ids, labels without documents and clashing columns do not change what is learned."""
+    docs = [(i, ("good words here " if i % 2 else "x9 z7 q1 ") * (i + 1), "l", 0, 0) for i in range(12)]
+    labels = [(i, i % 2, 0) for i in range(12)]
+    doc_schema, label_schema = "doc_id long, text string, label string, id long, quality long", "doc_id long, quality long, text long"
+    fit = lambda d, q: quality_cnn.fit(spark.createDataFrame(d, doc_schema), spark.createDataFrame(q, label_schema), rows=(4, 5))
+    plain = fit(docs, labels)
+    mess = fit(docs * 3 + [(None, "stray", "l", 0, 0), (99, "unlabelled", "l", 0, 0)], labels + [(None, 1, 0), (77, 1, 0), (78, None, 0), (99, 5, 0)])
+    assert all(np.array_equal(getattr(plain, f), getattr(mess, f)) for f in ("tables", "bias", "weights", "offset"))
+    texts = pa.array([docs[1][1], "", None])
+    assert np.allclose(quality_cnn.scores(fit([], []), texts), 0.5)
+    assert np.allclose(quality_cnn.scores(fit(docs, [(1, 1, 0)]), texts), quality_cnn.scores(fit(docs, [(3, 1, 0), (3, 1, 0)]), texts))
