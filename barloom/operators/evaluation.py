@@ -106,4 +106,8 @@ EVALUATION = [
     _op("STD05_median_gates", (*_SIGNAL, _scalar("PCTL(abs(score), 0.5) AS med", "t BETWEEN 19742 AND 19745"), "SELECT * FROM $in WHERE abs(score) >= med"), "asset", "t", "~score"),
     _op("STD06_coverage_threshold", (*_SIGNAL, _scalar("PCTL(abs(score), 0.8) AS cut"), "SELECT asset, count(*) AS n, avg(actual * sign(score)) AS mean FROM $in WHERE abs(score) >= cut GROUP BY asset"), "asset", "n", "~mean"),
     _op("STD02_split_errors", (*_SIGNAL, _SPLITS, {"err": "abs(score - actual)"}, "SELECT part, count(*) AS n, avg(err) AS mae, PCTL(err, 0.9) AS p90 FROM $in GROUP BY part"), "part", "n", "~mae", "~p90"),
+    _op("AGG23_coverage_tables", (*_SIGNAL, {"lvl": "CASE WHEN abs(score) < 0.5 THEN 'low' WHEN abs(score) < 1 THEN 'mid' ELSE 'high' END", "wk": "CAST(floor(t / 7e0) AS BIGINT)", "hit": "CASE WHEN abs(actual) <= abs(score) THEN 1e0 ELSE 0e0 END"}, "SELECT coalesce(lvl, '*') AS lvl, coalesce(wk, -1) AS wk, count(*) AS n, avg(hit) AS coverage FROM $in GROUP BY GROUPING SETS ((lvl, wk), (lvl), (wk), ())"), "lvl", "wk", "n", "~coverage"),
+    _op("MET29_effective_sample", ({"r": f"ln(close) - {lag('ln(close)')}"}, "SELECT t, sum(r) AS s, sum(r * r) AS q, count(r) AS n FROM $in WHERE r IS NOT NULL GROUP BY t", "SELECT count(*) AS steps, avg(n) AS width, (sum(s * s) - sum(q)) / nullif(sum(n * (n - 1e0)), 0) / nullif(sum(q) / sum(n), 0) AS rho FROM $in", {"effective": "floor(steps / 3e0) * width / (1 + (width - 1) * greatest(rho, 0))"}), "steps", "~width", "~rho", "~effective"),
+    _op("MET39_monthly_ic", (*_SIGNAL, {"m": "CAST(floor(t / 30e0) AS BIGINT)"}, spearman("score", "actual", "m"), {"accepted": "CASE WHEN ic < -0.1 THEN 1 ELSE 0 END"}), "m", "n", "~ic", "accepted"),
+    _op("STD01_clustered_mean", (*_SIGNAL, {"x": "actual * sign(score)"}, _scalar("avg(x) AS m, count(*) AS total"), "SELECT max(total) AS n, max(m) AS mean, sqrt(sum(g * g)) / max(total) AS se FROM (SELECT t, max(total) AS total, max(m) AS m, sum(x - m) AS g FROM $in GROUP BY t) q", {"tstat": "mean / se"}), "n", "~mean", "~se", "~tstat"),
 ]
