@@ -11,6 +11,7 @@ from ..operators.cross_section import CROSS_SECTION
 from ..operators.evaluation import EVALUATION
 from ..operators.recursions import RECURSIONS, Scan
 from ..operators.relational import RELATIONAL
+from ..operators.studies import STUDIES
 from ..operators.windows import WINDOWS
 from ..sources.bars import bars, bars_sql
 
@@ -25,5 +26,5 @@ def register(op: Operator | Scan) -> None:
     ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
 
 
-for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION):
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *STUDIES):
     register(_operator)
