@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..sources.dialect import to_duckdb, to_spark
-from .core import Operator, lag, rounded
+from .core import Operator, full, lag
 
 #: Rows of a series that are folded into one array of states.
 BLOCK = 256
@@ -23,7 +23,10 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Scan:
-    """``state``: name -> (first value, step); a step reads the state before as s.name and the row as r.column."""
+    """``state``: name -> (first value, step); a step reads the state before as s.name and the row as r.column.
+
+    ``after``: stages over the states, whose columns ``out`` names then.
+    """
 
     name: str
     stages: tuple
@@ -31,6 +34,10 @@ class Scan:
     state: dict[str, tuple[str, str]]
     out: tuple[str, ...]
     mapping: str = "B3"
+    after: tuple = ()
+
+    def _finish(self, source: str) -> str:
+        return Operator("", self.after, ("asset", "t", *[f"~{c}" for c in self.out])).sql(source)
 
     def _prepared(self, source: str) -> str:
         columns = ("asset", "t", *self.inputs)
@@ -46,16 +53,17 @@ class Scan:
         fold = f"aggregate({blocks}, array(array(named_struct('t', CAST(NULL AS BIGINT), {first}))), (done, block) -> array_append(done, {inner}))"
         states = f"flatten(transform(slice({fold}, 2, size(rows)), b -> slice(b, 2, {BLOCK})))"
         found = spark.sql(f"SELECT asset, inline({states}) FROM (SELECT asset, array_sort(collect_list(struct(t, {', '.join(self.inputs)}))) AS rows FROM {{rows}} GROUP BY asset)", rows=rows)
-        return found.selectExpr("asset", "t", *[f"{rounded(c)} AS {c}" for c in self.out])
+        return spark.sql(to_spark(self._finish("{found}")), found=found)
 
     def oracle(self, source: str) -> str:
         rows = to_duckdb(self._prepared(f"({source}) bars"))
         first = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, (v, _) in self.state.items())
         step = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, (_, e) in self.state.items())
-        return to_duckdb(f"""WITH RECURSIVE p AS ({rows}), n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM p),
+        states = f"""WITH RECURSIVE p AS ({rows}), n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM p),
             f AS (SELECT DISTINCT asset, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS t, {first} FROM n UNION ALL
                   SELECT r.asset, r.rn, r.t, {step} FROM f s JOIN n r ON r.asset = s.asset AND r.rn = s.rn + 1)
-            SELECT asset, t, {', '.join(f'{rounded(c)} AS {c}' for c in self.out)} FROM f WHERE rn > 0""")
+            SELECT asset, t, {', '.join(self.state)} FROM f WHERE rn > 0"""
+        return to_duckdb(self._finish(f"({states}) states"))
 
 
 def ema(x: str, name: str, span: int) -> str:
@@ -78,6 +86,8 @@ def wilder(x: str, name: str, n: int) -> dict[str, tuple[str, str]]:
     }
 
 
+_CHANGE = {"rsi": "100 * u / nullif(u + d, 0)"}, {"dp": f"lc - {lag('lc', 5)}", "dr": f"rsi - {lag('rsi', 5)}"}
+_DIVERGENCE = {"div": "coalesce(" + " - ".join(f"({x} - {full('avg', x, 20)}) / nullif({full('stddev_samp', x, 20)}, 0)" for x in ("dp", "dr")) + ", 0)"}
 _CLOSE = ({"c": "close"},)
 _MOVE = ({"d": f"close - {lag('close')}"}, {"up": "greatest(d, 0)", "dn": "greatest(-d, 0)"})
 _BAR = ({"pc": lag("close"), "ph": lag("high"), "pl": lag("low")}, {"tr": "CASE WHEN pc IS NULL THEN NULL ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END", "um": "high - ph", "dm": "pl - low"}, {"pdm": "CASE WHEN um IS NULL THEN NULL WHEN um > dm AND um > 0 THEN um ELSE 0 END", "mdm": "CASE WHEN dm IS NULL THEN NULL WHEN dm > um AND dm > 0 THEN dm ELSE 0 END"})
@@ -108,6 +118,7 @@ RECURSIONS = [
     Scan("REC03_wilder", _BAR, ("tr",), wilder("r.tr", "atr", 14), ("atr",)),
     Scan("REC04_natr", _BAR, ("tr", "close"), {"seen": ("0", "s.seen + CASE WHEN r.tr IS NULL THEN 0 ELSE 1 END"), "atr": ("NULL", alpha("r.tr", "atr", 14)), "natr": ("NULL", f"CASE WHEN s.seen + 1 >= 14 THEN 100 * ({alpha('r.tr', 'atr', 14)}) / r.close END")}, ("natr",)),
     Scan("REC05_rsi", _MOVE, ("up", "dn"), {**wilder("r.up", "u", 14), **wilder("r.dn", "d", 14)}, ("u", "d")),
+    Scan("WIN18_rsi_divergence", (*_MOVE, {"logc": "ln(close)"}), ("up", "dn", "logc"), {**wilder("r.up", "u", 14), **wilder("r.dn", "d", 14), "lc": ("NULL", "r.logc")}, ("rsi", "div"), "B2", (*_CHANGE, _DIVERGENCE)),
     Scan("REC06_macd", _CLOSE, ("c",), {"fast": ("NULL", _FAST), "slow": ("NULL", _SLOW), "line": ("NULL", _LINE), "signal": ("NULL", ema(_LINE, "signal", 9))}, ("line", "signal")),
     Scan("REC07_kdj", ({"hh": "max(high) OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)", "ll": "min(low) OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"},), ("close", "hh", "ll"), {"k": ("NULL", _K), "d": ("NULL", f"CASE WHEN ({_K}) IS NULL THEN NULL ELSE coalesce(s.d, 50) * 2 / 3 + ({_K}) / 3 END")}, ("k", "d")),
     Scan("REC08_parabolic_sar", (), ("high", "low"), _SAR, ("sar", "dir")),

@@ -14,6 +14,7 @@ from ..operators.relational import RELATIONAL
 from ..operators.studies import STUDIES
 from ..operators.windows import WINDOWS
 from ..sources.bars import bars, bars_sql
+from .functional import FUNCTIONAL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,8 @@ def register(op: Operator | Scan) -> None:
 
 for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *STUDIES):
     register(_operator)
+
+for _name, (_function, _oracle) in FUNCTIONAL.items():
+    QUERIES[_name] = _function
+    if _oracle:
+        ORACLES[_name] = _oracle

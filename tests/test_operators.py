@@ -5,11 +5,14 @@ import math
 import duckdb
 import pytest
 
-from barloom.operators.recursions import Scan, ema
+from barloom.functions import registry
+from barloom.operators.core import Operator
+from barloom.operators.recursions import BLOCK, Scan, ema
+from barloom.operators.studies import _PAV
 from barloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "lineitem", "orders")
+TABLES = ("events", "lineitem", "orders", "part")
 
 
 def _rows(names, rows):
@@ -30,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, duck, name):
     found = QUERIES[name](spark, SF)
     expected = duck.execute(ORACLES[name])
@@ -43,3 +46,36 @@ def test_ema_by_hand(spark):
     bars = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", 3, 10.0)], "asset string, t long, c double")
     scan = Scan("x", (), ("c",), {"e": ("NULL", ema("r.c", "e", 3))}, ("e",))
     assert [r["e"] for r in scan(bars).orderBy("t").collect()] == [10.0, 15.0, 12.5]
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_learned_studies_give_rows(spark, name):
+    found = QUERIES[name](spark, SF).toPandas()
+    assert len(found) and not found.columns.duplicated().any()
+
+
+def test_scan_across_blocks(spark):
+    n = 2 * BLOCK + 3
+    bars = spark.range(n).selectExpr("'a' AS asset", "id AS t", "CAST(1 AS DOUBLE) AS c")
+    found = Scan("x", (), ("c",), {"s": ("0", "s.s + r.c")}, ("s",))(bars).orderBy("t").collect()
+    assert [(r["t"], r["s"]) for r in found] == [(k, k + 1.0) for k in range(n)]
+
+
+def test_isotonic_by_hand(spark):
+    rows = spark.createDataFrame([("val", b, 10, s, 0.0, 0.0) for b, s in enumerate((1.0, 5.0, 3.0, 9.0))], "part string, b long, n long, s double, p double, brier double")
+    found = Operator("x", (_PAV,), ("b", "iso"))(rows).orderBy("b").collect()
+    assert [r["iso"] for r in found] == pytest.approx([0.1, 0.4, 0.4, 0.9])
+
+
+def test_registry(spark):
+    bars = spark.createDataFrame([("a", 2.0, 1.0, 1.0), ("b", 1.0, 1.0, 1.0), ("c", None, 1.0, 1.0)], "asset string, high double, low double, close double")
+    assert [r[0] for r in registry.apply_filter(bars, "relative_range").collect()] == ["a"]
+    with pytest.raises(KeyError):
+        registry.apply_filter(bars, "unknown")
+    with pytest.raises(ValueError):
+        registry.sample_filter("relative_range")(registry._relative_range)
+    with pytest.warns(UserWarning):
+        assert registry.select_available(bars, ["low", "x"]).columns == ["low"]
+    assert registry.drop_matching(bars, ["h*", "low"]).columns == ["asset", "close"]
+    assert registry.kinds(["ret_1", "ret_z_1", "oi_available", "x"], {"ret": "return", "ret_z": "score"}, "level") == {"return": ["ret_1"], "score": ["ret_z_1"], "flag": ["oi_available"], "level": ["x"]}
+    assert (registry.required_bars([30, 55], 3, 4), registry.embargo([30, 12], 24, 3), registry.embargo([], 24, 3)) == (223, 33, 26)
