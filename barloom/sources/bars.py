@@ -1,7 +1,8 @@
 """Bar frames from event-like tables: (asset, t, open, high, low, close, volume, trades).
 
 ``t`` counts steps (days, hours or months) since 1970-01-01, so results do not
-depend on a session's time zone. A bar exists where its step has rows.
+depend on a session's time zone. A bar exists where its step has rows with a price;
+a price that is not positive is missing, so returns and logarithms are defined.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ class Mapping:
     def sql(self) -> str:
         rows = f"SELECT {self.asset} AS asset, {self.step} AS t, {self.price} AS p, {self.volume} AS v, {self.order} FROM {self.source}"
         return f"""SELECT asset, t, min_by(p, KEY({self.order}, p)) AS open, max(p) AS high, min(p) AS low, max_by(p, KEY({self.order}, p)) AS close,
-            floor(sum(v) * 1000 + 0.5) / 1000e0 AS volume, count(*) AS trades FROM ({rows}) q WHERE p IS NOT NULL GROUP BY asset, t"""
+            floor(sum(v) * 1000 + 0.5) / 1000e0 AS volume, count(*) AS trades FROM ({rows}) q WHERE p > 0 GROUP BY asset, t"""
 
 
 _LINE = "l_extendedprice / l_quantity"
