@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,23 @@ def features(bars: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(_LEARN(bars))
 
 
+def _fit(estimator, rows: DataFrame):
+    """Fit over rows that are kept, on disk beyond memory, while the estimator passes over them."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def regimes(bars: DataFrame, k: int = 3) -> DataFrame:
     """Clusters of standardised features with the mean next return of each."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
     rows = features(bars)
-    scaled = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(rows).transform(rows)
-    model = KMeans(featuresCol="z", predictionCol="regime", k=k, seed=7).fit(scaled)
+    scaled = _fit(StandardScaler(inputCol="x", outputCol="z", withMean=True), rows).transform(rows)
+    model = _fit(KMeans(featuresCol="z", predictionCol="regime", k=k, seed=7), scaled)
     return model.transform(scaled).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_fwd"))
 
 
@@ -46,7 +56,7 @@ def importances(bars: DataFrame) -> DataFrame:
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     rows = features(bars)
-    made = [e(featuresCol="x", labelCol="fwd", maxDepth=3, seed=7, **p).fit(rows).featureImportances.toArray() for e, p in ((RandomForestRegressor, {"numTrees": 10}), (GBTRegressor, {"maxIter": 5}))]
+    made = [_fit(e(featuresCol="x", labelCol="fwd", maxDepth=3, seed=7, **p), rows).featureImportances.toArray() for e, p in ((RandomForestRegressor, {"numTrees": 10}), (GBTRegressor, {"maxIter": 5}))]
     mean = sum(made) / len(made)
     order = sorted(range(len(FEATURES)), key=lambda i: (-mean[i], FEATURES[i]))
     return bars.sparkSession.createDataFrame([(FEATURES[i], float(mean[i]), k + 1) for k, i in enumerate(order)], "feature string, importance double, k int")
@@ -57,7 +67,7 @@ def leaves(bars: DataFrame, until: int, depth: int = 3) -> DataFrame:
     from pyspark.ml.classification import DecisionTreeClassifier
 
     rows = features(bars)
-    model = DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, seed=7).setLeafCol("leaf").fit(rows.where(F.col("t") <= until))
+    model = _fit(DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, seed=7).setLeafCol("leaf"), rows.where(F.col("t") <= until))
     later, total = F.col("t") > until, F.col("label")
     found = model.transform(rows).groupBy("leaf").agg(F.count_if(~later).alias("n_fit"), F.avg(F.when(~later, total)).alias("p_fit"), F.count_if(later).alias("n_later"), F.avg(F.when(later, total)).alias("p_later"))
     base = rows.where(later).agg(F.avg("label").alias("base"))
@@ -71,7 +81,7 @@ def boosted_deciles(bars: DataFrame, until: int) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     rows = features(bars)
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, maxIter=5, seed=7).fit(rows.where(F.col("t") <= until))
+    model = _fit(GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, maxIter=5, seed=7), rows.where(F.col("t") <= until))
     scored = model.transform(rows.where(F.col("t") > until)).withColumn("p", vector_to_array("probability")[1])
     return scored.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_fwd"))
 
@@ -82,7 +92,7 @@ def calibrated(bars: DataFrame, until: int) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     rows = features(bars)
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20).fit(rows.where(F.col("t") <= until))
+    model = _fit(LogisticRegression(featuresCol="x", labelCol="label", maxIter=20), rows.where(F.col("t") <= until))
     return model.transform(rows.where(F.col("t") > until)).select("asset", "t", vector_to_array("probability")[1].alias("p"), "label")
 
 
