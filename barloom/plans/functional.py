@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import apply_filter, drop_matching, select_available
-from ..operators import learning
+from ..operators import learning, pairs
 from ..sources.bars import bars, bars_sql
 from ..sources.readers import read_unsealed, upsert
 from ..sources.sinks import append_ledger
@@ -118,3 +118,8 @@ def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("MET18_platt")
 def _platt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.calibrated(bars(spark, sf_dir, "B3"), FITTED)
+
+
+@_query("AGG11_all_pairs")
+def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.all_correlations(bars(spark, sf_dir, "A"))
