@@ -123,3 +123,8 @@ def _platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("AGG11_all_pairs")
 def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.all_correlations(bars(spark, sf_dir, "A"))
+
+
+@_query("JOIN15_all_windows")
+def _all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.all_nearest_windows(bars(spark, sf_dir, "A"), "t <= 19739", "t > 19747")
