@@ -7,6 +7,7 @@ text's mean and maximum over its chunks go into one logistic unit.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,8 +56,11 @@ def _chunks(text: bytes, most: int) -> np.ndarray:
     return out
 
 
-def train(data: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Minimise log loss by Adam over texts given as matrices of chunks; label 1 is good."""
+def train(data: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, weights: np.ndarray | None = None) -> Model:
+    """Minimise log loss by Adam over texts given as matrices of chunks; label 1 is good.
+
+    ``weights``: how many rows each text stands for; their scale is immaterial.
+    """
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.5, (256, VECTOR))
     filt = rng.normal(0, 0.3, (WIDTH, VECTOR, FILTERS))
@@ -64,6 +68,7 @@ def train(data: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     if len(set(labels.tolist())) < 2:
         sure = 0.0 if not len(labels) else 4.0 if labels[0] else -4.0
         return Model(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), sure)
+    weights = np.ones(len(data)) if weights is None else weights / weights.mean()
     params = [emb, filt, bias, w, np.array([c])]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     reach = np.arange(0, POSITIONS * STRIDE, STRIDE)
@@ -85,7 +90,7 @@ def train(data: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             of = np.repeat(np.arange(len(ids)), size)
             most = np.maximum.reduceat(relu, begin)
             z = mean @ params[3][:FILTERS] + most @ params[3][FILTERS:] + params[4][0]
-            miss = (1 / (1 + np.exp(-z)) - labels[ids]) / len(ids)
+            miss = weights[ids] * (1 / (1 + np.exp(-z)) - labels[ids]) / len(ids)
             grad_w = np.concatenate([mean.T @ miss, most.T @ miss])
             back = (miss[:, None] * params[3][:FILTERS] / size[:, None])[of]
             back = back + (miss[:, None] * params[3][FILTERS:])[of] * (relu == most[of])
@@ -137,8 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     The sample is drawn from the ids alone; texts are read where they lie and leave as
     chunks. Of several labels of an id the least counts, of several texts of an id the one
-    of least key hash. Other labels, null ones, null ids and labels without a document
-    teach nothing. With one label only every text scores near it, without labels 0.5.
+    of least key hash. Rows weigh as many as their label has for each that is sampled, so
+    the classes keep their balance whatever the bounds. Other labels, null ones, null ids
+    and labels without a document teach nothing. With one label only every text scores near it, without labels 0.5.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("label")).groupBy("id").agg(F.min("label").alias("label")).where(F.col("label").isin(0, 1))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -160,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     taken = chunks.groupBy("id", "label").agg(F.min_by("chunks", "rid").alias("chunks")).collect()
     taken.sort(key=lambda r: (r["label"], r["id"] * 0x9E3779B97F4A7C15 % 2**64))
     data = [np.frombuffer(b"".join(map(bytes, r["chunks"])), np.uint8).reshape(-1, _CHUNK) for r in taken]
-    return train(data, np.array([r["label"] for r in taken], float))
+    counted = {r["label"]: r["count"] for r in present.groupBy("label").count().collect()}
+    sampled = Counter(r["label"] for r in taken)
+    return train(data, np.array([r["label"] for r in taken], float), weights=np.array([counted[r["label"]] / sampled[r["label"]] for r in taken]))
 
 
 def score(model: Model, text: Column) -> Column:

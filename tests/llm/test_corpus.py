@@ -269,3 +269,18 @@ def test_quality_fit_reads_each_id_once(spark):
     texts = pa.array([docs[1][1], "", None])
     assert np.allclose(quality_cnn.scores(fit([], []), texts), 0.5)
     assert np.allclose(quality_cnn.scores(fit(docs, [(1, 1, 0)]), texts), quality_cnn.scores(fit(docs, [(3, 1, 0), (3, 1, 0)]), texts))
+
+
+def test_quality_fit_keeps_the_class_balance(spark):
+    """Bounds that sample the labels at different rates do not move the decision."""
+    rng = np.random.default_rng(11)
+    kinds, bad = rng.random(1200) < 0.5, rng.random(1200)
+    # texts with a mark are bad 3 times in 4, others 1 time in 20: at most 2 in 5 are bad
+    marks = [bool(k) for k in kinds]
+    labels = [(i, int(bad[i] >= (0.75 if m else 0.05))) for i, m in enumerate(marks)]
+    docs = spark.createDataFrame([(i, ("zz qq " if m else "aa bb ") * 20) for i, m in enumerate(marks)], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality long")
+    rates = [1 - np.mean([q == 0 for (_, q), m in zip(labels, marks) if m == kind]) for kind in (True, False)]
+    for rows in ((1200, 1200), (300, 60), (60, 300)):
+        found = quality_cnn.scores(quality_cnn.fit(docs, known, rows=rows), pa.array(["zz qq " * 20, "aa bb " * 20]))
+        assert np.allclose(found, rates, atol=0.12), rows
