@@ -26,9 +26,8 @@ FILTERS = 16
 VECTOR = 8
 #: Filter positions a chunk; chunks overlap by the filter's reach beyond them.
 POSITIONS = 256
-#: Rows that the fit takes of labels 0 and 1, and the chunks spread over a text that it learns from.
+#: Rows that the fit takes of labels 0 and 1; it learns from all chunks of their texts.
 FIT_ROWS = (900, 2700)
-FIT_CHUNKS = 6
 EPOCHS = 14
 THRESHOLD = 0.3
 _CHUNK = POSITIONS * STRIDE + WIDTH - 1
@@ -44,11 +43,11 @@ class Model:
     offset: float
 
 
-def _chunks(text: bytes, most: int) -> np.ndarray:
-    """Up to ``most`` chunks spread over the whole text, for training."""
+def _chunks(text: bytes, most: int | None = None) -> np.ndarray:
+    """All chunks of a text, for training, or up to ``most`` spread over the whole of it."""
     data = np.frombuffer(text, np.uint8)
     n = max(1, -(-len(data) // (POSITIONS * STRIDE)))
-    at = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int)) * POSITIONS * STRIDE
+    at = np.unique(np.linspace(0, n - 1, min(n, most or n)).astype(int)) * POSITIONS * STRIDE
     out = np.zeros((len(at), _CHUNK), np.uint8)
     for i, a in enumerate(at):
         piece = data[a : a + _CHUNK]
@@ -81,9 +80,12 @@ def train(data: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             size = np.array([len(p) for p in parts])
             x = np.concatenate(parts)
             tables = np.einsum("bv,kvf->kbf", params[0], params[1]).astype(np.float32)
-            hit = sum(tables[k][x[:, reach + k]] for k in range(WIDTH))
-            top = hit.argmax(axis=1)  # chunk, filter
-            peak = np.take_along_axis(hit, top[:, None, :], axis=1)[:, 0] + params[2]
+            top, peak = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS))  # chunk, filter
+            for a in range(0, len(x), 64):
+                hit = sum(tables[k][x[a : a + 64, reach + k]] for k in range(WIDTH))
+                top[a : a + 64] = hit.argmax(axis=1)
+                peak[a : a + 64] = hit.max(axis=1)
+            peak += params[2]
             relu = np.tanh(np.maximum(peak, 0))
             begin = np.cumsum(size) - size
             mean = np.add.reduceat(relu, begin) / size[:, None]
@@ -138,7 +140,7 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: tuple[int, int] = FIT_ROWS) -> Model:
-    """Fit on a bounded sample: ``rows`` of labels 0 and 1, those of least id hash, so reruns agree.
+    """Fit on a bounded sample: ``rows`` of labels 0 and 1, those of least id hash, so reruns agree, with their whole texts.
 
     The sample is drawn from the ids alone; texts are read where they lie and leave as
     chunks. Of several labels of an id the least counts, of several texts of an id the one
@@ -153,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     sample = first[0].unionByName(first[1])
 
     def shorten(text: Column) -> Column:
-        """The chunks that training looks at, cut out where the text is."""
+        """The chunks of a text, cut out where it is."""
 
         @F.arrow_udf("array<binary>")
         def udf(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in parts:
-                yield pa.array([[c.tobytes() for c in _chunks(t, FIT_CHUNKS)] for t in part.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
+                yield pa.array([[c.tobytes() for c in _chunks(t)] for t in part.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
 
         return udf(text)
 

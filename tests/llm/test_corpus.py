@@ -284,3 +284,12 @@ def test_quality_fit_keeps_the_class_balance(spark):
     for rows in ((1200, 1200), (300, 60), (60, 300)):
         found = quality_cnn.scores(quality_cnn.fit(docs, known, rows=rows), pa.array(["zz qq " * 20, "aa bb " * 20]))
         assert np.allclose(found, rates, atol=0.12), rows
+
+
+def test_quality_fit_learns_from_whole_texts(spark, monkeypatch):
+    """Every chunk of a long text reaches the training."""
+    step, seen = quality_cnn.POSITIONS * quality_cnn.STRIDE, []
+    docs = spark.createDataFrame([(i, "".join(chr(97 + k) * step for k in range(24))) for i in range(4)], "doc_id long, text string")
+    monkeypatch.setattr(quality_cnn, "train", lambda data, *args, **kwargs: seen.extend(data))
+    quality_cnn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality long"))
+    assert [[chr(chunk[0]) for chunk in text] for text in seen] == [[chr(97 + k) for k in range(24)]] * 4
