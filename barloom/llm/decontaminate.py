@@ -5,8 +5,10 @@ threshold serves all items. Block-max WAND runs for a batch of passages at once:
 the lists of frequent words are never walked, they only add their maxima to what
 the rare words' lists give; an item is a pivot where that sum reaches the
 threshold, stays one where the maxima of its block do, and is then scored in
-full. So every item above the threshold is found. Word shingles of the item's
-question and answer verify it.
+full. So every item above the threshold is found. Word shingles verify it: those
+of the whole item, or those of its question and those of its answer, both in one
+passage, whatever stands between them. A question without its answer is a hit
+only where the whole item's shingles reach the overlap.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ OVERLAP = 0.8
 SCORE = 0.5
 K1, B = 1.2, 0.75
 PASSAGE_WORDS = 128
+#: Words that may stand between question and answer for passages to be sure to hold both.
+GAP_WORDS = 16
 BLOCK = 8
 #: Bytes of item text that one index holds; a larger benchmark is split over several.
 INDEX_BYTES = 32 << 20
@@ -158,13 +162,14 @@ def _share(wanted: tuple[int, np.ndarray], have: dict[int, np.ndarray]) -> float
 
 
 def search(index: Index, texts: pa.Array, overlap: float = OVERLAP, threshold: float = SCORE) -> list[list[dict]]:
-    """For each text the verified items, by item; passages overlap so that each item lies whole in one."""
+    """For each text the verified items, by item; passages overlap so that each item lies whole in one, GAP_WORDS between its parts included."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     if not index.ids:
         return out
     hashes, first = tokens(texts)
-    size = max(PASSAGE_WORDS, 2 * index.longest)
-    stride = size - index.longest
+    reach = index.longest + GAP_WORDS
+    size = max(PASSAGE_WORDS, 2 * reach)
+    stride = size - reach
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(-(-(n - size) // stride), 0) + 1, 0)
     of = np.repeat(np.arange(len(n)), count)
@@ -180,12 +185,12 @@ def search(index: Index, texts: pa.Array, overlap: float = OVERLAP, threshold: f
     for p, item, score in wand(index, pair // len(index.words), pair % len(index.words), len(start), threshold):
         if p not in have:
             have = {p: {k: np.unique(ts.sequence_hashes(hashes[start[p] : stop[p]], k)) for k in range(1, SHINGLE_WORDS + 1)}}
-        whole = _share(index.whole[item], have[p])
-        if whole < overlap:
+        whole, question, answer = (_share(side[item], have[p]) for side in (index.whole, index.question, index.answer))
+        if whole < overlap and min(question, answer) < overlap:
             continue
         hit = best.setdefault((int(of[p]), item), {"item_id": index.ids[item], "score": 0.0, "overlap": 0.0, "question_overlap": 0.0, "answer_overlap": 0.0, "passages": 0})
         hit["passages"] += 1
-        for name, value in (("score", score), ("overlap", whole), ("question_overlap", _share(index.question[item], have[p])), ("answer_overlap", _share(index.answer[item], have[p]))):
+        for name, value in (("score", score), ("overlap", whole), ("question_overlap", question), ("answer_overlap", answer)):
             hit[name] = max(hit[name], value)
     for (text, _), hit in sorted(best.items(), key=lambda x: x[0]):
         out[text].append(hit)

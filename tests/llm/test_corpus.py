@@ -293,3 +293,14 @@ def test_quality_fit_learns_from_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(quality_cnn, "train", lambda data, *args, **kwargs: seen.extend(data))
     quality_cnn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality long"))
     assert [[chr(chunk[0]) for chunk in text] for text in seen] == [[chr(97 + k) for k in range(24)]] * 4
+
+
+def test_item_with_words_between_its_parts():
+    """Question and answer in full count wherever they stand in the text; a question alone does not."""
+    index = decontaminate.build([(1, "Which of the seven rivers runs north? The Nile does so."), (2, "word " * 40)])
+    question, answer = "which of the seven rivers runs north", "the nile does so"
+    found = lambda text: [h["item_id"] for h in decontaminate.search(index, pa.array([text]))[0]]
+    for before in range(0, 200, 3):
+        for between in (" Answer: ", " x" * decontaminate.GAP_WORDS + " "):
+            assert found("noise " * before + question + between + answer + " more" * 150) == [1]
+    assert found(question + " more" * 100) == [] == found(answer + " more" * 100)
