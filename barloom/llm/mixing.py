@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ MOST_EPOCHS = 3
 MOST_SOURCES = 100_000
 SEED = 20
 _SLOTS = "shard long, position long, source_index long, slot long, epoch long, block long, words long"
+_PIECE = "shard:long,position:long,begin:long,text:string"
 
 
 @dataclass(frozen=True)
@@ -224,6 +226,38 @@ def taken(mixed: Mix, *columns: str) -> DataFrame:
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*columns, "size", "source_size", "target", "taken")
 
 
+def _cut_words(text: Column, places: Column) -> Column:
+    """The pieces of a text: each place with its words, joined by a space."""
+
+    @F.arrow_udf(f"array<struct<{_PIECE}>>")
+    def udf(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("shard", pa.int64()), ("position", pa.int64()), ("begin", pa.int64()), ("text", pa.string())]))
+        for texts, held in parts:
+            rows = []
+            for t, own in zip(texts.cast(pa.binary()).to_pylist(), held.to_pylist(), strict=True):
+                w = t.split()
+                rows.append([{"shard": p["shard"], "position": p["position"], "begin": p["begin"], "text": b" ".join(w[p["first"] : p["first"] + p["n"]]).decode()} for p in own])
+            yield pa.array(rows, kind)
+
+    return udf(text, places)
+
+
+def taken_text(mixed: Mix, *columns: str, text: str = "text") -> DataFrame:
+    """The documents that the mix takes words of, with ``taken`` and ``pieces``: all their text in it.
+
+    A piece is a run of words with the shard, the position in it and the word of that block
+    where it begins; the pieces of all documents in this order are the blocks. Places are
+    found without texts; each text is cut where its document is.
+    """
+    part = _pieces(mixed.documents.select("source_index", "start", "size"), mixed.block)
+    used = part.join(mixed.slots.select("source_index", "block", "shard", "position", "words"), ["source_index", "block"])
+    used = used.withColumn("n", F.when(F.col("words") < 0, F.col("n")).otherwise(F.least("n", F.col("words") - F.col("begin")))).where("n > 0")
+    place = F.struct(*(F.col(c).cast("long").alias(c) for c in ("shard", "position", "begin", "first", "n")))
+    held = used.groupBy(F.col("source_index").alias("i"), F.col("start").alias("at")).agg(F.sum("n").cast("long").alias("taken"), F.array_sort(F.collect_list(place)).alias("places"))
+    out = mixed.documents.where("size > 0").join(held, (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")))
+    return out.select(*columns, "size", "source_size", "target", "taken", _cut_words(F.col(text), F.col("places")).alias("pieces"))
+
+
 def mixed_blocks(mixed: Mix, text: str = "text") -> DataFrame:
     """(shard, position, source_index, text): the mix itself, block by block, words joined by a space."""
     words = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")

@@ -35,8 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it (0 for some of a source above its target)."""
-    return mixing.taken(mixing.mix(docs.select("doc_id", "text", "lang", "source")), "doc_id", "lang", "source")
+    """The mix: every document that it takes words of, with these words and their places in its blocks."""
+    return mixing.taken_text(mixing.mix(docs.select("doc_id", "text", "lang", "source")), "doc_id", "lang", "source")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

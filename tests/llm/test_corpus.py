@@ -304,3 +304,19 @@ def test_item_with_words_between_its_parts():
         for between in (" Answer: ", " x" * decontaminate.GAP_WORDS + " "):
             assert found("noise " * before + question + between + answer + " more" * 150) == [1]
     assert found(question + " more" * 100) == [] == found(answer + " more" * 100)
+
+
+def test_pipeline_gives_the_mix(spark, edge):
+    """The pieces, put in order, are the mixed blocks."""
+    for block in (512, 7):
+        mixed = mixing.mix(edge.select("doc_id", "text", "source"), block=block, shard_slots=16)
+        found = mixing.taken_text(mixed, "doc_id").collect()
+        assert all(r.taken == sum(len(p.text.encode().split()) for p in r.pieces) > 0 for r in found)
+        blocks = {}
+        for shard, position, _, text in sorted((tuple(p) for r in found for p in r.pieces), key=lambda p: p[:3]):
+            blocks.setdefault((shard, position), []).append(text)
+        assert {k: " ".join(v) for k, v in blocks.items()} == {(r.shard, r.position): r.text for r in mixing.mixed_blocks(mixed).collect()}
+    import corpus_pipeline
+
+    rows = corpus_pipeline.mixture(spark, edge.select("doc_id", "text", "lang", "source"), SF).collect()
+    assert rows and all(r.taken > 0 and r.pieces for r in rows)
