@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stands in for a null doc_id where ids are compared: a null id is larger than every id.
 NULL_ID = 2**63 - 1
+#: Keys with more than one in so many rows are joined by broadcast: there are fewer of them than this.
+HOT_KEYS = 1000
 #: The contract's words: runs of anything but blanks and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset (local runs and tests)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of our own in local runs and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -34,14 +41,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Key of a row: rows that agree in id and text share it and get equal results."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def hashes(*columns: Column | str) -> tuple[Column, Column]:
+    """Two 64-bit hashes from different seeds: together a key that distinct values do not share by chance at any size."""
+    return tuple(F.xxhash64(F.lit(seed), *columns) for seed in (1, 2))
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rid, text): the columns that text operators read; a null text is empty."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc_id, k1, k2, text): the columns that text operators read; a null text is empty.
+
+    (k1, k2) is the key of a row: rows that agree in id and text share it and get equal results.
+    """
+    k1, k2 = hashes(doc_id, text)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as no column of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Distinct longs in a new column. The rows are checkpointed first, so every later read gives them the same numbers."""
+    return cut(df).withColumn(name, F.monotonically_increasing_id())
+
+
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join with a ``right`` of one row a key, whose column ``rows`` counts the key's rows in ``left`` (``total`` in all).
+
+    Keys with over a thousandth of all rows are at most a thousand, so these are broadcast
+    and their rows stay where they are; no other key can make a task large.
+    """
+    hot = F.col(rows) * HOT_KEYS > total
+    few, rest = F.broadcast(right.where(hot)), right.where(~hot)
+    return left.join(few, keys).unionByName(left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(rest, keys))
+
+
+def pieces(size: int, small: int, count: int, large: int, least: int = 16) -> int:
+    """How many pieces ``size`` bytes make: of ``small`` bytes up to ``count`` pieces, of up to ``large`` bytes beyond."""
+    return max(least, min(size // small, max(count, size // large)))
 
 
 def source_partitions(df: DataFrame) -> int:

@@ -57,16 +57,16 @@ def _text(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
     return n, removed, kept.decode()
 
 
-def remove_repeated_words(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, hot: int = 5_000) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text after removal of words in windows that start in a smaller document.
 
     Texts under ``window`` words, null and empty texts lose nothing; see
     :func:`barloom.llm.windows.remove_shared_windows` for null ids and repeated rows.
     """
-    return remove_shared_windows(docs, by_words=True, width=window, gram=min(gram, window), solver=sort_windows, finish=_text, out="doc_id long, n_words long, n_removed long, kept_text string", doc_id=doc_id, text=text, hot=hot)
+    return remove_shared_windows(docs, by_words=True, width=window, gram=min(gram, window), solver=sort_windows, finish=_text, out="n_words long, n_removed long, kept_text string", doc_id=doc_id, text=text)
 
 
 def repeated_words_digest(docs: DataFrame, **options) -> DataFrame:
     """As :func:`remove_repeated_words`, with the SHA-256 of the kept text in its place."""
     window, gram = options.pop("window", WINDOW_WORDS), options.pop("gram", GRAM_WORDS)
-    return remove_shared_windows(docs, by_words=True, width=window, gram=min(gram, window), solver=sort_windows, finish=_digest, out="doc_id long, n_words long, n_removed long, kept_sha256 string", **options)
+    return remove_shared_windows(docs, by_words=True, width=window, gram=min(gram, window), solver=sort_windows, finish=_digest, out="n_words long, n_removed long, kept_sha256 string", **options)

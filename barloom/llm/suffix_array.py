@@ -120,11 +120,14 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     order = sa[is_lms[sa]]  # LMS substrings sorted
     stop = np.empty(n, np.int64)
     stop[lms] = np.append(lms[1:], n - 1)
-    up, down = ts._power(n + 1)
-    prefix = np.append(np.uint64(0), np.cumsum(ts.mix(symbols.astype(np.uint64) + np.uint64(77)) * up[:-1], dtype=np.uint64))
     size = stop[order] - order + 1
-    mark = (prefix[order + size] - prefix[order]) * down[order]
-    name = np.append(0, np.cumsum((mark[1:] != mark[:-1]) | (size[1:] != size[:-1])))
+    same = np.flatnonzero(size[1:] == size[:-1])  # neighbours of one length are compared symbol by symbol
+    name = np.ones(len(order), np.int64)
+    name[0] = 0
+    if len(same):
+        differ = symbols[ts.ranges(order[same], size[same])] != symbols[ts.ranges(order[same + 1], size[same])]
+        name[same + 1] = np.logical_or.reduceat(differ, np.cumsum(size[same]) - size[same])
+    name = np.cumsum(name)
     if name[-1] + 1 < len(lms):
         of = np.empty(n, np.int64)
         of[order] = name
@@ -198,17 +201,17 @@ def _bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
     return keep_bytes(text, starts, ends)
 
 
-def remove_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, hot: int = 5_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) after removal of bytes in strings that start in a smaller document.
 
     The kept bytes may end amid a character, so they are binary. Texts under ``window``
     bytes, null and empty texts lose nothing; see
     :func:`barloom.llm.windows.remove_shared_windows` for null ids and repeated rows.
     """
-    return remove_shared_windows(docs, by_words=False, width=window, gram=min(gram, window), solver=suffix_windows, finish=_bytes, out="doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", doc_id=doc_id, text=text, hot=hot)
+    return remove_shared_windows(docs, by_words=False, width=window, gram=min(gram, window), solver=suffix_windows, finish=_bytes, out="n_bytes long, n_removed long, n_spans long, kept binary", doc_id=doc_id, text=text)
 
 
 def repeated_bytes_digest(docs: DataFrame, **options) -> DataFrame:
     """As :func:`remove_repeated_bytes`, with the SHA-256 of the kept bytes in their place."""
     window, gram = options.pop("window", WINDOW_BYTES), options.pop("gram", GRAM_BYTES)
-    return remove_shared_windows(docs, by_words=False, width=window, gram=min(gram, window), solver=suffix_windows, finish=_digest, out="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+    return remove_shared_windows(docs, by_words=False, width=window, gram=min(gram, window), solver=suffix_windows, finish=_digest, out="n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)

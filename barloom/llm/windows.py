@@ -4,18 +4,19 @@ A *window* is ``width`` consecutive items (words or bytes) of one document. An
 item is removed when a window that covers it also starts in a document with a
 smaller doc_id. The plan keeps every pass linear:
 
-1. Documents are dealt once into small cells by row key; all passes over texts
-   use that one exchange.
+1. Documents are dealt once into cells by row key; all passes over texts use that
+   one exchange. Cells, buckets and tasks are sized by the bytes of the texts.
 2. Each cell finds the minimiser of every window (the least hash of the grams in
    it) and sends each distinct minimiser once, packed, to the bucket of its hash.
    A minimiser seen in one document only cannot belong to a shared window.
 3. Cells cut runs of windows with a shared minimiser (super-k-mers) out of their
-   texts and send each as one packed string to the bucket. Equal windows
-   have equal minimisers, so they meet there and a solver compares them exactly.
-   Minimisers of more than ``hot`` documents are dealt by window instead, after
-   each cell has kept its smallest document: no bucket gets more than one entry
-   a cell for a window that a third of all documents share.
-4. The removed ranges go back to the cells.
+   texts as packed strings. Of equal strings a cell sends one, with its least
+   document: the other documents lose all windows of it, whatever the rest of the
+   corpus holds. So a bucket gets a string that a third of all documents share
+   once a cell. Runs of a minimiser that many documents hold are cut again where a
+   second, independent minimiser changes, and dealt by both.
+4. Equal windows have equal minimisers, so they meet in a bucket, where a solver
+   compares them item by item, and the removed ranges go back to the cells.
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import NULL_ID, keyed, source_partitions
+from .common import NULL_ID, keyed, pieces
 
 #: Bytes of text that one numpy step takes.
 STEP_BYTES = 2 << 20
+#: Documents of a minimiser beyond which its runs are dealt by a second one, too.
+SPREAD = 20_000
+_CELLS, _BUCKETS, _TASKS = (4 << 20, 4096, 64 << 20), (8 << 20, 2048, 128 << 20), (8 << 20, 2048, 256 << 20)
 _FOUND = "cell long, bucket long, hashes binary, docs binary"
 _SHARED = "cell long, hashes binary, hot binary"
-_PACKED = "bucket long, kind int, cell long, a binary, b binary, doc binary, rid binary, pos binary, n binary, bytes binary"
-_RANGES = "cell long, rid binary, pos binary, n binary"
-SEGMENT, WINDOW, DONE = 0, 1, 2
+_PACKED = "bucket long, kind int, cell long, key binary, size binary, doc binary, copies binary, row binary, pos binary, n binary, bytes binary"
+_RANGES = "cell long, row binary, pos binary, n binary"
+SEGMENT, DONE = 0, 1
 
 
 class Items:
@@ -58,11 +62,6 @@ class Items:
         at = np.arange(max(0, len(self.data) - n + 1))
         return ts.span_hashes(self.data, at, at + n)
 
-    def digests(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the windows that start at ``at``."""
-        base = self.hashes if self.by_words else self.data.astype(np.uint64)
-        return tuple(ts.run_hashes(ts.mix(base + np.uint64(salt)), at, n) for salt in (0x1234567, 0x89ABCDEF01))
-
     def span(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte starts and lengths of runs of ``n`` items from ``at``."""
         if not self.by_words:
@@ -70,28 +69,32 @@ class Items:
         return self.starts[at], self.ends[at + n - 1] - self.starts[at]
 
 
-def super_kmers(items: Items, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first item, windows, minimiser) of each run of windows of one text that share their minimiser."""
+def window_starts(items: Items, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first item) of every window."""
     counts = np.maximum(np.diff(items.first) - width + 1, 0)
-    at = ts.ranges(items.first[:-1], counts)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
-    least = ts.sliding_min(items.grams(gram), width - gram + 1)[at]
-    text = np.repeat(np.arange(len(counts)), counts)
+    return np.repeat(np.arange(len(counts)), counts), ts.ranges(items.first[:-1], counts)
+
+
+def runs(text: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first item, windows, minimiser) of each run of neighbouring windows of one text that share their minimiser."""
     new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
     return text[begin], at[begin], np.diff(np.append(begin, len(at))), least[begin]
 
 
+def _canonical(table: pa.Table) -> pa.Table:
+    """A cell's rows in the order of their keys, which is the same in every pass; a row's number in it names the row."""
+    return table.take(pa.array(np.lexsort((table.column("k2").to_numpy(), table.column("k1").to_numpy()))))
+
+
 def _steps(table: pa.Table):
-    """Slices of a cell's rows of some STEP_BYTES each."""
+    """(first row, slice) of a cell's rows of some STEP_BYTES each."""
     sizes = pa.compute.binary_length(table.column("text")).to_numpy()
     step = np.cumsum(sizes) // STEP_BYTES
     cuts = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield table.slice(a, b - a)
+        yield int(a), table.slice(a, b - a)
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
@@ -119,36 +122,40 @@ def _parts(key: np.ndarray) -> list[np.ndarray]:
     return [x for x in np.split(order, at[1:]) if len(x)]
 
 
+def _once(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted."""
+    order = np.lexsort((rows, hashes))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], rows[new]
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _find(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def find(table: pa.Table) -> pa.Table:
-        found = []
-        for part in _steps(table):
-            text, _, _, least = super_kmers(Items(part.column("text"), by_words), width, gram)
-            rid = part.column("rid").to_numpy()[text]
-            order = np.lexsort((rid, least))
-            least, rid = least[order], rid[order]
-            once = np.ones(len(least), bool)
-            once[1:] = (least[1:] != least[:-1]) | (rid[1:] != rid[:-1])
-            found.append((least[once], rid[once]))
-        hashes = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
-        rids = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
-        order = np.lexsort((rids, hashes))
-        hashes, rids = hashes[order], rids[order]
-        pair = np.ones(len(hashes), bool)  # a row repeated over steps counts once
-        pair[1:] = (hashes[1:] != hashes[:-1]) | (rids[1:] != rids[:-1])
-        hashes = hashes[pair]
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for first, part in _steps(table):
+            items = Items(part.column("text"), by_words)
+            text, at = window_starts(items, width)
+            least = ts.sliding_min(items.grams(gram), width - gram + 1)
+            text, _, _, least = runs(text, at, least[at])
+            found.append(_once(least, text + first))
+        hashes, _ = _once(*(np.concatenate(x) for x in zip(*found, strict=True)))
         begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         docs = np.minimum(np.diff(np.append(begin, len(hashes))), 2**16 - 1).astype(np.uint16)
         hashes = hashes[begin]
-        bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        low = hashes.astype(np.uint32)
+        bucket, low = _bucket(hashes, buckets), hashes.astype(np.uint32)
         cell = table.column("cell")[0].as_py()
         return _rows(_FOUND, [(cell, int(bucket[x[0]]), low[x].tobytes(), docs[x].tobytes()) for x in _parts(bucket)])
 
     return find
 
 
-def _share(hot: int) -> Callable[[pa.Table], pa.Table]:
+def _share(spread: int) -> Callable[[pa.Table], pa.Table]:
     def share(table: pa.Table) -> pa.Table:
         low, n = _read(table, "hashes", np.uint32)
         docs, _ = _read(table, "docs", np.uint16)
@@ -158,117 +165,109 @@ def _share(hot: int) -> Callable[[pa.Table], pa.Table]:
         total = np.add.reduceat(docs[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
         total = np.repeat(total, np.diff(np.append(at, len(order))))
         keep = total >= 2
-        low, cell, is_hot = low[order][keep], cell[order][keep], (total[keep] > hot).astype(np.uint8)
+        low, cell, is_hot = low[order][keep], cell[order][keep], (total[keep] > spread).astype(np.uint8)
         key = (np.uint64(bucket) << np.uint64(32)) | low.astype(np.uint64)
         return _rows(_SHARED, [(int(cell[x[0]]), key[x].tobytes(), is_hot[x].tobytes()) for x in _parts(cell)])
 
     return share
 
 
-def _beaten(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries share their (a, b) with a smaller doc; and which hold the least doc of theirs."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    at = np.flatnonzero(new)
-    least = np.empty(len(a), np.int64)
-    if len(at):
-        least[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(a))))
-    return doc > least, doc == least
-
-
 def _pack(by_words: bool, width: int, gram: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def pack(table: pa.Table, shared: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
         if not table.num_rows or not shared.num_rows:
-            return _rows(_PACKED, rows)
-        key, _ = _read(shared, "hashes", np.uint64)
+            return _rows(_PACKED, [])
+        known, _ = _read(shared, "hashes", np.uint64)
         is_hot, _ = _read(shared, "hot", np.uint8)
-        order = np.argsort(key)
-        key, is_hot = key[order], is_hot[order]
+        order = np.argsort(known)
+        known, is_hot = known[order], is_hot[order]
+        table = _canonical(table)
+        doc = table.column("doc_id").to_numpy()
         cell = table.column("cell")[0].as_py()
-        windows: list[tuple] = []
-        for part in _steps(table):
+        found: list[tuple] = []
+        for first, part in _steps(table):
             items = Items(part.column("text"), by_words)
-            text, at, n, least = super_kmers(items, width, gram)
-            own = (((least >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (least & np.uint64(0xFFFFFFFF))
-            where = np.minimum(np.searchsorted(key, own), len(key) - 1)
-            keep = key[where] == own
-            text, at, n, least, hot = text[keep], at[keep], n[keep], least[keep], is_hot[where[keep]] > 0
-            doc, rid = part.column("doc_id").to_numpy(), part.column("rid").to_numpy()
-            pos = at - items.first[text]
+            text, at = window_starts(items, width)
+            grams = items.grams(gram)
+            least = ts.sliding_min(grams, width - gram + 1)
+            text, at, n, key = runs(text, at, least[at])
+            own = (_bucket(key, buckets).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+            where = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            keep = known[where] == own
+            text, at, n, key, hot = text[keep], at[keep], n[keep], key[keep], is_hot[where[keep]] > 0
             if hot.any():
                 start = ts.ranges(at[hot], n[hot])
-                of = np.repeat(text[hot], n[hot])
-                windows.append((*items.digests(start, width), doc[of], rid[of], start - items.first[of]))
-            cold = ~hot
-            text, at, n, least, pos = text[cold], at[cold], n[cold], least[cold], pos[cold]
+                second = ts.sliding_min(ts.mix(grams + np.uint64(0x5EC0)), width - gram + 1)[start]
+                split = runs(np.repeat(text[hot], n[hot]), start, ts.mix(np.repeat(key[hot], n[hot]) ^ ts.mix(second)))
+                text, at, n, key = (np.concatenate((x[~hot], y)) for x, y in zip((text, at, n, key), split, strict=True))
             begin, size = items.span(at, n + width - 1)
-            bucket = ((least >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            for x in _parts(bucket):
-                payload = items.data[ts.ranges(begin[x], size[x])]
-                rows.append((int(bucket[x[0]]), SEGMENT, cell, least[x].tobytes(), size[x].astype(np.int64).tobytes(), doc[text[x]].tobytes(), rid[text[x]].tobytes(), pos[x].tobytes(), n[x].tobytes(), payload.tobytes()))
-        if windows:
-            a, b, doc, rid, pos = (np.concatenate(x) for x in zip(*windows, strict=True))
-            lost, least = _beaten(a, b, doc)
-            rows.append((cell % buckets, DONE, cell, b"", b"", b"", rid[lost].tobytes(), pos[lost].tobytes(), b"", b""))
-            a, b, doc, rid, pos = (x[least] for x in (a, b, doc, rid, pos))
-            bucket = (a % np.uint64(buckets)).astype(np.int64)
-            for x in _parts(bucket):
-                rows.append((int(bucket[x[0]]), WINDOW, cell, a[x].tobytes(), b[x].tobytes(), doc[x].tobytes(), rid[x].tobytes(), pos[x].tobytes(), b"", b""))
+            found.append((key, size, n, text + first, at - items.first[text], items.data[ts.ranges(begin, size)]))
+        key, size, n, row, pos, data = (np.concatenate(x) for x in zip(*found, strict=True))
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(data)])
+        coded = strings.dictionary_encode()  # exact: equal codes, equal strings
+        code = coded.indices.to_numpy()
+        least = np.full(len(coded.dictionary), NULL_ID, np.int64)
+        np.minimum.at(least, code, doc[row])
+        beaten = doc[row] > least[code]
+        rows = [(cell % buckets, DONE, cell, b"", b"", b"", b"", row[beaten].astype(np.int32).tobytes(), pos[beaten].tobytes(), (n[beaten] + width - 1).tobytes(), b"")] if beaten.any() else []
+        stay = np.flatnonzero(~beaten)
+        stay = stay[np.argsort(code[stay], kind="stable")]
+        head = stay[np.flatnonzero(np.append(True, np.diff(code[stay]) != 0))] if len(stay) else stay  # one occurrence of each string, by code
+        copies = np.bincount(code[stay], minlength=len(least)).astype(np.int32)
+        begin = np.cumsum(size) - size
+        after = np.cumsum(copies) - copies
+        bucket = _bucket(key[head], buckets)
+        for x in _parts(bucket):
+            h = head[x]
+            own = stay[ts.ranges(after[x], copies[x])]
+            rows.append((int(bucket[x[0]]), SEGMENT, cell, key[h].tobytes(), size[h].tobytes(), least[x].tobytes(), copies[x].tobytes(), row[own].astype(np.int32).tobytes(), pos[own].tobytes(), b"", data[ts.ranges(begin[h], size[h])].tobytes()))
         return _rows(_PACKED, rows)
 
     return pack
 
 
 def _solve(width: int, solver: Callable, shard_bytes: int) -> Callable[[pa.Table], pa.Table]:
-    def ranges_of(cell: np.ndarray, rid: np.ndarray, pos: np.ndarray, n: np.ndarray) -> list[tuple]:
-        return [(int(cell[x[0]]), rid[x].tobytes(), pos[x].tobytes(), n[x].tobytes()) for x in _parts(cell)]
+    def ranges_of(cell: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray) -> list[tuple]:
+        return [(int(cell[x[0]]), row[x].tobytes(), pos[x].tobytes(), n[x].tobytes()) for x in _parts(cell)]
 
     def solve(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        rows: list[tuple] = []
-        for x in table.filter(pa.array(kind == DONE)).to_pylist():
-            n = len(x["rid"]) // 8
-            rows.append((x["cell"], x["rid"], x["pos"], np.full(n, width, np.int64).tobytes()))
-        whole = table.filter(pa.array(kind == WINDOW))
-        if whole.num_rows:
-            a, n = _read(whole, "a", np.uint64)
-            b, doc, rid, pos = (_read(whole, c, t)[0] for c, t in (("b", np.uint64), ("doc", np.int64), ("rid", np.int64), ("pos", np.int64)))
-            lost, _ = _beaten(a, b, doc)
-            rows += ranges_of(np.repeat(whole.column("cell").to_numpy(), n)[lost], rid[lost], pos[lost], np.full(int(lost.sum()), width, np.int64))
+        rows: list[tuple] = [(x["cell"], x["row"], x["pos"], x["n"]) for x in table.filter(pa.array(kind == DONE)).select(["cell", "row", "pos", "n"]).to_pylist()]
         segments = table.filter(pa.array(kind == SEGMENT))
         if segments.num_rows:
-            least, n = _read(segments, "a", np.uint64)
-            cell = np.repeat(segments.column("cell").to_numpy(), n)
-            size, doc, rid, pos, count = (_read(segments, c, np.int64)[0] for c in ("b", "doc", "rid", "pos", "n"))
+            key, held = _read(segments, "key", np.uint64)
+            cell = np.repeat(segments.column("cell").to_numpy(), held)
+            size, doc = (_read(segments, c, np.int64)[0] for c in ("size", "doc"))
+            copies, row, pos = _read(segments, "copies", np.int32)[0], _read(segments, "row", np.int32)[0], _read(segments, "pos", np.int64)[0]
+            after = np.cumsum(copies, dtype=np.int64) - copies
             data, _ = ts.flat(segments.column("bytes"))
             begin = np.cumsum(size) - size
-            order = np.argsort(least, kind="stable")
+            order = np.argsort(key, kind="stable")
             shard = np.cumsum(size[order]) // shard_bytes
-            first = np.append(True, least[order][1:] != least[order][:-1])
-            cuts = np.flatnonzero(first)  # a minimiser stays whole
+            cuts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))  # a minimiser stays whole
             cuts = cuts[np.append(True, shard[cuts][1:] != shard[cuts][:-1])]
             for x in np.split(order, cuts[1:]):
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(np.append(0, np.cumsum(size[x])).astype(np.int64)), pa.py_buffer(data[ts.ranges(begin[x], size[x])])])
-                codes = texts.dictionary_encode()
-                code = codes.indices.to_numpy()
-                smallest = np.full(len(codes.dictionary), NULL_ID, np.int64)
+                coded = texts.dictionary_encode()
+                code = coded.indices.to_numpy()
+                smallest = np.full(len(coded.dictionary), NULL_ID, np.int64)
                 np.minimum.at(smallest, code, doc[x])
-                # (distinct segment, window in it, least doc that starts the window)
-                of, window, winner = solver(codes.dictionary, smallest, width)
+                # (distinct string, window in it, least doc that starts the window)
+                of, window, winner = solver(coded.dictionary, smallest, width)
                 to = np.searchsorted(of, np.arange(len(smallest) + 1))
                 counts = np.diff(to)[code]
                 entry = ts.ranges(to[code], counts)
-                row = np.repeat(x, counts)
-                lost = winner[entry] < doc[row]
-                row, at = row[lost], window[entry[lost]]
-                new = np.ones(len(row), bool)  # neighbouring windows of a segment make one range
-                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+                own = np.repeat(x, counts)
+                lost = winner[entry] < doc[own]
+                own, at = own[lost], window[entry[lost]]
+                new = np.ones(len(own), bool)  # neighbouring windows of a string make one range
+                new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
                 a = np.flatnonzero(new)
-                last = np.append(a[1:], len(row)) - 1
-                if len(a):
-                    rows += ranges_of(cell[row[a]], rid[row[a]], pos[row[a]] + at[a], at[last] - at[a] + width)
+                if not len(a):
+                    continue
+                last = np.append(a[1:], len(own)) - 1
+                many = copies[own[a]]  # each range for all occurrences of its string
+                to = ts.ranges(after[own[a]], many)
+                rows += ranges_of(np.repeat(cell[own[a]], many), row[to], pos[to] + np.repeat(at[a], many), np.repeat(at[last] - at[a] + width, many))
         return _rows(_RANGES, rows)
 
     return solve
@@ -276,18 +275,20 @@ def _solve(width: int, solver: Callable, shard_bytes: int) -> Callable[[pa.Table
 
 def _keep(out: str, finish: Callable) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def keep(table: pa.Table, removed: pa.Table) -> pa.Table:
-        rid, _ = _read(removed, "rid", np.int64)
+        row, _ = _read(removed, "row", np.int32)
         pos, _ = _read(removed, "pos", np.int64)
         n, _ = _read(removed, "n", np.int64)
-        order = np.argsort(rid, kind="stable")
-        rid, pos, n = rid[order], pos[order], n[order]
+        order = np.argsort(row, kind="stable")
+        row, pos, n = row[order], pos[order], n[order]
         rows = []
-        for part in _steps(table):
-            own = part.column("rid").to_numpy()
-            lo, hi = np.searchsorted(rid, own), np.searchsorted(rid, own, side="right")
+        if not table.num_rows:
+            return _rows(out, rows)
+        for first, part in _steps(_canonical(table)):
+            own = np.arange(first, first + part.num_rows)
+            lo, hi = np.searchsorted(row, own), np.searchsorted(row, own, side="right")
             for k, text in enumerate(part.column("text").cast(pa.binary())):
                 starts = pos[lo[k] : hi[k]]
-                rows.append((part.column("doc_id")[k].as_py(), *finish(text.as_py(), starts, starts + n[lo[k] : hi[k]])))
+                rows.append((part.column("doc_id")[k].as_py(), part.column("rows")[k].as_py(), *finish(text.as_py(), starts, starts + n[lo[k] : hi[k]])))
         return _rows(out, rows)
 
     return keep
@@ -301,23 +302,34 @@ def covered(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:length] > 0
 
 
-def remove_shared_windows(docs: DataFrame, *, by_words: bool, width: int, gram: int, solver: Callable, finish: Callable, out: str, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000, shard_bytes: int = 1 << 20) -> DataFrame:
+def remove_shared_windows(docs: DataFrame, *, by_words: bool, width: int, gram: int, solver: Callable, finish: Callable, out: str, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD, shard_bytes: int = 1 << 20) -> DataFrame:
     """Apply ``finish(text, starts, ends)`` to every document with its removed item ranges.
 
-    ``solver(segments, docs, width)`` gets the distinct packed strings of a shard and the
-    least doc of each, and returns (segment, window, least doc) sorted by segment. ``out``
-    is the schema of the result: doc_id and what ``finish`` returns.
+    ``solver(strings, docs, width)`` gets the distinct packed strings of a shard and the
+    least doc of each, and returns (string, window, least doc) sorted by string. ``out`` is
+    the schema of what ``finish`` returns. ``spread`` moves work between buckets; the result
+    does not depend on it.
 
     A null text is empty. A null doc_id counts as larger than all ids and comes back as
-    null. Rows that agree in id and text are one document; documents with one id and
-    different texts do not remove each other's windows.
+    null. Rows that agree in id and text are one document, which is processed once and
+    returned as often as it is there; documents with one id and different texts do not
+    remove each other's windows. An empty table gives no rows, other columns are not read.
     """
-    parts = source_partitions(docs)
-    cells, buckets = max(16, 8 * parts), max(16, parts)
-    dealt = keyed(docs, doc_id, text).select(F.pmod("rid", F.lit(cells)).alias("cell"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "rid", "text")
-    found = dealt.groupBy("cell").applyInArrow(_find(by_words, width, gram, buckets), _FOUND)
-    shared = found.groupBy("bucket").applyInArrow(_share(hot), _SHARED)
-    packed = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(_pack(by_words, width, gram, buckets), _PACKED)
-    removed = packed.groupBy("bucket").applyInArrow(_solve(width, solver, shard_bytes), _RANGES)
+    whole = keyed(docs, doc_id, text)
+    sizes = whole.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("size"))
+    most, total = sizes.agg(F.max("n"), F.sum("size")).first()
+    if (most or 0) > 1:  # repeated rows are counted where they are read
+        whole = whole.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    else:
+        whole = whole.withColumn("rows", F.lit(1).cast("long"))
+    cells, buckets, tasks = (pieces(total or 0, *size) for size in (_CELLS, _BUCKETS, _TASKS))
+    dealt = whole.select(F.pmod("k1", F.lit(cells)).alias("cell"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "k1", "k2", "rows", "text").repartition(tasks, "cell")
+    found = dealt.groupBy("cell").applyInArrow(_find(by_words, width, gram, buckets), _FOUND).repartition(tasks, "bucket")
+    shared = found.groupBy("bucket").applyInArrow(_share(spread), _SHARED).repartition(tasks, "cell")
+    packed = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(_pack(by_words, width, gram, buckets), _PACKED).repartition(tasks, "bucket")
+    removed = packed.groupBy("bucket").applyInArrow(_solve(width, solver, shard_bytes), _RANGES).repartition(tasks, "cell")
+    out = f"doc_id long, rows long, {out}"
     done = dealt.groupBy("cell").cogroup(removed.groupBy("cell")).applyInArrow(_keep(out, finish), out)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    if (most or 0) > 1:
+        done = done.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).drop("rows")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from barloom.llm import bagminhash, decontaminate, embedding_lsh, lang_id, mixing, quality_cnn, queries, secret_scan, substring_words, suffix_array, url_filter
+from barloom.llm import bagminhash, decontaminate, embedding_lsh, lang_id, mixing, quality_cnn, queries, secret_scan, substring_words, suffix_array, url_filter, windows
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,21 +56,32 @@ def _rows(frame, *columns):
     return sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_words_and_bytes_match_brute_force(spark, edge, hot):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge.select("doc_id", "text", "lang", "source", "n_chars"))
+@pytest.mark.parametrize("spread", [windows.SPREAD, 1])
+def test_words_and_bytes_match_brute_force(spark, edge, empty, spread):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge, allowMissingColumns=True)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     words = [(d, n, g, k) for d, n, g, _, k in _windows(rows, lambda t: t.encode().split(), 50, b" ".join)]
-    assert _rows(substring_words.repeated_words_digest(docs, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(words, key=repr)
-    if hot == 1:
-        found = suffix_array.repeated_bytes_digest(docs, hot=hot)
-        assert _rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _windows(rows, lambda t: t.encode(), 50, bytes)
+    assert _rows(substring_words.repeated_words_digest(docs, spread=spread), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(words, key=repr)
+    found = suffix_array.repeated_bytes_digest(docs, spread=spread)
+    assert _rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _windows(rows, lambda t: t.encode(), 50, bytes)
+    assert substring_words.repeated_words_digest(empty).count() == suffix_array.repeated_bytes_digest(empty).count() == 0
+
+
+def test_repeated_rows_and_one_string_everywhere(spark):
+    """A row repeated many times is one document; a string that most documents hold comes from the least one."""
+    one = "abcdefghij " * 60
+    docs = spark.range(3000).selectExpr("CAST(CASE WHEN id < 2000 THEN 5 ELSE id END AS LONG) AS doc_id", f"concat(CASE WHEN id < 2000 THEN '' ELSE concat('x', id, ' ') END, '{one}') AS text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = _windows(rows, lambda t: t.encode(), 50, bytes)
+    assert _rows(suffix_array.repeated_bytes_digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    kept = {(r.doc_id, r.n_removed) for r in substring_words.repeated_words_digest(docs.selectExpr("doc_id", "repeat(text, 3) AS text")).collect()}
+    assert (5, 0) in kept and all(n > 0 for d, n in kept if d != 5) and len(kept) == 1001
 
 
 def test_suffix_array():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 7, 60, 700):
-        for letters in (1, 2, 5, 90):
+    for n in (0, 1, 2, 7, 60, 700, 5000):
+        for letters in (1, 2, 5, 90) if n < 5000 else (3, 40):
             s = np.append(rng.integers(1, letters + 1, n), 0).astype(np.uint16)
             assert list(suffix_array.suffix_array(s)) == sorted(range(n + 1), key=lambda i: tuple(s[i:]))
 
@@ -85,7 +96,7 @@ def test_bagminhash_is_unbiased():
 
 
 def test_near_duplicates_match_brute_force(spark, edge):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", edge.doc_id + 100_000)).where("doc_id IS NOT NULL")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge.withColumns({"doc_id": edge.doc_id + 100_000, "k1": edge.size, "component": edge.size}), allowMissingColumns=True).where("doc_id IS NOT NULL")
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect()})
     bags = []
     for _, t in rows:
@@ -179,13 +190,14 @@ def test_recall_at_the_threshold():
 
 def test_wand_finds_all_above_the_threshold():
     rng = np.random.default_rng(4)
-    texts = [" ".join(f"t{min(int(x), 400)}" for x in rng.zipf(1.4, 30)) for _ in range(90)]
+    texts = [" ".join(f"t{min(int(x), 400)}" for x in rng.zipf(1.4, 30)) for _ in range(90)] + ["t1", "t1 t2", "t2 t2"]
     index = decontaminate.build(list(enumerate(texts)))
     full = np.zeros((len(index.words), len(texts)))
-    full[np.repeat(np.arange(len(index.words)), np.diff(index.begin)), index.item] = index.impact
+    for i, (w, x) in enumerate(zip(index.own_words, index.own_impacts)):
+        full[w, i] = x
     words = [np.unique(rng.integers(0, len(index.words), 60)) for _ in range(80)]
     for threshold in (0.05, 0.2, 0.5):
-        expected = {(p, i) for p, w in enumerate(words) for i in np.flatnonzero(full[w].sum(axis=0) >= threshold)}
+        expected = {(p, i) for p, w in enumerate(words) for i in np.flatnonzero(full[w].sum(axis=0) >= threshold - 1e-9)}
         found = decontaminate.wand(index, np.repeat(np.arange(80), [len(w) for w in words]), np.concatenate(words), 80, threshold)
         assert {(p, i) for p, i, _ in found} == expected
 
@@ -205,17 +217,17 @@ def test_mixing(spark, edge, empty):
     for n in (1, 2, 7, 1000):
         there = mixing.permute(np.arange(n), n, 5)
         assert sorted(there) == list(range(n)) and list(mixing.permute(there, n, 5, inverse=True)) == list(range(n))
-    docs = edge.select("doc_id", "text", "source")
+    docs = edge.withColumns({"target": edge.size, "start": edge.size, "__n": edge.size})  # clashes with result columns
     for block in (512, 7):
         mixed = mixing.mix(docs, block=block, shard_slots=16)
-        found = mixing.taken(mixed, "doc_id", "source").collect()
+        found = mixing.taken_text(mixed, "doc_id", "source", unused_too=True).collect()
         assert len(found) == len(EDGE) and all(r.taken <= 3 * r["size"] for r in found)
         for share in mixed.shares:
             assert abs(sum(r.taken for r in found if r.source == share.source) - share.target) <= 0.5
-        assert sorted(map(repr, found)) == sorted(map(repr, mixing.taken(mixing.mix(docs, block=block, shard_slots=16), "doc_id", "source").collect()))
+        assert sorted(map(repr, found)) == sorted(map(repr, mixing.taken_text(mixing.mix(docs, block=block, shard_slots=16), "doc_id", "source", unused_too=True).collect()))
         texts = mixing.mixed_blocks(mixed).collect()
         assert sum(len(r.text.split()) for r in texts) == sum(r.taken for r in found) and len({(r.shard, r.position) for r in texts}) == len(texts)
-    assert mixing.taken(mixing.mix(empty), "doc_id").count() == 0
+    assert mixing.taken_text(mixing.mix(empty), "doc_id", unused_too=True).count() == 0
 
 
 def test_url_rules_and_mining(spark):
@@ -313,7 +325,7 @@ def test_pipeline_gives_the_mix(spark, edge):
         found = mixing.taken_text(mixed, "doc_id").collect()
         assert all(r.taken == sum(len(p.text.encode().split()) for p in r.pieces) > 0 for r in found)
         blocks = {}
-        for shard, position, _, text in sorted((tuple(p) for r in found for p in r.pieces), key=lambda p: p[:3]):
+        for shard, position, _, _, text in sorted((tuple(p) for r in found for p in r.pieces), key=lambda p: p[:3]):
             blocks.setdefault((shard, position), []).append(text)
         assert {k: " ".join(v) for k, v in blocks.items()} == {(r.shard, r.position): r.text for r in mixing.mixed_blocks(mixed).collect()}
     import corpus_pipeline
