@@ -11,7 +11,7 @@ Jaccard similarity. Processes end once they are past a document's latest registe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import batches, cut, keyed, row_id, source_partitions
+from .common import batches, cut, hashes, join_sized, keyed, numbered, unused
 from .components import components, spanning_forest
 
 SHINGLE_WORDS = 5
@@ -28,8 +28,14 @@ SIMILARITY = 0.8
 #: 24 bands of 4 registers: a pair at similarity 0.8 shares no band with probability 3e-6.
 BANDS = 24
 ROWS = 4
-#: Documents a side that one comparison of blocks takes.
+#: Documents a side that one comparison of blocks takes, of texts and of sketches.
 BLOCK = 256
+SKETCH_BLOCK = 1024
+#: Of 96 registers a pair at similarity 0.8 shares under 0.58 with probability 4e-7, far rarer than no band.
+ESTIMATE = 0.58
+#: Rows that a unit of comparisons takes, of texts and of sketches, blocks aside.
+UNIT_ROWS = 2000
+SKETCH_UNIT_ROWS = 50_000
 _STEP_BYTES = 2 << 20
 _TICKS = float(2**36)
 _NEVER = np.int64(2**62)
@@ -117,9 +123,28 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 4096):
             part = batch.slice(start, 4096)
             hashes, begin = shingles(part.column("text"))
-            keys = band_keys(signatures(hashes, begin))
+            points = signatures(hashes, begin)
+            keys = band_keys(points)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), part.column("node"), pa.array(np.diff(begin)), bands], names=["doc_id", "rid", "node", "n", "bands"])
+            own = ["doc_id", "k1", "k2", "h1", "h2"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(np.diff(begin)), bands, pa.array([x.tobytes() for x in sketches(points)], pa.binary())], names=[*own, "n", "bands", "sketch"])
+
+
+def sketches(earliest: np.ndarray) -> np.ndarray:
+    """A byte for each register: equal registers have equal bytes, others 1 in 256 times."""
+    return (ts.mix(earliest.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    data, offsets = ts.flat(column)
+    return data.reshape(len(column), -1) if len(column) else np.zeros((0, BANDS * ROWS), np.uint8)
+
+
+def _alike(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches agree often enough for the threshold."""
+    for batch in rows:
+        keep = pa.array((_bytes(batch.column("sketch_a")) == _bytes(batch.column("sketch_b"))).mean(axis=1) >= ESTIMATE if batch.num_rows else [], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
 def _verify(threshold: float):
@@ -165,84 +190,146 @@ def overlaps(hashes: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.
     return both / np.maximum(either, 1)
 
 
-def _compare(threshold: float):
-    def compare(table: pa.Table) -> pa.Table:
-        family, i, j, side, node, component = (table.column(c).to_numpy() for c in ("family", "i", "j", "side", "node", "component"))
-        order = np.lexsort((node, side, j, i, family))
-        keys = np.stack([family, i, j])[:, order]
-        cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-        text = table.column("text").combine_chunks()
-        out_a, out_b = [], []
-        for own in np.split(order, cuts[1:]):
-            left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
-            if not len(left) or not len(right):
-                continue
-            near = overlaps(*shingles(text.take(pa.array(own))), left, right) >= threshold
-            near &= component[own[left]][:, None] != component[own[right]][None, :]
-            if near.any():
-                label = spanning_forest(near, left, right, len(own))
+def _blocks(table: pa.Table, *keys: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, left, right) of each pair of blocks in a unit; left and right are positions in the rows."""
+    columns = [table.column(c).to_numpy() for c in (*keys, "i", "j")]
+    side = table.column("side").to_numpy()
+    order = np.lexsort((table.column("node").to_numpy(), side, *columns[::-1]))
+    sorted_ = np.stack(columns)[:, order]
+    cuts = np.flatnonzero(np.append(True, (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)))
+    for own in np.split(order, cuts[1:]):
+        left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
+        if len(left) and len(right):
+            yield own, left, right
+
+
+def _edges(near: Callable, *keys: str) -> Callable[[pa.Table], pa.Table]:
+    """Forest edges of the links ``near(table, rows, left, right)`` between different components."""
+
+    def edges(table: pa.Table) -> pa.Table:
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        table = table.combine_chunks()
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, left, right in _blocks(table, *keys):
+            linked = near(table, own, left, right)
+            linked &= component[own[left]][:, None] != component[own[right]][None, :]
+            if linked.any():
+                label = spanning_forest(linked, left, right, len(own))
                 moved = np.flatnonzero(label != np.arange(len(own)))
                 out_a.append(node[own[moved]])
                 out_b.append(node[own[label[moved]]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return edges
+
+
+def _near_sketches(similarity: float) -> Callable:
+    def near(table: pa.Table, own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x, n = _bytes(table.column("sketch").take(pa.array(own))), table.column("n").to_numpy()[own].astype(float)
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(x.shape[1]):
+            same += x[left, k][:, None] == x[right, k][None, :]
+        sizes = np.minimum(n[left][:, None], n[right][None, :]) >= similarity * np.maximum(n[left][:, None], n[right][None, :])
+        return (same >= ESTIMATE * x.shape[1]) & sizes
+
+    return near
+
+
+def _near_texts(similarity: float) -> Callable:
+    def near(table: pa.Table, own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return overlaps(*shingles(table.column("text").take(pa.array(own))), left, right) >= similarity
 
-    return compare
+    return near
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, key: str, block: int, unit_rows: int, columns: list[str], total: int) -> DataFrame:
+    """Rows dealt as pairs of blocks: each row outside its group's main component meets all rows of the group.
+
+    A group's blocks lie in many units, so no task holds it; units follow the rows dealt.
+    """
+    sized = groups.withColumn("lefts", F.ceil((F.col("all") - F.col("own")) / block).cast("int")).withColumn("rights", F.ceil(F.col("all") / block).cast("int"))
+    count = sized.agg(F.sum((F.col("all") - F.col("own")) * F.col("rights") + F.col("all") * F.col("lefts"))).first()[0] or 0
+    whole = join_sized(rows, sized, [key], "all", total)
+    place = lambda salt, blocks: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    rest = whole.where("component <> main").select(key, *columns, F.lit(0).alias("side"), place(0, "lefts").alias("i"), each("rights").alias("j"))
+    every = whole.select(key, *columns, F.lit(1).alias("side"), place(1, "rights").alias("j"), each("lefts").alias("i"))
+    return rest.unionByName(every).withColumn("unit", F.pmod(F.xxhash64(key, "i", "j"), F.lit(max(16, count // unit_rows))))
+
+
+def _mixed(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, main, own, all) of the groups of ``least`` rows or more with several components; ``main`` is the largest."""
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("own"))
+    whole = sizes.groupBy(key).agg(F.max(F.struct("own", "component")).alias("m"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("parts"))
+    return cut(whole.where((F.col("parts") > 1) & (F.col("all") >= least)).select(key, F.col("m.component").alias("main"), F.col("m.own").alias("own"), "all"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, rid, class_id, kept and class_size for every document.
+    """doc_id, k1, k2, class_id, kept and class_size for every document.
 
     Documents of equal text are one node. Nodes that share a band are candidates: each is
     verified against its bucket's hub, the member that meets most others over all bands.
-    Nodes that candidates connect are a family. Where links leave a family in several
-    components, every member outside its largest one is compared with all others, in
-    blocks and without a row for a pair; so no link between different texts of a family is
-    lost, while a family of copies costs little more than one test a member.
+    In buckets that this leaves in several components, members outside the largest one meet
+    all others by their sketches, in blocks and without a row for a pair; nodes that sketches
+    link are a family, whose components are compared by their texts in the same way. So a
+    candidate pair is left out only where its sketches agree too seldom (see ESTIMATE), and a
+    bucket of copies costs little more than one test a member. Members of one bucket that all
+    differ are compared pair by pair, in numpy.
+
     class_id is the least doc_id of a connected class, and its document is kept; rows that
     repeat both id and text of it are kept, too. Null texts are empty; texts without words
     are one class if equal and link with nothing else. A null doc_id is larger than all
-    ids; a class of null ids only has a null class_id.
+    ids; a class of null ids only has a null class_id. Of documents with one id the one of
+    least key counts as least. Long texts are compared whole; other columns are not read, and
+    an empty table gives no rows.
     """
-    rows = keyed(docs, doc_id, text).withColumn("node", F.xxhash64("text"))
-    signed = cut(rows.mapInArrow(_sign, "doc_id long, rid long, node long, n long, bands array<long>"))
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("s"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    bands = nodes.select("node", "n", F.col("s.rid").alias("rid"), F.explode("bands").alias("key"))
-    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(bands.join(met, "key"))
-    popular = members.groupBy("node").agg(F.sum("size").alias("meets"), F.first("n").alias("n"), F.first("rid").alias("rid"))
-    texts = cut(rows.select("rid", "text").join(popular.select("rid", "node", "meets", "n"), "rid").groupBy("node").agg(F.first("text").alias("text"), F.first("meets").alias("meets"), F.first("n").alias("n")))
-    hubs = members.select("key", "node").join(texts.select("node", "meets", "n"), "node")
-    hub = hubs.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("hub"))
-    stars = hubs.join(hub, "key").where("node <> hub.node").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.first("hub.n").alias("n_a"), F.first("n").alias("n_b"))
-    stars = cut(stars)
-    near = stars.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    h1, h2 = hashes("text")
+    rows = keyed(docs, doc_id, text).select("*", h1.alias("h1"), h2.alias("h2"))
+    signed = cut(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, h1 long, h2 long, n long, bands array<long>, sketch binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2"))
+    nodes = numbered(signed.groupBy("h1", "h2").agg(first.alias("s"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "node")
+    total = nodes.count()
+    bands = nodes.where("n > 0").select("node", F.explode("bands").alias("key"))
+    met = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = cut(join_sized(bands, met, ["key"], "size", total * BANDS))
+    popular = cut(members.groupBy("node").agg(F.sum("size").alias("meets")).join(nodes.select("node", "n", F.col("s.k1").alias("k1"), F.col("s.k2").alias("k2"), "sketch"), "node"))
+    texts = cut(rows.select("k1", "k2", "text").join(popular.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")))
+    hubs = members.join(popular.select("node", "meets", "n"), "node")
+    hub = cut(hubs.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")))
+    stars = join_sized(hubs, hub, ["key"], "rows", total * BANDS).where("node <> hub.node").where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda c: popular.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    near = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long")
     near = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     found = components(near.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a long, b long, similarity double").select("a", "b"))
-    families = components(stars.select("a", "b")).withColumnRenamed("component", "family")
-    part = families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = part.groupBy("family", "component").agg(F.count(F.lit(1)).alias("own"))
-    mixed = sizes.groupBy("family").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select("family", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.own")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
-    open_ = part.join(mixed, "family").join(texts.select("node", "text"), "node")
-    place = lambda salt, blocks: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    columns = ["family", "node", "component", "text"]
-    rest = open_.where("component <> main").select(*columns, F.lit(0).alias("side"), place(0, "lefts").alias("i"), each("rights").alias("j"))
-    every = open_.select(*columns, F.lit(1).alias("side"), place(1, "rights").alias("j"), each("lefts").alias("i"))
-    units = 16 * source_partitions(docs)
-    dealt = rest.unionByName(every).withColumn("unit", F.pmod(F.xxhash64("family", "i", "j"), F.lit(units)))
-    extra = cut(dealt.groupBy("unit").applyInArrow(_compare(similarity), "a long, b long"))
+
+    part = popular.select("node", "n", "sketch").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("key", "node").join(part, "node")
+    open_ = _mixed(placed, "key", 3)  # two members were compared as hub and member
+    alike = _dealt(placed, open_, "key", SKETCH_BLOCK, SKETCH_UNIT_ROWS, ["node", "component", "n", "sketch"], total * BANDS)
+    families = components(alike.groupBy("unit").applyInArrow(_edges(_near_sketches(similarity), "key"), "a long, b long")).withColumnRenamed("component", "family")
+    families = cut(families.join(part.select("node", "component"), "node").join(texts, "node"))
+    dealt = _dealt(families, _mixed(families, "family", 2), "family", BLOCK, UNIT_ROWS, ["node", "component", "text"], total)
+    extra = cut(dealt.groupBy("unit").applyInArrow(_edges(_near_texts(similarity), "family"), "a long, b long"))
     if not extra.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
-    classed = signed.select("doc_id", "rid", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")
-    least = classed.groupBy("component").agg(first, F.count(F.lit(1)).alias("class_size"))
-    out = classed.join(least, "component")
-    return out.select("doc_id", "rid", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("kept"), "class_size")
+
+    own = nodes.select("h1", "h2", "node", "s", "copies")
+    grouped = cut(own.join(found, "node"))
+    least = cut(grouped.groupBy("component").agg(F.min("s").alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")))
+    classed = join_sized(grouped, least, ["component"], "members", total).select("h1", "h2", "copies", "first", "class_size")
+    alone = own.join(grouped.select("node"), "node", "left_anti").select("h1", "h2", "copies", F.col("s").alias("first"), F.col("copies").alias("class_size"))
+    classes = cut(classed.unionByName(alone))
+    out = join_sized(signed.select("doc_id", "k1", "k2", "h1", "h2"), classes, ["h1", "h2"], "copies", signed.count())
+    return out.select("doc_id", "k1", "k2", F.col("first.doc_id").alias("class_id"), ((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).alias("kept"), "class_size")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, with all their columns; of repeated rows one stays."""
-    kept = near_duplicates(docs, doc_id=doc_id, text=text, similarity=similarity).where("kept").select(F.col("rid").alias("__rid")).distinct()
-    return docs.withColumn("__rid", row_id(doc_id, text)).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
+    """The documents that :func:`near_duplicates` keeps, with all their columns; of repeated rows one stays.
+
+    An empty table stays empty; a null text stays null.
+    """
+    a, b = unused("k1", docs), unused("k2", docs)
+    found = near_duplicates(docs.select(doc_id, text), doc_id=doc_id, text=text, similarity=similarity)
+    kept = found.where("kept").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    k1, k2 = hashes(doc_id, text)
+    return docs.withColumns({a: k1, b: k2}).join(kept, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
