@@ -11,7 +11,7 @@ from . import bagminhash, decontaminate, embedding_lsh, lang_id, mixing, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.judge_sql()}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,7 +30,8 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "doc_id")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.taken_text(mixed, "doc_id", unused_too=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query
@@ -81,7 +82,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.span_label().alias("spans"), "n_live", "n_copied")
 
 

@@ -2,7 +2,9 @@
 
 All of it is DataFrame functions: Spark's FP-growth mines token combinations of
 labelled URLs, rules pruned by support and confidence are indexed by their
-rarest token, and a URL meets a rule when it holds all tokens of it.
+rarest token, and a URL meets a rule when it holds all tokens of it. A URL has one
+token for each of its eight aspects; long paths and many parameters make long
+tokens, not many, so the sets to mine do not multiply.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashes
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-#: Mined rules up to this count are broadcast; more are joined by shuffle.
-BROADCAST_RULES = 20_000
+#: Tokens of one URL: so many at most, however long it is. A row of a table of N rows adds to 2^9 sets of tokens
+#: and label, so at most 2^9 / MIN_SUPPORT = 102,400 sets are frequent at any N: mining ends, and rules are few.
+TOKENS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABEL = "="
 
@@ -57,17 +60,28 @@ def explicit_rule(host: str, path: str, rules: tuple[Rule, ...]) -> Column:
 
 
 def url_tokens(url: str, host: str, path: str) -> Column:
-    """Distinct tokens: scheme, host labels, path parts with digits masked, names of query parameters."""
-    def tagged(tag: str, parts: Column) -> Column:
-        return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
+    """The distinct tokens of a URL, sorted; digits of paths are masked and aspects that are missing give none.
 
+    Scheme, last label of the host, last two labels, whole host, first part of the path,
+    whole path, extension, and the sorted names of all query parameters.
+    """
+    def aspect(tag: str, value: Column) -> Column:
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(tag), value))
+
+    masked = F.regexp_replace(F.col(path), "[0-9]+", "#")
     query = F.regexp_extract(F.col(url), r"(?s)\?([^#]*)", 1)
-    return F.array_sort(F.array_distinct(F.concat(
-        tagged("s:", F.array(F.regexp_extract(F.col(url), r"(?s)^(.*?)://", 1))),
-        tagged("h:", F.split(F.col(host), r"\.")),
-        tagged("p:", F.split(F.regexp_replace(F.col(path), "[0-9]+", "#"), "/")),
-        tagged("q:", F.transform(F.split(query, "&"), lambda x: F.split(x, "=", 2)[0])),
-    )))
+    names = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=", 2)[0]), lambda x: x != ""))), "&")
+    tokens = F.array(
+        aspect("s:", F.regexp_extract(F.col(url), r"(?s)^(.*?)://", 1)),
+        aspect("t:", F.substring_index(F.col(host), ".", -1)),
+        aspect("d:", F.when(F.col(host).contains("."), F.substring_index(F.col(host), ".", -2))),
+        aspect("h:", F.col(host)),
+        aspect("f:", F.regexp_extract(masked, r"(?s)^/([^/]+)/", 1)),
+        aspect("p:", masked),
+        aspect("x:", F.regexp_extract(masked, r"(?s)\.([^./]+)$", 1)),
+        aspect("q:", names),
+    )
+    return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull())))
 
 
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, partitions: int | None = None) -> DataFrame:
@@ -92,25 +106,51 @@ def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidenc
 
 
 def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(sid, mined) of rows (sid, tokens) that some rule fits: the one of highest confidence, then support."""
-    index = F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules
-    hits = token_sets.select("sid", "tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.size(F.array_except("items", "tokens")) == 0)
-    return hits.groupBy("sid").agg(F.max(F.struct("confidence", "support", "verdict", "items")).alias("mined"))
+    """(k1, k2, mined) of rows (k1, k2, tokens) that some rule fits: the one of highest confidence, then support, then by name."""
+    hits = token_sets.select("k1", "k2", "tokens", F.explode("tokens").alias("key")).join(F.broadcast(rules), "key").where(F.size(F.array_except("items", "tokens")) == 0)  # 102,400 rules at most: see TOKENS
+    best = F.max(F.struct("confidence", "support", "verdict", F.array_join("items", " ").alias("items")))
+    return hits.groupBy("k1", "k2").agg(best.alias("mined"))
 
 
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule and confidence of every page.
 
     The longest explicit rule decides. Its verdicts label URLs for mining, and mined rules
-    decide the rest; what none fits is allowed. A null url or one without ``://`` has empty
-    host and path and no tokens. Repeated rows each get the same verdict.
+    decide the rest; what none fits is allowed, and without labelled URLs nothing is mined.
+    Of mined rules that fit, the one of highest confidence, then support counts; ties go to
+    the greater verdict, then name. A null or empty url or one without ``://`` has empty host
+    and path and no tokens. Long urls are read whole. Repeated rows each get the same
+    verdict; other columns are not read, and an empty table gives no rows.
     """
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url")).withColumns({"host": host(), "path": path()})
     own = own.withColumn("r", explicit_rule("host", "path", rules)).withColumn("tokens", F.when(F.col("host") != "", url_tokens("url", "host", "path")).otherwise(F.expr("cast(array() as array<string>)")))
     labelled = own.where("r is not null").select("tokens", F.col("r.verdict").alias("verdict"))
     mined = mine(labelled, min_support=min_support, min_confidence=min_confidence)
-    rest = own.where("r is null").select("tokens").distinct().withColumn("sid", F.xxhash64("tokens"))
-    found = match(rest, mined)
     # pages that a rule decided need no match; a key of their own keeps them from meeting in one task
-    out = own.withColumn("sid", F.when(F.col("r").isNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("page_id", "url"))).join(found, "sid", "left").withColumn("mined", F.when(F.col("r").isNull(), F.col("mined")))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("mined.verdict"), F.lit("allow")).alias("verdict"), F.array_join("mined.items", " ").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
+    for name, own_key, shared in zip(("k1", "k2"), hashes("page_id", "url"), hashes("tokens"), strict=True):
+        own = own.withColumn(name, F.when(F.col("r").isNull(), shared).otherwise(own_key))
+    rest = own.where("r is null").select("k1", "k2", "tokens").distinct()
+    found = match(rest, mined)
+    out = own.join(found, ["k1", "k2"], "left").withColumn("mined", F.when(F.col("r").isNull(), F.col("mined")))
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("mined.verdict"), F.lit("allow")).alias("verdict"), F.col("mined.items").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
+
+
+def judge_sql(pages: str = "pages", rules: tuple[Rule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> str:
+    """DuckDB SQL for :func:`judge` that counts every subset of every URL's tokens."""
+    fits = "".join(f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'rule': '{r.name}', 'verdict': '{r.verdict}'}}" for r in sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True))
+    return rf"""WITH cut AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, row_number() OVER () AS k, strpos(coalesce(url, ''), '://') AS at FROM {pages}),
+        parts AS (SELECT *, CASE WHEN at > 0 THEN left(url, at - 1) ELSE '' END AS scheme, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM cut),
+        hosts AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM parts),
+        asked AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS masked, regexp_extract(coalesce(url, ''), '\?([^#]*)', 1, 's') AS query, string_split(host, '.') AS labels, CASE{fits} END AS r FROM hosts),
+        named AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(query, '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''))), '&') AS params,
+            CASE WHEN masked LIKE '/%' AND len(string_split(masked, '/')) > 2 THEN string_split(masked, '/')[2] ELSE '' END AS lead, regexp_extract(masked, '\.([^./]+)$', 1, 's') AS ext FROM asked),
+        own AS (SELECT page_id, k, host, path, r, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter([
+            CASE WHEN scheme <> '' THEN 's:' || scheme END, CASE WHEN labels[-1] <> '' THEN 't:' || labels[-1] END,
+            CASE WHEN len(labels) > 1 THEN 'd:' || array_to_string(labels[-2:], '.') END, 'h:' || host, CASE WHEN lead <> '' THEN 'f:' || lead END,
+            CASE WHEN masked <> '' THEN 'p:' || masked END, CASE WHEN ext <> '' THEN 'x:' || ext END, CASE WHEN params <> '' THEN 'q:' || params END], lambda x: x IS NOT NULL))) END AS tokens FROM named),
+        subsets AS (SELECT o.k, o.r.verdict AS verdict, array_to_string(list_filter(o.tokens, lambda x, i: (m.m >> (i - 1)) & 1 = 1), ' ') AS items FROM own o JOIN range(1, 256) m(m) ON m.m < (1 << len(o.tokens))),
+        counted AS (SELECT items, verdict, count(*) AS n FROM subsets WHERE verdict IS NOT NULL GROUP BY items, verdict),
+        mined AS (SELECT * FROM (SELECT *, n / CAST(sum(n) OVER (PARTITION BY items) AS DOUBLE) AS confidence FROM counted) q WHERE n >= ceil({min_support} * (SELECT count(*) FROM own WHERE r IS NOT NULL)) AND confidence >= {min_confidence}),
+        best AS (SELECT s.k, max(row(m.confidence, m.n, m.verdict, m.items)) AS b FROM subsets s JOIN mined m ON s.items = m.items WHERE s.verdict IS NULL GROUP BY s.k)
+        SELECT o.page_id, o.host, o.path, o.r.rule AS rule, coalesce(o.r.verdict, m.verdict, 'allow') AS verdict, m.items AS mined_rule, m.confidence AS confidence
+        FROM own o LEFT JOIN best b ON o.k = b.k LEFT JOIN mined m ON m.items = b.b[4] AND m.verdict = b.b[3]"""
