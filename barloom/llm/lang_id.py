@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import row_id
+from .common import hashes
 
 UNKNOWN = "und"
 #: Hashed features; n-grams of 1 to 3 letters share them.
@@ -113,37 +114,44 @@ def train(found: np.ndarray, labels: list[str]) -> Model:
 
 
 def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = FIT_ROWS, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of the labelled rows: ``per_language`` of each, ``rows`` in all.
+    """Fit on a bounded sample of the labelled rows: ``per_language`` of each language, ``rows`` in all.
 
-    The sample is the rows of least key hash, so reruns agree. Rows with a null label or
-    without letters teach nothing; without any row the model knows no language.
+    The sample is the rows of least key hash, so reruns agree; repeated rows count once. It
+    is drawn from keys alone, before any text moves. Of more than ``rows`` labels the most
+    frequent are learned (of equal ones the first by name). Rows with a null label or
+    without letters teach nothing; without any row, as from an empty table, the model knows
+    no language. Sampled texts are read whole; other columns are not read.
     """
-    known = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), row_id(doc_id, text).alias("rid"), F.col(text).alias("text"))
-    sizes = {r["label"]: r["n"] for r in labelled.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    k1, k2 = hashes(doc_id, text)
+    known = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    keys = known.select("label", "k1", "k2").distinct()
+    sizes = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(rows)
+    languages = sizes.count()
+    if not languages:
         return train(np.zeros((0, DIMENSIONS)), [])
-    each = max(1, min(per_language, rows // len(sizes)))
-    share = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(1.0)
-    for name, n in sizes.items():  # a third more than asked for: the exact cut follows
-        rate = F.when(F.col("label") == name, min(1.0, 1.33 * each / n)).otherwise(rate)
+    each = max(1, min(per_language, rows // languages))
+    share = F.pmod("k1", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # some more than asked for: the exact cut follows
+    drawn = keys.join(F.broadcast(sizes), "label").where(share * F.col("n") < each + 4 * math.sqrt(each) + 4).select("label", "k1", "k2").collect()
+    taken: dict[str, list[tuple]] = {}
+    for r in sorted(drawn, key=lambda r: (r["label"], r["k1"] % (1 << 30), r["k1"], r["k2"])):
+        own = taken.setdefault(r["label"], [])
+        if len(own) < each:
+            own.append((r["label"], r["k1"], r["k2"]))
+    chosen = labelled.sparkSession.createDataFrame([x for own in taken.values() for x in own], "label string, k1 long, k2 long")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
             for part in _steps(batch.column("text")):
                 found = counts(part).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(start, len(part)), batch.column("rid").slice(start, len(part)), pa.array([v.tobytes() for v in found], pa.binary())], names=["label", "rid", "counts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in ("label", "k1", "k2")), pa.array([v.tobytes() for v in found], pa.binary())], names=["label", "k1", "k2", "counts"])
                 start += len(part)
 
-    sample = known.where(share < rate).mapInArrow(vectors, "label string, rid long, counts binary").collect()
-    taken: dict[str, dict[int, bytes]] = {}
-    for r in sorted(sample, key=lambda r: (r["label"], r["rid"] * 0x9E3779B97F4A7C15 % 2**64)):
-        own = taken.setdefault(r["label"], {})
-        if len(own) < each:
-            own[r["rid"]] = r["counts"]
-    found = [np.frombuffer(v, np.float32) for own in taken.values() for v in own.values()]
-    return train(np.array(found, float).reshape(-1, DIMENSIONS), [name for name, own in taken.items() for _ in own])
+    sampled = known.join(F.broadcast(chosen), ["label", "k1", "k2"]).mapInArrow(vectors, "label string, k1 long, k2 long, counts binary")  # ``rows`` keys at most
+    sample = sampled.groupBy("label", "k1", "k2").agg(F.first("counts").alias("counts")).collect()
+    sample.sort(key=lambda r: (r["label"], r["k1"] % (1 << 30), r["k1"], r["k2"]))
+    return train(np.array([np.frombuffer(r["counts"], np.float32) for r in sample], float).reshape(-1, DIMENSIONS), [r["label"] for r in sample])
 
 
 def predict(model: Model, text: Column) -> Column:
@@ -152,7 +160,8 @@ def predict(model: Model, text: Column) -> Column:
     ``lang`` is the language of the nearest centroid, ``score`` the cosine to it, from 0 to
     1. ``rejected`` is true where the text lies farther from it than nearly all that the
     centroid was fitted on. A null text or one without letters is ``und`` with score 0 and
-    rejected, and so is every text if the model knows no language.
+    rejected, and so is every text if the model knows no language. Of centroids that tie the
+    first counts. Long texts are read whole, and a text's result does not depend on other rows.
     """
     names = np.array([*model.languages, UNKNOWN], object)
 

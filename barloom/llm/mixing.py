@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import WORD, row_id, source_partitions
+from .common import WORD, hashes, pieces, unused
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
@@ -28,7 +29,7 @@ MOST_EPOCHS = 3
 MOST_SOURCES = 100_000
 SEED = 20
 _SLOTS = "shard long, position long, source_index long, slot long, epoch long, block long, words long"
-_PIECE = "shard:long,position:long,begin:long,text:string"
+_PIECE = "shard:long,position:long,begin:long,words:long,text:string"
 
 
 @dataclass(frozen=True)
@@ -97,25 +98,40 @@ def slots_of(share: Share, key: int, block: int) -> tuple[int, int]:
     return share.epochs * n + m, share.rest - before
 
 
+def hypergeometric(n: int, rest: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` draws without replacement from n + rest fall on the n: exact at every size.
+
+    numpy's generator stops at 10^9; beyond it the same distribution is inverted from the
+    ratios of its neighbouring probabilities, 40 standard deviations around the mode.
+    """
+    if n + rest < 10**9:
+        return int(rng.hypergeometric(n, rest, take))
+    whole = n + rest
+    mode = (take + 1) * (n + 1) // (whole + 2)
+    reach = int(40 * math.sqrt(take * (n / whole) * (rest / whole) * ((whole - take) / (whole - 1)))) + 40
+    k = np.arange(max(mode - reach, take - rest, 0), min(mode + reach, n, take) + 1, dtype=np.float64)
+    step = np.log(n - k[:-1]) + np.log(take - k[:-1]) - np.log(k[1:]) - np.log(rest - take + k[1:])
+    chance = np.append(0.0, np.cumsum(step))
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return int(k[np.searchsorted(chance, rng.random() * chance[-1], side="right").clip(0, len(k) - 1)])
+
+
 def _draw(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``take`` draws fall on each source: multinomial, given what each has in all."""
     out, left = np.zeros(len(counts), np.int64), int(counts.sum())
     for i, n in enumerate(counts.tolist()):
         rest = left - n
-        if take <= 0 or not n:
-            got = 0
-        elif rest == 0:
-            got = take
-        elif left < 10**9:
-            got = int(rng.hypergeometric(n, rest, take))
-        else:  # beyond the generator's range: its normal limit
-            p = n / left
-            got = round(take * p + math.sqrt(take * p * (1 - p) * (left - take) / max(left - 1, 1)) * rng.standard_normal())
-            got = min(max(got, take - rest, 0), n, take)
+        got = 0 if take <= 0 or not n else take if rest == 0 else hypergeometric(n, rest, take, rng)
         out[i], take, left = got, take - got, rest
     return out
 
 
+@lru_cache(64)
+def _half(counts: tuple[int, ...], take: int, seed: int, lo: int, hi: int) -> tuple[int, ...]:
+    """The draw of one half; neighbouring shards share all but the last of theirs."""
+    return tuple(_draw(np.array(counts, np.int64), take, np.random.default_rng((seed, lo, hi))).tolist())
+
+
 def shard_counts(totals: np.ndarray, shard: int, shards: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before this shard, in this shard).
 
@@ -125,7 +141,7 @@ def shard_counts(totals: np.ndarray, shard: int, shards: int, size: int, seed: i
     lo, hi, before, here = 0, shards, np.zeros(len(totals), np.int64), totals.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _draw(here, min((mid - lo) * size, int(here.sum())), np.random.default_rng((seed, lo, hi)))
+        left = np.array(_half(tuple(here.tolist()), min((mid - lo) * size, int(here.sum())), seed, lo, hi))
         if shard < mid:
             here, hi = left, mid
         else:
@@ -177,33 +193,34 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     Sources in order of their code points, null last, take ``weights`` in turn. A null text
     has size 0. Documents of size 0 and sources without words take no slot. Rows that agree
-    in all of id, text and source are each packed once; their order is immaterial.
+    in all of id, text and source are each packed once; their order is immaterial. Long texts
+    run over as many blocks as they need. A column of the input that has the name of a
+    result column is renamed with underscores before it; an empty table gives an empty mix.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long") if size is None else F.coalesce(size, F.lit(0)).cast("long")
-    own = docs.select("*", words.alias("__size"), F.col(source).cast("string").alias("__source"), row_id(doc_id, text).alias("__rid"))
-    parts = 16 * source_partitions(docs)
-    own = own.withColumn("__bucket", F.pmod(F.xxhash64("__rid"), F.lit(parts)))
-    light = own.select(F.col(doc_id).alias("__id"), "__size", "__source", "__rid", "__bucket")
-    sums = light.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
-    stats = sums.groupBy("__source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    made = ("size", "source_index", "start", "source_size", "target", "taken", "pieces")
+    docs = docs.withColumnsRenamed({c: unused(c, docs) for c in docs.columns if c.lower() in made})
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    n, name, k1, k2, bucket, begin = (unused(f"__{c}", docs) for c in ("n", "name", "k1", "k2", "bucket", "begin"))
+    h1, h2 = hashes(doc_id, text)
+    parts = pieces(docs.count(), 10_000, 1 << 12, 1 << 16)
+    own = docs.select("*", words.alias(n), F.col(source).cast("string").alias(name), h1.alias(k1), h2.alias(k2), F.pmod(h1, F.lit(parts)).alias(bucket))
+    sums = own.groupBy(name, bucket).agg(F.sum(n).alias("n"))
+    stats = sums.groupBy(name).agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    stats = sorted(((r["__source"], r["n"]) for r in stats), key=lambda x: (x[0] is None, x[0] or ""))
+    stats = sorted(((r[name], r["n"]) for r in stats), key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([n for _, n in stats], [weights[i % len(weights)] for i in range(len(stats))])
     shares = [Share(s, n, t, *(divmod(min(round(t), MOST_EPOCHS * n), n) if n else (0, 0))) for (s, n), t in zip(stats, wanted, strict=True)]
     spark = docs.sparkSession
     index = spark.createDataFrame([(i, s.source, s.words, s.target) for i, s in enumerate(shares)], "source_index long, source string, source_size long, target double")
     # where a document starts: sums of the buckets before its own, then inside the bucket; no source sits in one task
-    offsets = sums.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("n")).alias("offset"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__rid")
-    placed = own.join(offsets.withColumnRenamed("__source", "s").withColumnRenamed("__bucket", "b"), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("b")))
-    placed = placed.withColumn("__start", F.col("offset") + F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
-    placed = placed.join(index.withColumnRenamed("source", "s2"), F.col("__source").eqNullSafe(F.col("s2")))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    clash = {"size", "source_index", "start", "source_size", "target"} & set(docs.columns)
-    if clash:
-        kept = [F.col(f"`{c}`") for c in docs.columns if c not in clash]
-    documents = placed.select(*kept, F.col("__size").alias("size"), "source_index", "source_size", "target", F.col("__start").alias("start"))
+    offsets = sums.select(F.col(name).alias("s"), F.col(bucket).alias("b"), (F.sum("n").over(Window.partitionBy(name).orderBy(bucket)) - F.col("n")).alias("offset"))
+    within = Window.partitionBy(name, bucket).orderBy(k1, k2)
+    placed = own.join(offsets.hint("shuffle_merge"), F.col(name).eqNullSafe(F.col("s")) & (F.col(bucket) == F.col("b")))
+    placed = placed.withColumn(begin, F.col("offset") + F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
+    placed = placed.join(F.broadcast(index.withColumnRenamed("source", "s2")), F.col(name).eqNullSafe(F.col("s2")))  # MOST_SOURCES rows at most
+    documents = placed.select(*kept, F.col(n).alias("size"), "source_index", "source_size", "target", F.col(begin).alias("start"))
     return Mix(shares, documents, _slots(spark, shares, block, shard_slots, seed), block)
 
 
@@ -214,48 +231,41 @@ def _pieces(documents: DataFrame, block: int) -> DataFrame:
     return cut.withColumns({"begin": begin - F.col("block") * block, "first": begin - F.col("start"), "n": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin})
 
 
-def taken(mixed: Mix, *columns: str) -> DataFrame:
-    """The documents with ``taken``: the words of each that the mix holds, repeats counted."""
-    full = F.count_if(F.col("words") < 0).alias("full")
-    uses = mixed.slots.groupBy("source_index", "block").agg(full, F.sum(F.when(F.col("words") >= 0, F.col("words"))).alias("cut"))
-    places = mixed.documents.select("source_index", "start", "size")
-    part = _pieces(places, mixed.block).join(uses, ["source_index", "block"])
-    words = F.col("n") * F.col("full") + F.greatest(F.lit(0), F.least(F.col("begin") + F.col("n"), F.coalesce("cut", F.lit(0))) - F.col("begin"))
-    held = part.groupBy("source_index", "start").agg(F.sum(words).alias("taken"))
-    out = mixed.documents.join(held.withColumnsRenamed({"source_index": "i", "start": "at"}), (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*columns, "size", "source_size", "target", "taken")
-
-
 def _cut_words(text: Column, places: Column) -> Column:
-    """The pieces of a text: each place with its words, joined by a space."""
+    """The pieces of a text: each place with its words, joined by a space, and their number."""
 
     @F.arrow_udf(f"array<struct<{_PIECE}>>")
     def udf(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("shard", pa.int64()), ("position", pa.int64()), ("begin", pa.int64()), ("text", pa.string())]))
+        longs = [(c, pa.int64()) for c in ("shard", "position", "begin", "words")]
+        kind = pa.list_(pa.struct([*longs, ("text", pa.string())]))
         for texts, held in parts:
             rows = []
             for t, own in zip(texts.cast(pa.binary()).to_pylist(), held.to_pylist(), strict=True):
-                w = t.split()
-                rows.append([{"shard": p["shard"], "position": p["position"], "begin": p["begin"], "text": b" ".join(w[p["first"] : p["first"] + p["n"]]).decode()} for p in own])
+                w = t.split() if own else []
+                cut = [w[p["first"] : p["first"] + p["n"]] for p in own or []]
+                rows.append([{"shard": p["shard"], "position": p["position"], "begin": p["begin"], "words": len(c), "text": b" ".join(c).decode()} for p, c in zip(own or [], cut, strict=True)])
             yield pa.array(rows, kind)
 
     return udf(text, places)
 
 
-def taken_text(mixed: Mix, *columns: str, text: str = "text") -> DataFrame:
+def taken_text(mixed: Mix, *columns: str, text: str = "text", unused_too: bool = False) -> DataFrame:
     """The documents that the mix takes words of, with ``taken`` and ``pieces``: all their text in it.
 
     A piece is a run of words with the shard, the position in it and the word of that block
     where it begins; the pieces of all documents in this order are the blocks. Places are
-    found without texts; each text is cut where its document is.
+    found without texts; each text is cut where its document is. ``taken`` counts the words
+    of the pieces, repeats included; with ``unused_too`` documents without any stay, too.
     """
     part = _pieces(mixed.documents.select("source_index", "start", "size"), mixed.block)
-    used = part.join(mixed.slots.select("source_index", "block", "shard", "position", "words"), ["source_index", "block"])
+    used = part.join(mixed.slots.select("source_index", "block", "shard", "position", "words").hint("shuffle_merge"), ["source_index", "block"])
     used = used.withColumn("n", F.when(F.col("words") < 0, F.col("n")).otherwise(F.least("n", F.col("words") - F.col("begin")))).where("n > 0")
     place = F.struct(*(F.col(c).cast("long").alias(c) for c in ("shard", "position", "begin", "first", "n")))
-    held = used.groupBy(F.col("source_index").alias("i"), F.col("start").alias("at")).agg(F.sum("n").cast("long").alias("taken"), F.array_sort(F.collect_list(place)).alias("places"))
-    out = mixed.documents.where("size > 0").join(held, (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")))
-    return out.select(*columns, "size", "source_size", "target", "taken", _cut_words(F.col(text), F.col("places")).alias("pieces"))
+    held = used.groupBy(F.col("source_index").alias("i"), F.col("start").alias("at")).agg(F.array_sort(F.collect_list(place)).alias("places"))
+    met = (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
+    whole = mixed.documents.join(held.hint("shuffle_merge"), met, "left" if unused_too else "inner")
+    out = whole.select(*columns, "size", "source_size", "target", _cut_words(F.coalesce(F.col(text), F.lit("")), F.col("places")).alias("pieces"))
+    return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
 
 
 def mixed_blocks(mixed: Mix, text: str = "text") -> DataFrame:

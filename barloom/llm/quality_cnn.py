@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import row_id
+from .common import hashes
 
 WIDTH = 7
 STRIDE = 2
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     and labels without a document teach nothing. With one label only every text scores near it, without labels 0.5.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("label")).groupBy("id").agg(F.min("label").alias("label")).where(F.col("label").isin(0, 1))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), hashes(doc_id, text)[0].alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     present = known.join(texts.select("id").distinct(), "id", "left_semi").select("id", F.col("label").cast("int").alias("label"))
     first = [present.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id").limit(most) for name, most in enumerate(rows)]
     sample = first[0].unionByName(first[1])
@@ -174,7 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def score(model: Model, text: Column) -> Column:
-    """Probability, from 0 to 1, that a whole text has label 1 (good)."""
+    """Probability, from 0 to 1, that a whole text has label 1 (good).
+
+    Null and empty texts score as one empty chunk; a long text is read in all its chunks, and
+    repeated rows score alike.
+    """
 
     @F.arrow_udf("double")
     def udf(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
