@@ -203,7 +203,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     kept = [F.col(f"`{c}`") for c in docs.columns]
     n, name, k1, k2, bucket, begin = (unused(f"__{c}", docs) for c in ("n", "name", "k1", "k2", "bucket", "begin"))
     h1, h2 = hashes(doc_id, text)
-    parts = pieces(docs.count(), 10_000, 1 << 12, 1 << 16)
+    parts = pieces(docs.count(), 256, 1 << 16, 1 << 16, 64)
     own = docs.select("*", words.alias(n), F.col(source).cast("string").alias(name), h1.alias(k1), h2.alias(k2), F.pmod(h1, F.lit(parts)).alias(bucket))
     sums = own.groupBy(name, bucket).agg(F.sum(n).alias("n"))
     stats = sums.groupBy(name).agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
