@@ -18,7 +18,25 @@ _RUN = {"change": f"CASE WHEN flat <> coalesce({lag('flat')}, -1) THEN 1 ELSE 0
 _RUNS = (_FLAT, _RUN, {"run": f"sum(change) {EVER}"}, {"len": "count(*) OVER (PARTITION BY asset, run)", "stale": "0"})
 _SIGNAL = ({"r": f"close / {lag('close')} - 1", "fwd": f"lead(close) {LAG} / close - 1"}, "SELECT asset, t, r AS score, fwd AS actual FROM $in WHERE r IS NOT NULL AND fwd IS NOT NULL")
 _PROB = (*_SIGNAL, {"p": "1 / (1 + exp(-score))", "y": "CASE WHEN actual > 0 THEN 1 ELSE 0 END"})
-_SPLITS = {"part": "CASE WHEN t <= 19739 THEN 'train' WHEN t <= 19741 THEN 'embargo' WHEN t <= 19745 THEN 'val' WHEN t <= 19747 THEN 'embargo' ELSE 'test' END"}
+#: Shares of the time span at which training and validation end, and the steps of the embargo after each.
+TRAIN_SHARE, VAL_SHARE, EMBARGO = 0.65, 0.85, 2
+_SPAN = "SELECT min(t) AS first_t, max(t) AS last_t FROM $in"
+_BOUNDS = (
+    f"SELECT s.*, g.last_t, g.first_t + CAST(floor({TRAIN_SHARE}e0 * (g.last_t - g.first_t)) AS BIGINT) AS train_end, "
+    f"g.first_t + CAST(floor({VAL_SHARE}e0 * (g.last_t - g.first_t)) AS BIGINT) AS val_end FROM $in s CROSS JOIN ({_SPAN}) g"
+)
+_SPLITS = (
+    _BOUNDS,
+    {"part": f"CASE WHEN t <= train_end THEN 'train' WHEN t <= train_end + {EMBARGO} THEN 'embargo' WHEN t <= val_end THEN 'val' WHEN t <= val_end + {EMBARGO} THEN 'embargo' ELSE 'test' END"},
+)
+#: A walk-forward schedule: expanding training spans, each followed by a gap and a test span; one fold a row.
+_FOLDS = (
+    f"SELECT first_t, last_t, CAST(floor(0.4e0 * (last_t - first_t)) AS BIGINT) AS train_span, greatest(CAST(floor(0.1e0 * (last_t - first_t)) AS BIGINT), 1) AS test_span FROM ({_SPAN}) g"
+)
+_SCHEDULE = (
+    f"SELECT fold, first_t, first_t + train_span + (fold - 1) * test_span AS train_stop, first_t + train_span + (fold - 1) * test_span + {EMBARGO} AS test_from, "
+    f"first_t + train_span + fold * test_span + {EMBARGO} AS test_stop FROM (SELECT *, SERIES(1, greatest(CAST(floor((last_t + 1 - first_t - train_span - {EMBARGO}) / CAST(test_span AS DOUBLE)) AS INT), 1)) AS fold FROM ({_FOLDS}) f) q"
+)
 _PANEL = ({"r": f"ln(close) - {lag('ln(close)')}"}, "SELECT * FROM $in WHERE r IS NOT NULL")
 _BRACKET = ({"up": f"lead(high) {LAG} / close - 1", "dn": f"1 - lead(low) {LAG} / close", "end_": f"lead(close) {LAG} / close - 1"}, "SELECT * FROM $in WHERE end_ IS NOT NULL", {"dir": "CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END"}, {"fav": "CASE WHEN dir > 0 THEN up ELSE dn END", "adv": "CASE WHEN dir > 0 THEN dn ELSE up END"}, {"lb": "CASE WHEN dir = 0 THEN NULL WHEN adv >= 0.2 THEN -0.2 WHEN fav >= 0.2 THEN 0.2 ELSE dir * end_ END - 0.0014", "ub": "CASE WHEN dir = 0 THEN NULL WHEN fav >= 0.2 THEN 0.2 WHEN adv >= 0.2 THEN -0.2 ELSE dir * end_ END - 0.0014"})
 
@@ -29,6 +47,30 @@ def _hash(*parts: str) -> str:
     return f"((({mixed}) % 2147483 * 16807 + 12345) % 2147483 * 48271 % 2147483) / 2147483e0"
 
 
+def _indexed() -> tuple[str, ...]:
+    """``i`` and ``n``: each row's place by (t, asset) and the number of rows, from counts a step and places within it."""
+    return (
+        "SELECT s.*, c.below, c.n FROM $in s JOIN (SELECT t, coalesce(sum(m) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(m) OVER () AS n FROM (SELECT t, count(*) AS m FROM $in GROUP BY t) q) c ON s.t = c.t",
+        "SELECT *, below + row_number() OVER (PARTITION BY t ORDER BY asset) AS i FROM $in",
+    )
+
+
+def _ranked(order: str) -> tuple[str, ...]:
+    """``rn`` and ``n``: each row's place in the order (t first within ties) and the number of rows, without one task for all rows.
+
+    Rows of a step are ranked among themselves and against the counts of the value's range;
+    ranges are hundredths of the leading column, so a task holds a range.
+    """
+    lead_, *ties = [c.strip() for c in order.split(",")]
+    keys = ", ".join((lead_, "t", *ties))
+    return (
+        f"SELECT s.*, least(greatest(CAST(floor((s.{lead_} - g.lo) / nullif(g.hi - g.lo, 0) * 100) AS BIGINT), 0), 99) AS rg FROM $in s CROSS JOIN (SELECT min({lead_}) AS lo, PCTL({lead_}, 0.99) AS hi FROM $in) g",
+        "SELECT *, coalesce(rg, 0) AS cell FROM $in",
+        "SELECT s.*, c.below, c.n FROM $in s JOIN (SELECT cell, coalesce(sum(m) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(m) OVER () AS n FROM (SELECT cell, count(*) AS m FROM $in GROUP BY cell) q) c ON s.cell = c.cell",
+        f"SELECT *, below + row_number() OVER (PARTITION BY cell ORDER BY {keys}) AS rn FROM $in",
+    )
+
+
 RELATIONAL = [
     # filters and predicates
     _op("FIL01_category_flatten", ("SELECT category, asset FROM (SELECT asset, CASE WHEN CAST(asset AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM $in) c GROUP BY category, asset",), "category", "asset"),
@@ -67,16 +109,26 @@ RELATIONAL = [
     # joins
     _op("JOIN01_asof_closed_bar", (f"SELECT a.asset, a.t, b.close AS day_close FROM $in a LEFT JOIN (SELECT asset, {_DAY} + 1 AS avail, max_by(close, t) AS close FROM $in GROUP BY asset, {_DAY}) b ON a.asset = b.asset AND b.avail = {_DAY.replace('t /', 'a.t /')}",), "asset", "t", "~day_close", mapping="A2"),
     _op("JOIN02_asof_latest", ({"known": "CASE WHEN trades >= 3 THEN close END"}, {"hit": f"max(CASE WHEN known IS NOT NULL THEN t END) {EVER}"}, "SELECT a.asset, a.t, CASE WHEN a.t - a.hit <= 3 THEN b.known END AS v, a.t - a.hit AS age FROM $in a LEFT JOIN $in b ON a.asset = b.asset AND b.t = a.hit"), "asset", "t", "~v", "age"),
-    _op("JOIN03_range_window", ({"s": "sum(volume) OVER (PARTITION BY asset ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)", "n": "count(*) OVER (PARTITION BY asset ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)"},), "asset", "t", "~s", "n"),
+    # events of all assets' big bars, aggregated over the steps (t - 6, t] by running sums: an as-of join of two cumulative rows
+    _op(
+        "JOIN03_range_window",
+        (
+            "SELECT asset, t, volume AS v, 1 AS n, 0 AS kind FROM $in WHERE trades >= 2 UNION ALL SELECT asset, t, 0, 0, 1 FROM $in UNION ALL SELECT asset, t - 6, 0, 0, 2 FROM $in",
+            {"s": "sum(v) OVER (PARTITION BY asset ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "c": "sum(n) OVER (PARTITION BY asset ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
+            "SELECT asset, CASE WHEN kind = 2 THEN t + 6 ELSE t END AS t, max(CASE WHEN kind = 1 THEN s END) - max(CASE WHEN kind = 2 THEN s END) AS s, CAST(max(CASE WHEN kind = 1 THEN c END) - max(CASE WHEN kind = 2 THEN c END) AS BIGINT) AS n FROM $in WHERE kind > 0 GROUP BY asset, CASE WHEN kind = 2 THEN t + 6 ELSE t END",
+            {"total": "CASE WHEN n > 0 THEN s END", "mean": "s / nullif(n, 0)"},
+        ),
+        "asset", "t", "~total", "~mean", "n",
+    ),
     _op("JOIN04_daily_to_intraday", (f"SELECT a.asset, a.t, b.v FROM $in a LEFT JOIN (SELECT asset, {_DAY} AS day, sum(volume) AS v FROM $in GROUP BY asset, {_DAY}) b ON a.asset = b.asset AND b.day = CAST(floor(a.t / 24e0) AS BIGINT) - 1",), "asset", "t", "~v", mapping="A2"),
-    _op("JOIN05_forward_fill", ("SELECT g.asset, g.t, b.close FROM (SELECT a.asset, k.t FROM (SELECT DISTINCT asset FROM $in) a CROSS JOIN (SELECT DISTINCT t FROM $in) k) g LEFT JOIN $in b ON b.asset = g.asset AND b.t = g.t", {"g": f"count(close) {EVER}"}, {"filled": "max(close) OVER (PARTITION BY asset, g)"}, "SELECT * FROM $in WHERE g > 0"), "asset", "t", "~filled"),
+    _op("JOIN05_forward_fill", ("SELECT g.asset, g.t, b.close FROM (SELECT asset, SERIES(lo, hi) AS t FROM (SELECT a.asset, a.lo, m.hi FROM (SELECT asset, min(t) AS lo FROM $in GROUP BY asset) a CROSS JOIN (SELECT max(t) AS hi FROM $in) m) r) g LEFT JOIN $in b ON b.asset = g.asset AND b.t = g.t", {"g": f"count(close) {EVER}"}, {"filled": "max(close) OVER (PARTITION BY asset, g)"}, "SELECT * FROM $in WHERE g > 0"), "asset", "t", "~filled"),
     _op("JOIN06_reindex_fill", ("SELECT a.asset, a.t, coalesce(b.r, 0.5) AS r FROM $in a LEFT JOIN (SELECT asset, t, close / open AS r FROM $in WHERE trades > 1) b ON a.asset = b.asset AND a.t = b.t",), "asset", "t", "~r"),
     _op("JOIN08_contiguous_alignment", ({"back": lag("t", 4)}, "SELECT * FROM $in WHERE t - back = 4"), "asset", "t"),
-    _op("JOIN10_paired_inner", ("SELECT a.t, a.close AS x, b.close AS y FROM $in a JOIN $in b ON a.t = b.t AND a.asset = '1' AND b.asset = '2'",), "t", "~x", "~y"),
-    _op("JOIN11_baseline_semi", ("SELECT * FROM $in a WHERE EXISTS (SELECT 1 FROM $in b WHERE b.t = a.t AND b.asset = '3')",), "asset", "t"),
+    _op("JOIN10_paired_inner", ("SELECT a.t, a.close AS x, b.close AS y FROM $in a JOIN $in b ON a.t = b.t JOIN (SELECT min(asset) AS x, max(asset) AS y FROM $in) p ON a.asset = p.x AND b.asset = p.y",), "t", "~x", "~y"),
+    _op("JOIN11_baseline_semi", ("SELECT * FROM $in a WHERE EXISTS (SELECT 1 FROM $in b WHERE b.t = a.t AND b.asset = (SELECT min(asset) FROM $in))",), "asset", "t"),
     _op("JOIN12_lookup", ("SELECT a.asset, a.t, coalesce(b.touch, 'amb') AS touch FROM $in a LEFT JOIN (SELECT asset, t, CASE WHEN close > open THEN 'up' ELSE 'down' END AS touch FROM $in WHERE trades > 1) b ON a.asset = b.asset AND a.t = b.t",), "asset", "t", "touch"),
-    _op("JOIN13_ledger_merge", ("SELECT coalesce(a.t, b.t) AS t, a.c AS old, b.c AS new, CASE WHEN a.c IS NULL THEN 'appended' WHEN b.c IS NULL THEN 'lost' WHEN abs(a.c - b.c) < 0.000001 THEN 'same' ELSE 'changed' END AS state FROM (SELECT t, sum(close) AS c FROM $in WHERE t < 19745 GROUP BY t) a FULL OUTER JOIN (SELECT t, sum(close) AS c FROM $in WHERE t > 19730 GROUP BY t) b ON a.t = b.t",), "t", "~old", "~new", "state"),
-    _op("JOIN14_rule_expansion", ("SELECT r.rule, f.asset FROM (SELECT asset, min(t) AS first_t FROM $in GROUP BY asset) f JOIN (SELECT 'early' AS rule, 19724 AS cut_t UNION ALL SELECT 'late', 19727) r ON f.first_t < r.cut_t",), "rule", "asset"),
+    _op("JOIN13_ledger_merge", (_BOUNDS, "SELECT coalesce(a.t, b.t) AS t, a.c AS old, b.c AS new, CASE WHEN a.c IS NULL THEN 'appended' WHEN b.c IS NULL THEN 'lost' WHEN abs(a.c - b.c) < 0.000001 THEN 'same' ELSE 'changed' END AS state FROM (SELECT t, sum(close) AS c FROM $in WHERE t <= val_end GROUP BY t) a FULL OUTER JOIN (SELECT t, sum(close) AS c FROM $in WHERE t > train_end - 10 GROUP BY t) b ON a.t = b.t",), "t", "~old", "~new", "state"),
+    _op("JOIN14_rule_expansion", ("SELECT r.rule, f.asset FROM (SELECT asset, min(t) AS first_t FROM $in GROUP BY asset) f CROSS JOIN (SELECT min(t) AS t0 FROM $in) g JOIN (SELECT 'early' AS rule, 2 AS days UNION ALL SELECT 'late', 5) r ON f.first_t < g.t0 + r.days",), "rule", "asset"),
     # aggregates
     _op("AGG01_daily_summary", ({"day": _DAY, "typ": "(high + low + close) / 3"}, "SELECT asset, day, count(*) AS bars, ln(sum(trades)) AS log_trades, sum(typ * volume) / nullif(sum(volume), 0) AS vwap, max_by(close, t) AS close, max(volume) / nullif(sum(volume), 0) AS top_share FROM $in GROUP BY asset, day", {"vwap_dev": "ln(close / vwap)"}), "asset", "day", "bars", "~log_trades", "~vwap_dev", "~top_share", mapping="A2"),
     _op("AGG02_vwap", ("SELECT asset, sum((high + low + close) / 3 * volume) / nullif(sum(volume), 0) AS vwap FROM $in GROUP BY asset",), "asset", "~vwap"),
@@ -86,7 +138,6 @@ RELATIONAL = [
     _op("AGG07_label_balance", (*_PROB, "SELECT count(*) AS n, avg(CAST(y AS DOUBLE)) AS p_up, greatest(avg(CAST(y AS DOUBLE)), 1 - avg(CAST(y AS DOUBLE))) AS majority FROM $in"), "n", "~p_up", "~majority"),
     _op("AGG08_dataset_summary", (*_SIGNAL, "SELECT count(*) AS n, avg(score) AS mean, stddev_pop(score) AS sd, min(score) AS lo, max(score) AS hi FROM $in"), "n", "~mean", "~sd", "~lo", "~hi"),
     _op("AGG09_missing_report", ({"r": f"close / {lag('close')}", "z": f"close / {lag('close', 5)}"}, "SELECT asset, count(*) AS n, count(CASE WHEN r IS NULL THEN 1 END) AS r_missing, count(CASE WHEN z IS NULL THEN 1 END) AS z_missing FROM $in GROUP BY asset"), "asset", "n", "r_missing", "z_missing"),
-    _op("AGG11_pair_correlation", (*_PANEL, "SELECT a.asset AS a, b.asset AS b, count(*) AS n, corr(a.r, b.r) AS rho FROM $in a JOIN $in b ON a.t = b.t AND a.asset < b.asset WHERE CAST(a.asset AS BIGINT) < 12 AND CAST(b.asset AS BIGINT) < 12 GROUP BY a.asset, b.asset HAVING count(*) >= 10"), "a", "b", "n", "~rho"),
     _op("AGG12_crosstab", (*_SIGNAL, {"d": "CASE WHEN score > 0 THEN 'up' ELSE 'down' END"}, "SELECT d, avg(CASE WHEN actual > 0 THEN 1e0 ELSE 0e0 END) AS up, avg(CASE WHEN actual < 0 THEN 1e0 ELSE 0e0 END) AS down, avg(CASE WHEN actual = 0 THEN 1e0 ELSE 0e0 END) AS none FROM $in GROUP BY d"), "d", "~up", "~down", "~none"),
     _op("AGG13_mean_loss", (*_SIGNAL, "SELECT t, count(*) AS n, avg(abs(actual - score)) AS abs_loss, avg((actual - score) * (actual - score)) AS sq_loss FROM $in GROUP BY t"), "t", "n", "~abs_loss", "~sq_loss"),
     _op("AGG14_clustered_t", (*_SIGNAL, {"x": "actual * sign(score)"}, "SELECT s.*, avg(x) OVER () AS m, count(*) OVER () AS total FROM $in s", "SELECT max(total) AS n, max(m) AS mean, sqrt(sum(g * g)) / max(total) AS se FROM (SELECT t, max(total) AS total, max(m) AS m, sum(x) - count(*) * max(m) AS g FROM $in GROUP BY t) q", {"tstat": "mean / se"}), "n", "~mean", "~se", "~tstat"),
@@ -98,9 +149,9 @@ RELATIONAL = [
     _op("AGG20_grouping_sets", (*_SIGNAL, {"side": "CASE WHEN score > 0 THEN 'up' ELSE 'down' END"}, "SELECT coalesce(asset, '*') AS asset, coalesce(side, '*') AS side, count(*) AS n, avg(abs(actual)) AS mae FROM $in GROUP BY GROUPING SETS ((asset, side), (side), ())"), "asset", "side", "n", "~mae"),
     _op("AGG22_eta_squared", (*_SIGNAL, {"lvl": "CAST(floor(least(greatest(score, -1), 3) * 2) AS BIGINT)"}, "SELECT s.*, avg(actual) OVER () AS m, avg(actual) OVER (PARTITION BY lvl) AS ml FROM $in s", "SELECT count(DISTINCT lvl) AS levels, sum((ml - m) * (ml - m)) / sum((actual - m) * (actual - m)) AS eta2 FROM $in"), "levels", "~eta2"),
     _op("AGG24_movement_buckets", (*_SIGNAL, {"b": "CASE WHEN abs(score) <= 0.1 THEN 0 WHEN abs(score) <= 0.5 THEN 1 WHEN abs(score) <= 1 THEN 2 ELSE 3 END"}, "SELECT b, count(*) AS n, sum(CASE WHEN score * actual > 0 THEN 1 ELSE 0 END) AS hits FROM $in GROUP BY b"), "b", "n", "CAST(hits AS BIGINT) AS hits"),
-    _op("AGG26_batch_drift", (*_SIGNAL, {"id": "row_number() OVER (ORDER BY t, asset)"}, "SELECT CAST(floor((id - 1) / 200e0) AS BIGINT) AS batch, avg(score) AS m FROM $in GROUP BY 1", {"z": "(m - avg(m) OVER ()) / nullif(stddev_pop(m) OVER (), 0)"}, {"flag": "CASE WHEN abs(z) >= 1.5 THEN 1 ELSE 0 END"}), "batch", "~z", "flag"),
+    _op("AGG26_batch_drift", (*_SIGNAL, *_indexed(), "SELECT CAST(floor((i - 1) / 200e0) AS BIGINT) AS batch, avg(score) AS m FROM $in GROUP BY 1", {"z": "(m - avg(m) OVER ()) / nullif(stddev_pop(m) OVER (), 0)"}, {"flag": "CASE WHEN abs(z) >= 1.5 THEN 1 ELSE 0 END"}), "batch", "~z", "flag"),
     # rankings
-    _op("SRT02_rank_trades", (*_SIGNAL, {"conf": "percent_rank() OVER (ORDER BY abs(score))"}, {"k": "row_number() OVER (ORDER BY conf DESC, t, asset)"}, "SELECT * FROM $in WHERE k <= 20"), "asset", "t", "~conf", "k"),
+    _op("SRT02_rank_trades", (*_SIGNAL, {"size": "abs(score)"}, *_ranked("size, asset"), {"conf": "(rn - 1) / CAST(n - 1 AS DOUBLE)"}, "SELECT * FROM $in WHERE rn > n - 20", {"k": "row_number() OVER (ORDER BY conf DESC)"}), "asset", "t", "~conf", "k"),
     _op("SRT03_latest_n", ({"k": "row_number() OVER (PARTITION BY asset ORDER BY t DESC)"}, "SELECT * FROM $in WHERE k <= 2"), "asset", "t", "~close"),
     _op("SRT04_leaderboard", (*_SIGNAL, "SELECT asset, count(*) AS n, corr(score, actual) AS ic FROM $in GROUP BY asset HAVING count(*) >= 20", {"k": "row_number() OVER (ORDER BY abs(ic) DESC, asset)"}), "asset", "~ic", "k"),
     _op("SRT06_sealed_order", ("SELECT asset, SHA('salt:' || asset) AS h FROM (SELECT DISTINCT asset FROM $in) a", {"k": "row_number() OVER (ORDER BY h)"}, {"bucket": "(k - 1) % 6"}), "asset", "k", "bucket"),
@@ -114,12 +165,19 @@ RELATIONAL = [
     _op("SMP18_logret_roundtrip", ({"z": f"(ln(close / {lag('close')}) - 0.01) / 0.5"}, {"back": f"{lag('close')} * exp(z * 0.5 + 0.01) / close"}), "asset", "t", "~z", "~back"),
     _op("SMP22_window_snapshot", ({"n": f"count(*) {last(8)}", "mean": f"avg(close) {last(8)}", "sd": f"stddev_pop(close) {last(8)}", "lo": f"min(close) {last(8)}", "hi": f"max(close) {last(8)}"}, "SELECT * FROM $in WHERE n = 8"), "asset", "t", "~close", "~mean", "~sd", "~lo", "~hi"),
     _op("SPL03_quantile_boundary", ("SELECT PCTL(t, 0.8) AS t1, PCTL(t, 0.9) AS t2 FROM $in",), "~t1", "~t2"),
-    _op("SPL04_global_time_split", (_SPLITS,), "asset", "t", "part"),
+    _op("SPL04_global_time_split", _SPLITS, "asset", "t", "part"),
     _op("SPL05_per_asset_split", ({"rn": f"row_number() {LAG}", "n": "count(*) OVER (PARTITION BY asset)"}, {"part": "CASE WHEN rn <= floor(n * 0.8e0) THEN 'train' WHEN rn <= floor(n * 0.9e0) THEN 'val' ELSE 'test' END"}), "asset", "t", "part"),
-    _op("SPL06_sealed_holdout", ("SELECT * FROM $in WHERE t < 19748",), "asset", "t"),
-    _op("SPL07_walk_forward", ("SELECT k.k AS fold, s.asset, s.t, CASE WHEN s.t < 19728 + 4 * k.k THEN 'train' ELSE 'test' END AS part FROM $in s JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) k ON s.t < 19732 + 4 * k.k AND NOT s.t BETWEEN 19727 + 4 * k.k AND 19728 + 4 * k.k",), "fold", "asset", "t", "part"),
-    _op("SPL09_min_split_size", (_SPLITS, "SELECT part, count(*) AS n, CASE WHEN count(*) >= 64 THEN 1 ELSE 0 END AS ok FROM $in GROUP BY part"), "part", "n", "ok"),
-    _op("SPL10_purged_kfold", ({"id": "row_number() OVER (ORDER BY t, asset) - 1", "total": "count(*) OVER ()"}, "SELECT k.k AS fold, s.asset, s.t, CASE WHEN s.id < k.k * floor(s.total / 6e0) - 10 THEN 'train' ELSE 'val' END AS part FROM $in s JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k ON s.id < k.k * floor(s.total / 6e0) - 10 OR (s.id >= k.k * floor(s.total / 6e0) AND s.id < (k.k + 1) * floor(s.total / 6e0))"), "fold", "asset", "t", "part"),
+    _op("SPL06_sealed_holdout", (_BOUNDS, "SELECT * FROM $in WHERE t <= val_end"), "asset", "t"),
+    _op(
+        "SPL07_walk_forward",
+        (
+            f"SELECT CAST(k.fold AS BIGINT) AS fold, s.asset, s.t, CASE WHEN s.t < k.train_stop THEN 'train' ELSE 'test' END AS part FROM $in s "
+            f"JOIN ({_SCHEDULE}) k ON s.t < k.test_stop AND (s.t < k.train_stop OR s.t >= k.test_from)",
+        ),
+        "fold", "asset", "t", "part",
+    ),
+    _op("SPL09_min_split_size", (*_SPLITS, "SELECT part, count(*) AS n, CASE WHEN count(*) >= 64 THEN 1 ELSE 0 END AS ok FROM $in GROUP BY part"), "part", "n", "ok"),
+    _op("SPL10_purged_kfold", (*_indexed(), {"id": "i - 1", "total": "n"}, "SELECT k.k AS fold, s.asset, s.t, CASE WHEN s.id < k.k * floor(s.total / 6e0) - 10 THEN 'train' ELSE 'val' END AS part FROM $in s JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k ON s.id < k.k * floor(s.total / 6e0) - 10 OR (s.id >= k.k * floor(s.total / 6e0) AND s.id < (k.k + 1) * floor(s.total / 6e0))"), "fold", "asset", "t", "part"),
     # metrics
     _op("MET04_nig_uncertainty", ({"a": "1.5 + trades", "b": "volume + 1", "v": "2 + trades"}, {"aleatoric": "sqrt(b / (a - 1))", "epistemic": "sqrt(b / (v * (a - 1)))"}), "asset", "t", "~aleatoric", "~epistemic"),
     _op("MET05_point_metrics", (*_SIGNAL, "SELECT asset, count(*) AS n, avg(abs(score - actual)) AS mae, avg(CASE WHEN score * actual > 0 THEN 1e0 ELSE 0e0 END) AS direction, corr(score, actual) AS rho FROM $in GROUP BY asset HAVING count(*) > 3"), "asset", "n", "~mae", "~direction", "~rho"),
@@ -129,26 +187,53 @@ RELATIONAL = [
     _op("MET11_flatten", (*_SIGNAL, "SELECT asset, t, 'score' AS target, score AS value FROM $in UNION ALL SELECT asset, t, 'actual' AS target, actual AS value FROM $in"), "asset", "t", "target", "~value"),
     _op("MET12_auc", (*_PROB, {"one": "1"}, {"rk": tie_rank("p", "one")}, "SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1e0) / 2) / (sum(y) * CAST(sum(1 - y) AS DOUBLE)) AS auc FROM $in"), "n", "~auc"),
     _op("MET13_ic", (*_SIGNAL, {"one": "1"}, {"a": tie_rank("score", "one"), "b": tie_rank("actual", "one")}, "SELECT count(*) AS n, corr(a, b) AS spearman, corr(score, actual) AS pearson FROM $in"), "n", "~spearman", "~pearson"),
-    _op("MET14_decile_spread", (*_SIGNAL, {"rn": "row_number() OVER (ORDER BY score, t, asset)", "n": "count(*) OVER ()"}, {"d": "CAST(floor((rn - 1) * 10e0 / n) AS BIGINT)"}, "SELECT d, count(*) AS n, avg(actual) AS mean FROM $in GROUP BY d"), "d", "n", "~mean"),
+    _op(
+        "MET14_decile_spread",
+        (
+            *_SIGNAL, *_ranked("score, asset"), {"d": "CAST(floor((rn - 1) * 10e0 / n) AS BIGINT)"},
+            "SELECT d, count(*) AS n, avg(actual) AS mean, var_samp(actual) AS v FROM $in GROUP BY d",
+            {"step": "mean - lag(mean) OVER (ORDER BY d)"},
+            "SELECT count(*) AS deciles, max(CASE WHEN d = 9 THEN mean END) - max(CASE WHEN d = 0 THEN mean END) AS spread, CASE WHEN min(step) >= 0 OR max(step) <= 0 THEN 1 ELSE 0 END AS monotonic, "
+            "max(CASE WHEN d = 9 THEN v / n END) + max(CASE WHEN d = 0 THEN v / n END) AS var_ FROM $in",
+            {"tstat": "CASE WHEN sqrt(var_) > 1e-12 THEN spread / sqrt(var_) ELSE 0 END"},
+        ),
+        "deciles", "~spread", "monotonic", "~tstat",
+    ),
     _op("MET15_window_consistency", (*_SIGNAL, {"w": "CAST(floor(t / 5e0) AS BIGINT)"}, {"a": tie_rank("score", "w"), "b": tie_rank("actual", "w")}, "SELECT w, count(*) AS n, corr(a, b) AS ic FROM $in GROUP BY w", "SELECT count(*) AS windows, avg(ic) AS mean_ic, CASE WHEN min(ic) * max(ic) > 0 THEN 1 ELSE 0 END AS consistent FROM $in"), "windows", "~mean_ic", "consistent"),
-    _op("MET17_reliability", (*_PROB, {"rn": "row_number() OVER (ORDER BY p, t, asset)", "n": "count(*) OVER ()"}, {"b": "CAST(floor((rn - 1) * 10e0 / n) AS BIGINT)"}, "SELECT b, count(*) AS n, avg(p) AS conf, avg(CAST(y AS DOUBLE)) AS acc, avg((p - y) * (p - y)) AS brier FROM $in GROUP BY b"), "b", "n", "~conf", "~acc", "~brier"),
+    _op(
+        "MET17_reliability",
+        (
+            *_PROB, {"conf": "greatest(p, 1 - p)", "hit": "CASE WHEN (p > 0.5 AND y = 1) OR (p <= 0.5 AND y = 0) THEN 1e0 ELSE 0e0 END"}, *_ranked("conf, asset"), {"b": "CAST(floor((rn - 1) * 10e0 / n) AS BIGINT)"},
+            "SELECT b, count(*) AS n, avg(conf) AS conf, avg(hit) AS acc, avg((p - y) * (p - y)) AS brier FROM $in GROUP BY b",
+            {"gap": "abs(conf - acc)", "share": "n / sum(n) OVER ()"},
+            "SELECT s.b, s.n, s.conf, s.acc, g.ece, g.mce, g.brier FROM $in s CROSS JOIN (SELECT sum(share * gap) AS ece, max(gap) AS mce, sum(share * brier) AS brier FROM $in) g",
+        ),
+        "b", "n", "~conf", "~acc", "~ece", "~mce", "~brier",
+    ),
     _op("MET20_trust_score", (*_PROB, "SELECT 100 * (1 - abs(avg(p) - avg(CAST(y AS DOUBLE)))) * (0.5 + 0.5 * (corr(p, CAST(y AS DOUBLE)) + 1) / 2) AS trust FROM $in"), "~trust"),
     _op("MET22_threshold_pick", (*_SIGNAL, {"hit": "CASE WHEN score * actual < 0 THEN 1e0 ELSE 0e0 END", "k": "row_number() OVER (ORDER BY abs(score) DESC, t, asset)", "n": "count(*) OVER ()"}, {"acc": "avg(hit) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, "SELECT max(k) AS k, max(n) AS n, max(k) / CAST(max(n) AS DOUBLE) AS coverage FROM $in WHERE acc >= 0.6 AND k >= 30"), "k", "n", "~coverage"),
-    _op("MET28_generalisation_gap", (*_PROB, _SPLITS, "SELECT part, count(*) AS n, avg(CASE WHEN (score > 0 AND y = 1) OR (score <= 0 AND y = 0) THEN 1e0 ELSE 0e0 END) AS acc FROM $in GROUP BY part"), "part", "n", "~acc"),
+    _op("MET28_generalisation_gap", (*_PROB, *_SPLITS, "SELECT part, count(*) AS n, avg(CASE WHEN (score > 0 AND y = 1) OR (score <= 0 AND y = 0) THEN 1e0 ELSE 0e0 END) AS acc FROM $in GROUP BY part"), "part", "n", "~acc"),
     _op("MET35_pinball", (*_SIGNAL, {"d": "actual - score"}, "SELECT avg(greatest(0.1 * d, -0.9 * d)) AS p10, avg(greatest(0.5 * d, -0.5 * d)) AS p50, avg(greatest(0.9 * d, -0.1 * d)) AS p90 FROM $in"), "~p10", "~p50", "~p90"),
     _op("MET44_qlike", ({"v": "high / low", "f": f"avg(high / low) {last(5)}"}, "SELECT asset, avg(v / f - ln(v / f) - 1) AS qlike FROM $in GROUP BY asset"), "asset", "~qlike"),
     # resampling inference
-    _op("BST01_permutation", (*_SIGNAL, "SELECT s.*, k.k FROM $in s CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k", {"i": "row_number() OVER (PARTITION BY k ORDER BY t, asset)"}, {"j": f"row_number() OVER (PARTITION BY k ORDER BY {_hash('i', 'k', 'i * k')}, i)"}, "SELECT a.k, count(*) AS n, corr(a.score, b.actual) AS null_ic FROM $in a JOIN $in b ON a.k = b.k AND a.i = b.j GROUP BY a.k"), "k", "n", "~null_ic"),
-    _op("BST05_day_bootstrap", (*_SIGNAL, "SELECT t, count(*) AS n, sum(actual) AS s FROM $in GROUP BY t", {"i": "row_number() OVER (ORDER BY t) - 1", "days": "count(*) OVER ()"}, "SELECT s.*, k.k FROM $in s CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k", {"j": f"CAST(floor({_hash('i', 'k', 'i * k')} * days) AS BIGINT)"}, "SELECT a.k, sum(b.s) / sum(b.n) AS mean FROM $in a JOIN $in b ON a.k = b.k AND b.i = a.j GROUP BY a.k"), "k", "~mean"),
     _op("BST09_newey_west", (*_SIGNAL, "SELECT t, avg(actual) AS x FROM $in GROUP BY t", {"d": "x - avg(x) OVER ()", "n": "count(*) OVER ()", "m": "avg(x) OVER ()"}, {"d1": "lag(d, 1) OVER (ORDER BY t)", "d2": "lag(d, 2) OVER (ORDER BY t)"}, "SELECT max(n) AS n, max(m) AS mean, sqrt(greatest(sum(d * d) + 2 * (2 / 3e0 * sum(d * d1) + 1 / 3e0 * sum(d * d2)), 0)) / max(n) AS se FROM $in"), "n", "~mean", "~se"),
-    _op("BST13_random_direction", (*_SIGNAL, "SELECT s.*, k.k, row_number() OVER (PARTITION BY k.k ORDER BY t, asset) AS i FROM $in s CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) k", {"dir": f"CASE WHEN {_hash('i', 'k', 'i * k')} < 0.5 THEN -1 ELSE 1 END"}, "SELECT k, avg(dir * actual) AS mean FROM $in GROUP BY k"), "k", "~mean"),
     # simulation
     _op("SIM01_bracket", _BRACKET, "asset", "t", "~lb", "~ub"),
     _op("SIM03_filter_sweep", (*_BRACKET, "SELECT s.*, f.f FROM $in s JOIN (SELECT 'all' AS f UNION ALL SELECT 'busy' UNION ALL SELECT 'long') f ON f.f = 'all' OR (f.f = 'busy' AND s.trades >= 2) OR (f.f = 'long' AND s.dir > 0)", "SELECT f, count(lb) AS n, avg(lb) * 10000 AS lb_bp, avg(ub) * 10000 AS ub_bp, avg(CASE WHEN lb > 0 THEN 1e0 ELSE 0e0 END) AS win FROM $in GROUP BY f"), "f", "n", "~lb_bp", "~ub_bp", "~win"),
     _op("SIM04_reward_risk", (*_BRACKET, {"rr": "CASE WHEN dir = 0 THEN NULL WHEN adv >= 0.1 THEN -1 WHEN fav >= 0.2 THEN 2 ELSE dir * end_ / 0.1 END - 0.014"}), "asset", "t", "~rr"),
     _op("SIM08_trade_metrics", (*_BRACKET, {"x": "lb / 0.2"}, "SELECT count(x) AS n, avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END) AS win, avg(x) AS mean, sum(greatest(x, 0)) / nullif(-sum(least(x, 0)), 0) AS pf, PCTL(x, 0.5) AS med FROM $in"), "n", "~win", "~mean", "~pf", "~med"),
     _op("SIM17_tearsheet", (*_SIGNAL, "SELECT t, avg(greatest(actual * sign(score), -1)) AS r FROM $in GROUP BY t", {"e": "exp(sum(ln(1 + r / 10)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"}, {"dd": "e / max(e) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1"}, "SELECT count(*) AS n, avg(r) / nullif(stddev_pop(r), 0) AS sharpe, avg(r) / nullif(sqrt(avg(least(r, 0) * least(r, 0))), 0) AS sortino, sum(greatest(r, 0)) / nullif(-sum(least(r, 0)), 0) AS omega, min(dd) AS max_dd, max_by(e, t) - 1 AS total FROM $in"), "n", "~sharpe", "~sortino", "~omega", "~max_dd", "~total"),
-    _op("SIM20_paper_ledger", (*_SIGNAL, "SELECT t, count(*) AS held, avg(score) AS edge FROM $in WHERE score > 0.2 GROUP BY t", {"next_edge": "lead(edge) OVER (ORDER BY t)"}), "t", "held", "~edge", "~next_edge"),
+    _op(
+        "SIM20_paper_ledger",
+        (
+            {"r": f"close / {lag('close')} - 1", "fwd": f"lead(close) {LAG} / close - 1"},
+            "SELECT t, count(*) AS held, avg(r) AS edge, count(fwd) AS known, avg(fwd) AS ret FROM $in WHERE r > 0.2 GROUP BY t",
+            {"before": "lag(held) OVER (ORDER BY t)"},
+            {"turnover": "abs(held - coalesce(before, 0)) / CAST(greatest(held, coalesce(before, 0)) AS DOUBLE)", "pnl": "CASE WHEN known = held THEN ret END"},
+            {"net": "pnl - 0.0014 * turnover"},
+        ),
+        "t", "held", "~edge", "~turnover", "~pnl", "~net",
+    ),
     _op("SIM21_seasonality", ({"hour": "t % 24", "ret": f"lead(close, 4) {LAG} / close - 1"}, "SELECT hour, count(ret) AS n, avg(ret) AS mean, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win FROM $in GROUP BY hour"), "hour", "n", "~mean", "~win", mapping="A2"),
     _op("STR08_max_age", ({"hit": f"max(CASE WHEN trades >= 3 THEN t END) {EVER}"}, {"fresh": "CASE WHEN t - hit <= 2 THEN 1 ELSE 0 END"}), "asset", "t", "fresh"),
     _op("SCL01_math", ({"a": "ln(1 + close)", "b": "sqrt(volume)", "c": "sin(close)", "d": "greatest(least(close, 100), 10)"},), "asset", "t", "~a", "~b", "~c", "~d"),

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from .core import ACROSS, LAG, full, lag, last, prior
 from .cross_section import spearman, tie_rank
-from .evaluation import _replicas, _scalar
+from .evaluation import _scalar
 from .recursions import Scan, ema
-from .relational import _BRACKET, _PROB, _RESAMPLE, _SIGNAL, _SPLITS, _hash, _op
+from .relational import _BOUNDS, _BRACKET, _PROB, _RESAMPLE, _SIGNAL, _SPAN, _SPLITS, _hash, _op
 
 
 def _union(rows: str, *columns: str) -> str:
@@ -25,15 +25,9 @@ def _melt(keys: str, names: tuple[str, ...], where: str = "") -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS name, CAST({n} AS DOUBLE) AS x FROM $in{where}" for n in names)
 
 
-_STEP = "SELECT t, avg(actual * sign(score)) AS x, avg(actual) AS z FROM $in GROUP BY t"
-_INDEX = {"i": "row_number() OVER (ORDER BY t)", "n": "count(*) OVER ()"}
-_DAYS = "SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM $in) d"
-_SHARPE = "avg(b.x) / nullif(stddev_pop(b.x), 0)"
-_DRAWN = "FROM $in a JOIN $in b ON a.k = b.k AND a.j = b.i GROUP BY a.k"
-_BLOCKS = (*_SIGNAL, _STEP, _INDEX, _replicas(20), {"blk": "CAST(floor((i - 1) / 5e0) AS BIGINT)"}, {"j": f"(CAST(floor({_hash('blk', 'k', 'blk * k')} * n) AS BIGINT) + (i - 1) % 5) % n + 1"})
 _RANGE = ({"x": "close", "y": f"lead(high - low) {LAG}"}, "SELECT * FROM $in WHERE x > 0 AND y > 0", {"lx": "ln(x)", "ly": "ln(y)"})
 _BINS = "SELECT b, part, count(*) AS n, CAST(sum(y) AS DOUBLE) AS s, avg(p) AS p, avg((p - y) * (p - y)) AS brier FROM $in GROUP BY b, part"
-_BINNED = (*_PROB, {"part": "CASE WHEN t <= 19742 THEN 'val' ELSE 'test' END", "b": "CAST(least(floor(p * 20), 19) AS BIGINT)"}, _BINS)
+_BINNED = (*_PROB, _BOUNDS, {"part": "CASE WHEN t <= train_end THEN 'val' ELSE 'test' END", "b": "CAST(least(floor(p * 20), 19) AS BIGINT)"}, _BINS)
 _PAV = "SELECT a.*, i.iso FROM $in a JOIN (SELECT b, max(low) AS iso FROM (SELECT x.b, j.b AS j, min(j.m) AS low FROM (SELECT b FROM $in WHERE part = 'val') x JOIN (SELECT l.b, h.b AS k, sum(m.s) / sum(m.n) AS m FROM $in l JOIN $in h ON l.part = 'val' AND h.part = 'val' AND l.b <= h.b JOIN $in m ON m.part = 'val' AND m.b BETWEEN l.b AND h.b GROUP BY l.b, h.b) j ON j.b <= x.b AND j.k >= x.b GROUP BY x.b, j.b) q GROUP BY b) i ON a.b = i.b"
 _CAND = ({"r": f"close / {lag('close')} - 1", "v": f"volume / nullif({lag('volume')}, 0) - 1", "fwd": f"lead(close) {LAG} / close - 1"}, "SELECT * FROM $in WHERE r IS NOT NULL AND v IS NOT NULL AND fwd IS NOT NULL", {"mul": "r * v", "sub": "r - v"})
 _MELTED = _melt("asset, t, fwd", ("r", "v", "mul", "sub"))
@@ -49,7 +43,7 @@ STUDIES = [
     _op("SRC09_bars_timeframe", (f"SELECT q.*, 24 AS width FROM ({_RESAMPLE.format(b='CAST(floor(t / 24e0) AS BIGINT) * 24')}) q UNION ALL SELECT q.*, 4 AS width FROM ({_RESAMPLE.format(b='CAST(floor(t / 4e0) AS BIGINT) * 4')}) q",), "asset", "t", "width", "~open", "~high", "~low", "~close", "~volume", mapping="A2"),
     _op("SRC10_wide_panel", ({"p": "nullif(close, 0)"}, {"filled": f"coalesce(p, {lag('p')}, {lag('p', 2)})", "turn": lag("volume")}, {"lp": "ln(filled)", "tradable": "CASE WHEN turn >= 100 THEN 1 ELSE 0 END", "rk": "rank() OVER (PARTITION BY t ORDER BY coalesce(turn, -1) DESC, asset)"}, {"top": "CASE WHEN rk <= 50 THEN 1 ELSE 0 END"}), "asset", "t", "~lp", "tradable", "top"),
     _op("SRC24_manifest", ("SELECT asset, min(t) AS first_t, max(t) AS last_t, count(*) AS n, SHA(SETTEXT(CAST(t AS STRING))) AS digest FROM $in GROUP BY asset",), "asset", "first_t", "last_t", "n", "digest"),
-    _op("SNK07_locked_export", ("SELECT a.* FROM $in a WHERE a.t < 19745 AND NOT EXISTS (SELECT 1 FROM (SELECT '7' AS name UNION ALL SELECT '11') w WHERE w.name = a.asset)",), "asset", "t", "~close"),
+    _op("SNK07_locked_export", (_BOUNDS, "SELECT a.* FROM $in a WHERE a.t <= a.val_end AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT asset AS name FROM $in WHERE substr(SHA(asset), 1, 1) < '6') w WHERE w.name = a.asset)"), "asset", "t", "~close"),
     # filters, windows, joins
     _op("FIL13_stale_options", ({"d": f"t - {lag('t')}"}, "SELECT asset, greatest(CAST(ceil(6 / PCTL(d, 0.5)) AS BIGINT), 2) AS bars FROM $in WHERE d IS NOT NULL GROUP BY asset"), "asset", "bars", mapping="A2"),
     _op("FIL25_panel_subset", (_scalar("max(t) AS end_t"), "SELECT s.* FROM $in s JOIN (SELECT asset FROM (SELECT asset, row_number() OVER (ORDER BY md5(concat('7:', asset)), asset) AS k FROM (SELECT DISTINCT asset FROM $in) d) q WHERE k <= 20) c ON s.asset = c.asset WHERE s.t > s.end_t - 10"), "asset", "t", "~close"),
@@ -62,23 +56,17 @@ STUDIES = [
     _op("SMP24_target_scale", ({"ret": f"lead(close) {LAG} / close - 1"}, {"y": "100 * ret"}, "SELECT * FROM $in WHERE abs(ret) > 0.000001", {"ratio": "y / ret"}, _scalar("PCTL(ratio, 0.5) AS scale"), "SELECT max(scale) AS scale, avg(CASE WHEN abs(ratio / scale - 1) < 0.01 THEN 1e0 ELSE 0e0 END) AS agree FROM $in"), "~scale", "~agree"),
     _op("SMP25_memory_estimate", ("SELECT asset, count(*) AS n, count(CASE WHEN t % 2 = 0 THEN 1 END) AS ends FROM $in GROUP BY asset", {"samples": "greatest(ends - 4, 0)"}, {"bytes_": "samples * 8 * 6 * 8"}), "asset", "n", "samples", "bytes_"),
     _op("SPL08_single_cutoff", ("SELECT t, count(*) AS n FROM $in GROUP BY t", {"cum": "sum(n) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "total": "sum(n) OVER ()"}, {"cut": "min(CASE WHEN cum >= total * 0.7e0 THEN t END) OVER ()"}, "SELECT CASE WHEN t <= cut THEN 'train' WHEN t <= cut + 2 THEN 'embargo' ELSE 'test' END AS part, CAST(sum(n) AS BIGINT) AS n, min(t) AS from_t, max(t) AS to_t FROM $in GROUP BY 1"), "part", "n", "from_t", "to_t"),
-    _op("UDF08_rolling_schedule", (f"SELECT g.lo + k.k * 5 AS start_t, g.lo + k.k * 5 + 9 AS end_t FROM (SELECT min(t) AS lo, max(t) AS hi FROM $in) g CROSS JOIN ({' UNION ALL '.join(f'SELECT {k} AS k' for k in range(12))}) k WHERE g.lo + k.k * 5 + 9 <= g.hi",), "start_t", "end_t"),
+    _op("UDF08_rolling_schedule", (f"SELECT first_t, last_t, SERIES(0, greatest(CAST(floor((last_t - first_t - 9) / 5e0) AS INT), 0)) AS k FROM ({_SPAN}) g", "SELECT first_t + k * 5 AS start_t, first_t + k * 5 + 9 AS end_t FROM $in WHERE first_t + k * 5 + 9 <= last_t"), "start_t", "end_t"),
     # evaluation
     _op("MET16_windows_evaluation", (*_SIGNAL, "SELECT s.*, CAST(floor(s.t / 5e0) AS BIGINT) - k.k AS w FROM $in s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) k", spearman("score", "actual", "w"), {"good": "CASE WHEN ic > 0 THEN 1 ELSE 0 END"}), "w", "n", "~ic", "good"),
     _op("MET18_isotonic", (*_BINNED, _PAV, "SELECT * FROM $in WHERE part = 'val'"), "b", "n", "~p", "~iso"),
     _op("MET19_calibration_report", (*_BINNED, _PAV, "SELECT part, CAST(sum(n) AS BIGINT) AS n, sum(n * abs(p - s / n)) / sum(n) AS ece_before, sum(n * abs(iso - s / n)) / sum(n) AS ece_after, sum(n * brier) / sum(n) AS brier_before, sum(s * (1 - iso) * (1 - iso) + (n - s) * iso * iso) / sum(n) AS brier_after FROM $in GROUP BY part"), "part", "n", "~ece_before", "~ece_after", "~brier_before", "~brier_after"),
-    _op("MET24_selective_report", (*_SIGNAL, _SPLITS, {"lvl": "CAST(least(floor(abs(score) * 5), 5) AS BIGINT)", "hit": "CASE WHEN score * actual > 0 THEN 1e0 ELSE 0e0 END"}, "SELECT part, lvl, count(*) AS n, sum(hit) AS hits FROM $in WHERE part IN ('val', 'test') GROUP BY part, lvl", "SELECT a.part, a.lvl, sum(b.n) AS n, sum(b.hits) AS hits FROM $in a JOIN $in b ON a.part = b.part AND b.lvl >= a.lvl GROUP BY a.part, a.lvl", {"acc": "hits / n"}, {"pick": "max_by(CASE WHEN part = 'val' THEN lvl END, CASE WHEN part = 'val' THEN floor(acc * 1000000) * 10 + lvl END) OVER ()"}, "SELECT lvl, CAST(n AS BIGINT) AS n, acc, (acc + 1.9208 / n - 1.96 * sqrt(acc * (1 - acc) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) AS lo, (acc + 1.9208 / n + 1.96 * sqrt(acc * (1 - acc) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) AS hi FROM $in WHERE part = 'test' AND lvl = pick"), "lvl", "n", "~acc", "~lo", "~hi"),
+    _op("MET24_selective_report", (*_SIGNAL, *_SPLITS, {"lvl": "CAST(least(floor(abs(score) * 5), 5) AS BIGINT)", "hit": "CASE WHEN score * actual > 0 THEN 1e0 ELSE 0e0 END"}, "SELECT part, lvl, count(*) AS n, sum(hit) AS hits FROM $in WHERE part IN ('val', 'test') GROUP BY part, lvl", "SELECT a.part, a.lvl, sum(b.n) AS n, sum(b.hits) AS hits FROM $in a JOIN $in b ON a.part = b.part AND b.lvl >= a.lvl GROUP BY a.part, a.lvl", {"acc": "hits / n"}, {"pick": "max_by(CASE WHEN part = 'val' THEN lvl END, CASE WHEN part = 'val' THEN floor(acc * 1000000) * 10 + lvl END) OVER ()"}, "SELECT lvl, CAST(n AS BIGINT) AS n, acc, (acc + 1.9208 / n - 1.96 * sqrt(acc * (1 - acc) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) AS lo, (acc + 1.9208 / n + 1.96 * sqrt(acc * (1 - acc) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n) AS hi FROM $in WHERE part = 'test' AND lvl = pick"), "lvl", "n", "~acc", "~lo", "~hi"),
     _op("MET26_candle_baseline", ({"cpos": "coalesce((close - low) / nullif(high - low, 0), 0.5)", "upper": "coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)", "lower": "coalesce((least(open, close) - low) / nullif(high - low, 0), 0)", "rng": "(high - low) / close", "f": f"lead(close) {LAG}"}, "SELECT *, CASE WHEN f > close THEN 1 ELSE 0 END AS y FROM $in WHERE f IS NOT NULL", _melt("y", ("cpos", "upper", "lower", "rng")), {"rk": tie_rank("x", "name")}, f"SELECT name, count(*) AS n, {_auc()} AS auc FROM $in GROUP BY name"), "name", "n", "~auc"),
-    _op("MET32_verification", (*_SIGNAL, _SPLITS, "SELECT 'finite' AS rule, CASE WHEN count(*) = count(CASE WHEN abs(score) < 1e300 AND abs(actual) < 1e300 THEN 1 END) THEN 'pass' ELSE 'fail' END AS verdict FROM $in UNION ALL SELECT 'split order', CASE WHEN max(CASE WHEN part = 'train' THEN t END) < min(CASE WHEN part = 'val' THEN t END) AND max(CASE WHEN part = 'val' THEN t END) < min(CASE WHEN part = 'test' THEN t END) THEN 'pass' ELSE 'fail' END FROM $in UNION ALL SELECT 'both classes', CASE WHEN min(sign(actual)) < max(sign(actual)) THEN 'pass' ELSE 'fail' END FROM $in"), "rule", "verdict"),
+    _op("MET32_verification", (*_SIGNAL, *_SPLITS, "SELECT 'finite' AS rule, CASE WHEN count(*) = count(CASE WHEN abs(score) < 1e300 AND abs(actual) < 1e300 THEN 1 END) THEN 'pass' ELSE 'fail' END AS verdict FROM $in UNION ALL SELECT 'split order', CASE WHEN max(CASE WHEN part = 'train' THEN t END) < min(CASE WHEN part = 'val' THEN t END) AND max(CASE WHEN part = 'val' THEN t END) < min(CASE WHEN part = 'test' THEN t END) THEN 'pass' ELSE 'fail' END FROM $in UNION ALL SELECT 'both classes', CASE WHEN min(sign(actual)) < max(sign(actual)) THEN 'pass' ELSE 'fail' END FROM $in"), "rule", "verdict"),
     _op("MET36_quantile_regression", (*_RANGE, f"SELECT s.lx, s.ly, k.k / 10e0 AS b FROM $in s CROSS JOIN ({' UNION ALL '.join(f'SELECT {k} AS k' for k in range(-10, 31))}) k", {"e": "ly - b * lx"}, "SELECT s.b, q.a, count(*) AS n, avg(CASE WHEN s.e >= q.a THEN 0.9 * (s.e - q.a) ELSE 0.1 * (q.a - s.e) END) AS loss FROM $in s JOIN (SELECT b, PCTL(e, 0.9) AS a FROM $in GROUP BY b) q ON s.b = q.b GROUP BY s.b, q.a", {"k": "row_number() OVER (ORDER BY floor(loss * 1000000000), b)"}, "SELECT * FROM $in WHERE k = 1"), "n", "~a", "~b", "~loss", mapping="B3"),
     _op("MET41_monthly_refit", (*_RANGE, {"ratio": "y / x"}, "SELECT a.t, a.n, f.q, a.covered FROM (SELECT s.t, count(*) AS n, avg(CASE WHEN s.ratio <= f.q THEN 1e0 ELSE 0e0 END) AS covered FROM $in s JOIN (SELECT m, PCTL(ratio, 0.8) AS q FROM (SELECT s.t + k.k AS m, s.ratio FROM $in s CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) k) e GROUP BY m) f ON s.t = f.m GROUP BY s.t) a JOIN (SELECT m, PCTL(ratio, 0.8) AS q FROM (SELECT s.t + k.k AS m, s.ratio FROM $in s CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) k) e GROUP BY m) f ON a.t = f.m"), "t", "n", "~q", "~covered", mapping="B3"),
     _op("MET42_forward_chain", (*_RANGE, {"yr": "CAST(floor(t / 12e0) AS BIGINT) + 1970"}, "SELECT yr, count(*) AS n, sum(lx) AS sx, sum(ly) AS sy, sum(lx * lx) AS sxx, sum(lx * ly) AS sxy FROM $in GROUP BY yr", {c: f"sum({a}) OVER (ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c, a in {"pn": "n", "px": "sx", "py": "sy", "pxx": "sxx", "pxy": "sxy"}.items()}, "SELECT * FROM $in WHERE pn >= 10", {"slope": "(pn * pxy - px * py) / (pn * pxx - px * px)"}, {"bias": "(sy - slope * sx) / n - (py - slope * px) / pn"}), "yr", "n", "~slope", "~bias", mapping="B3"),
-    # resampling inference
-    _op("BST04_label_permutation", (*_SIGNAL, _replicas(5), {"i": "row_number() OVER (PARTITION BY k, t ORDER BY asset)", "j": f"row_number() OVER (PARTITION BY k, t ORDER BY {_hash('t', 'k', 'CAST(floor(abs(score) * 100000) AS BIGINT)')}, asset)"}, "SELECT a.k, count(*) AS n, corr(a.score, b.actual) AS null_corr FROM $in a JOIN $in b ON a.k = b.k AND a.t = b.t AND a.i = b.j GROUP BY a.k"), "k", "n", "~null_corr"),
-    _op("BST06_auc_difference", (*_PROB, f"SELECT s.*, w.k, w.w FROM $in s JOIN (SELECT e.t, q.k, count(*) AS w FROM (SELECT k.k, CAST(floor({_hash('d.i', 'k.k', 'd.i * k.k + d.t')} * d.n) AS BIGINT) + 1 AS j FROM ({_DAYS}) d CROSS JOIN ({' UNION ALL '.join(f'SELECT {k} AS k' for k in range(1, 6))}) k) q JOIN ({_DAYS}) e ON e.i = q.j GROUP BY e.t, q.k) w ON s.t = w.t", {"u": "abs(score)", "neg": "CASE WHEN y = 0 THEN w ELSE 0 END"}, {f"{c}_{x}": f"sum(neg) OVER (PARTITION BY k{', ' + x if c == 'eq' else ''}{' ORDER BY ' + x if c == 'le' else ''})" for c in ("le", "eq") for x in ("score", "u")}, "SELECT k, CAST(sum(w) AS BIGINT) AS n, sum(CASE WHEN y = 1 THEN w * ((le_score - eq_score / 2e0) - (le_u - eq_u / 2e0)) ELSE 0e0 END) / nullif(sum(CASE WHEN y = 1 THEN w ELSE 0 END) * CAST(sum(neg) AS DOUBLE), 0) AS diff FROM $in GROUP BY k"), "k", "n", "~diff"),
-    _op("BST07_iid_bootstrap", (*_SIGNAL, _STEP, _INDEX, _replicas(20), {"j": f"CAST(floor({_hash('i', 'k', 'i * k + t')} * n) AS BIGINT) + 1"}, f"SELECT a.k, count(*) AS n, avg(b.x) AS mean, {_SHARPE} AS sharpe {_DRAWN}"), "k", "n", "~mean", "~sharpe"),
-    _op("BST08_block_bootstrap", (*_BLOCKS, f"SELECT a.k, count(*) AS n, avg(b.x) AS mean {_DRAWN}", "SELECT count(*) AS reps, avg(mean) AS mean, stddev_samp(mean) AS se, PCTL(mean, 0.025) AS lo, PCTL(mean, 0.975) AS hi FROM $in"), "reps", "~mean", "~se", "~lo", "~hi"),
-    _op("BST12_sharpe_difference", (*_BLOCKS, f"SELECT a.k, {_SHARPE} - {_SHARPE.replace('b.x', 'b.z')} AS diff {_DRAWN}", "SELECT count(*) AS reps, avg(diff) AS diff, PCTL(diff, 0.05) AS lo, PCTL(diff, 0.95) AS hi FROM $in"), "reps", "~diff", "~lo", "~hi"),
     # simulation
     _op("SIM07_extra_families", ({"top20": full("max", "high", 20, prior(20)), "top55": full("max", "high", 55, prior(55)), "mid": full("avg", "close", 20), "sd": full("stddev_samp", "close", 20), "atr": full("avg", "high - low", 20), "slow": full("avg", "close", 50), "mv": full("avg", "volume", 20, prior(20)), "d": f"close - {lag('close')}"}, {"up2": full("sum", "greatest(d, 0)", 2), "dn2": full("sum", "greatest(-d, 0)", 2)}, {"rsi2": "100 * up2 / nullif(up2 + dn2, 0)", "tight": "CASE WHEN 2 * sd < 1.5 * atr THEN 1 ELSE 0 END"}, {"donchian20": "CASE WHEN close > top20 THEN 1 ELSE 0 END", "donchian55": "CASE WHEN close > top55 THEN 1 ELSE 0 END", "rsi2_pullback": "CASE WHEN rsi2 < 10 AND close > slow THEN 1 ELSE 0 END", "keltner_squeeze": f"CASE WHEN tight = 0 AND {lag('tight')} = 1 AND close > mid THEN 1 ELSE 0 END", "volume_donchian": "CASE WHEN close > top20 AND volume > 1.5 * mv THEN 1 ELSE 0 END"}), "asset", "t", "donchian20", "donchian55", "rsi2_pullback", "keltner_squeeze", "volume_donchian", mapping="B2"),
     _op("SIM09_hedged_legs", (*_LEGS, "SELECT t, avg(CASE WHEN rn = n THEN fwd END) AS lead_, avg(fwd) AS hedge, count(*) AS n FROM $in GROUP BY t HAVING count(*) >= 5", {"net": "greatest(lead_, -0.5) - hedge - 0.0028", "cum": "sum(greatest(lead_, -0.5) - hedge - 0.0028) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}), "t", "n", "~net", "~cum", mapping="B3"),
@@ -103,12 +91,23 @@ STUDIES = [
     _op("STD03_direction_scores", ({"asym": f"avg(high - open) {last(5)} - avg(open - low) {last(5)}", "pc": f"close / {lag('close')} - 1", "cpos": "coalesce((close - low) / nullif(high - low, 0), 0.5)"}, {"nasym": f"asym / nullif(avg(high - low) {last(5)}, 0)", "agree": "CASE WHEN sign(pc) = sign(asym) THEN pc ELSE 0e0 END", "prod": "pc * (cpos - 0.5)"}), "asset", "t", "~asym", "~nasym", "~agree", "~prod"),
     _op("STD07_hit_stats", (*_PROB, {"m": "CAST(floor(t / 30e0) AS BIGINT)", "up": "CASE WHEN score > 0 THEN 1 ELSE 0 END"}, "SELECT m, count(*) AS n, avg(CASE WHEN up = y THEN 1e0 ELSE 0e0 END) AS acc, (avg(CASE WHEN y = 1 THEN CAST(up AS DOUBLE) END) + avg(CASE WHEN y = 0 THEN 1e0 - up END)) / 2 AS balanced FROM $in GROUP BY m"), "m", "n", "~acc", "~balanced"),
     _op("STD08_entry_simulation", (*_BRACKET, {"limit_": "close * CASE WHEN dir > 0 THEN 0.95e0 ELSE 1.05e0 END", "filled": "CASE WHEN dir <> 0 AND adv >= 0.05 THEN 1 ELSE 0 END"}, {"taker": "dir * end_ - 0.001", "maker": "CASE WHEN filled = 1 THEN dir * (close * (1 + end_) / limit_ - 1) - 0.0004 END"}, "SELECT dir, count(*) AS n, CAST(sum(filled) AS BIGINT) AS fills, avg(taker) AS taker, avg(maker) AS maker FROM $in GROUP BY dir"), "dir", "n", "fills", "~taker", "~maker"),
-    _op("STD09_magnitude_regression", ({"v": full("avg", "(high - low) / close", 3), "y": f"abs(lead(close) {LAG} / close - 1)"}, "SELECT *, ln(v) AS lv, ln(y) AS ly, CASE WHEN t <= 19742 THEN 'val' ELSE 'test' END AS part FROM $in WHERE v > 0 AND y > 0", _scalar("covar_pop(lv, ly) / nullif(var_pop(lv), 0) AS slope, avg(ly) - covar_pop(lv, ly) / nullif(var_pop(lv), 0) * avg(lv) AS base", "part = 'val'"), "SELECT part, count(*) AS n, max(slope) AS slope, max(base) AS base, avg(abs(ly - base - slope * lv)) AS err FROM $in GROUP BY part"), "part", "n", "~slope", "~base", "~err"),
+    _op("STD09_magnitude_regression", ({"v": full("avg", "(high - low) / close", 3), "y": f"abs(lead(close) {LAG} / close - 1)"}, _BOUNDS, "SELECT *, ln(v) AS lv, ln(y) AS ly, CASE WHEN t <= train_end THEN 'val' ELSE 'test' END AS part FROM $in WHERE v > 0 AND y > 0", _scalar("covar_pop(lv, ly) / nullif(var_pop(lv), 0) AS slope, avg(ly) - covar_pop(lv, ly) / nullif(var_pop(lv), 0) * avg(lv) AS base", "part = 'val'"), "SELECT part, count(*) AS n, max(slope) AS slope, max(base) AS base, avg(abs(ly - base - slope * lv)) AS err FROM $in GROUP BY part"), "part", "n", "~slope", "~base", "~err"),
     _op("STD10_collapse_report", (*_PROB, "SELECT asset, count(*) AS n, avg(CASE WHEN p > 0.5 THEN 1e0 ELSE 0e0 END) AS up_share, stddev_pop(p) AS spread FROM $in GROUP BY asset", {"collapsed": "CASE WHEN up_share < 0.02 OR up_share > 0.98 OR spread < 0.001 THEN 1 ELSE 0 END"}), "asset", "n", "~up_share", "~spread", "collapsed"),
     _op("STD11_rank_portfolio", (*_SIGNAL, {"rk": f"{tie_rank('score')} / count(*) {ACROSS}"}, "SELECT t, count(*) AS n, sum((rk - 0.5) * actual) / nullif(sum(abs(rk - 0.5)), 0) AS ret FROM $in GROUP BY t HAVING count(*) >= 5"), "t", "n", "~ret"),
     _op("STD12_side_bracket", (*_BRACKET, {"s": "close / open - 1"}, {"rn": "row_number() OVER (PARTITION BY t ORDER BY s, asset)", "n": f"count(*) {ACROSS}"}, {"side": "CASE WHEN rn > 0.8e0 * n THEN 1 WHEN rn <= 0.2e0 * n THEN -1 ELSE 0 END"}, "SELECT side, count(*) AS n, avg(CASE WHEN CASE WHEN side > 0 THEN dn ELSE up END >= 0.1 THEN -0.1 ELSE side * end_ END) AS stopped, avg(side * end_) AS held FROM $in WHERE side <> 0 GROUP BY side"), "side", "n", "~stopped", "~held"),
     _op("STD13_auc_in_quintiles", ({"v": "(high - low) / close", "f": f"lead(close) {LAG}", "s": "close / open - 1"}, "SELECT *, CASE WHEN f > close THEN 1 ELSE 0 END AS y FROM $in WHERE f IS NOT NULL", {"b": "CASE WHEN v = 0 THEN 0 WHEN v < 0.5 THEN 1 WHEN v < 1 THEN 2 ELSE 3 END"}, {"rk": tie_rank("s", "b")}, f"SELECT b, count(*) AS n, {_auc()} AS auc FROM $in GROUP BY b"), "b", "n", "~auc"),
-    _op("STD14_daily_selection", (*_SIGNAL, _replicas(4), {"u": f"CASE WHEN k = 1 THEN score ELSE {_hash('t', 'k', 'CAST(floor(abs(score) * 100000) AS BIGINT)')} END"}, {"rn": "row_number() OVER (PARTITION BY k, t ORDER BY u DESC, asset)", "n": "count(*) OVER (PARTITION BY k, t)"}, "SELECT k, count(*) AS n, avg(actual) AS mean FROM $in WHERE rn <= 0.2e0 * n GROUP BY k"), "k", "n", "~mean"),
+    # replica 0 is the score, the others are random orders of each step
+    _op(
+        "STD14_daily_selection",
+        (
+            *_SIGNAL, "SELECT *, SERIES(0, 200) AS k FROM $in", {"u": "CASE WHEN k = 0 THEN score ELSE UNIT(concat_ws(':', CAST(t AS STRING), asset, CAST(k AS STRING))) END"},
+            {"rn": "row_number() OVER (PARTITION BY k, t ORDER BY u DESC, asset)", "n": "count(*) OVER (PARTITION BY k, t)"},
+            "SELECT k, count(*) AS n, avg(actual) AS mean FROM $in WHERE rn <= 0.2e0 * n GROUP BY k",
+            {"observed": "max(CASE WHEN k = 0 THEN mean END) OVER ()"},
+            "SELECT max(n) AS n, max(observed) AS observed, count(*) - 1 AS replicas, (1 + count(CASE WHEN k > 0 AND abs(mean) >= abs(observed) THEN 1 END)) / CAST(count(*) AS DOUBLE) AS p_value FROM $in",
+        ),
+        "n", "~observed", "replicas", "~p_value",
+    ),
     _op("STD15_benchmark_features", ({f"r{n}": f"close / {lag('close', n)} - 1" for n in (1, 3)} | {"vz": f"volume / nullif(avg(volume) {last(4)}, 0) - 1"}, "SELECT * FROM $in WHERE r3 IS NOT NULL", {"k1": f"{tie_rank('r1')} / count(*) {ACROSS}", "k3": f"{tie_rank('r3')} / count(*) {ACROSS}", "part": "CASE WHEN t % 10 < 6 THEN 'train' WHEN t % 10 < 8 THEN 'purged' ELSE 'test' END"}), "asset", "t", "part", "~r1", "~r3", "~vz", "~k1", "~k3"),
     _op("STD16_trend_combos", ({"r": f"lead(close) {LAG} / close - 1", "s1": full("avg", "close", 5), "s2": full("avg", "close", 20), "s3": full("avg", "close", 50)}, "SELECT * FROM $in WHERE s3 IS NOT NULL AND r IS NOT NULL", {"w": "(CASE WHEN close > s1 THEN 1e0 ELSE 0e0 END + CASE WHEN close > s2 THEN 1e0 ELSE 0e0 END + CASE WHEN close > s3 THEN 1e0 ELSE 0e0 END) / 3"}, "SELECT asset, count(*) AS n, avg(w) AS exposure, avg(w * r) AS mean, avg(w * r) / nullif(stddev_pop(w * r), 0) AS sharpe FROM $in GROUP BY asset"), "asset", "n", "~exposure", "~mean", "~sharpe", mapping="B2"),
     _op("STD17_volatility_sizing", ({"p": f"close / {lag('close')} - 1", "f": f"lead(close) {LAG} / close - 1"}, {"s": full("stddev_samp", "p", 12)}, "SELECT *, sign(p) * least(0.3 / s, 2) AS w FROM $in WHERE s > 0 AND f IS NOT NULL", "SELECT asset, count(*) AS n, avg(w * f) AS mean, stddev_pop(w * f) AS sd FROM $in GROUP BY asset"), "asset", "n", "~mean", "~sd", mapping="B2"),

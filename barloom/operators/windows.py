@@ -76,9 +76,9 @@ WINDOWS = [
     _op("WIN54_lag_scan", ("SELECT asset, t, close AS x, " + ", ".join(f"{'lag' if k > 0 else 'lead'}(open, {abs(k)}) {LAG} AS p{k + 5}" for k in range(-5, 6)) + " FROM $in", "SELECT asset, CAST(count(*) AS BIGINT) AS t, " + ", ".join(f"corr(x, p{k}) AS c{k}" for k in range(11)) + " FROM $in GROUP BY asset"), *[f"~c{k}" for k in range(11)]),
     _op("WIN55_momentum_baseline", ({"d": f"sign(close - {lag('close')})"}, {"hit": f"CASE WHEN d IS NULL OR {lag('d')} IS NULL THEN NULL WHEN d = {lag('d')} THEN 1e0 ELSE 0e0 END"}, "SELECT asset, count(hit) AS t, avg(hit) AS accuracy FROM $in GROUP BY asset"), "~accuracy"),
     # arrays over a frame
-    _op("WIN27_share_rank", ("SELECT a.asset, a.t, CASE WHEN count(*) = 20 THEN avg(CASE WHEN b.close <= a.close THEN 1e0 ELSE 0e0 END) END AS share FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM $in) a JOIN (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM $in) b ON a.asset = b.asset AND b.rn BETWEEN a.rn - 19 AND a.rn GROUP BY a.asset, a.t",), "~share", mapping="A"),
-    _op("WIN28_mean_abs_deviation", ("SELECT a.asset, a.t, CASE WHEN count(*) = 10 THEN avg(abs(b.close - a.m)) END AS mad FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn, avg(close) OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM $in) a JOIN (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM $in) b ON a.asset = b.asset AND b.rn BETWEEN a.rn - 9 AND a.rn GROUP BY a.asset, a.t",), "~mad", mapping="A"),
-    _op("WIN29_rolling_pct_rank", ("SELECT a.asset, a.t, CASE WHEN count(*) = 20 THEN (sum(CASE WHEN b.close < a.close THEN 1 ELSE 0 END) + (sum(CASE WHEN b.close = a.close THEN 1 ELSE 0 END) + 1) / 2.0) / 20 END AS pct FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM $in) a JOIN (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) AS rn FROM $in) b ON a.asset = b.asset AND b.rn BETWEEN a.rn - 19 AND a.rn GROUP BY a.asset, a.t",), "~pct", mapping="A"),
+    _op("WIN27_share_rank", ({"xs": f"LISTOF(close) {last(20)}"}, {"share": "CASE WHEN LEN(xs) = 20 THEN LEN(KEEP(xs; x <= close)) / 20e0 END"}), "~share", mapping="A"),
+    _op("WIN28_mean_abs_deviation", ({"xs": f"LISTOF(close) {last(10)}", "m": f"avg(close) {last(10)}"}, {"mad": "CASE WHEN LEN(xs) = 10 THEN TOTAL(xs; abs(x - m)) / 10e0 END"}), "~mad", mapping="A"),
+    _op("WIN29_rolling_pct_rank", ({"xs": f"LISTOF(close) {last(20)}"}, {"pct": "CASE WHEN LEN(xs) = 20 THEN (LEN(KEEP(xs; x < close)) + (LEN(KEEP(xs; x = close)) + 1) / 2e0) / 20e0 END"}), "~pct", mapping="A"),
     _op("WIN53_pct_encode_decode", ({"first": f"first_value(close) {EVER}", "enc": f"coalesce(100 * (close / nullif({lag('close')}, 0) - 1), 0)"}, {"decoded": f"first * exp(sum(ln(1 + enc / 100)) {EVER})"}, {"exact": "CASE WHEN abs(decoded / close - 1) < 0.000001 THEN 1 ELSE 0 END"}), "~enc", "exact"),
     _op("SMP05_forward_aggregates", ({"future_close": f"lead(close, 5) {LAG}", "future_low_min": f"CASE WHEN count(low) {ahead(5)} = 5 THEN min(low) {ahead(5)} END", "future_high_max": f"CASE WHEN count(high) {ahead(5)} = 5 THEN max(high) {ahead(5)} END"},), "~future_close", "~future_low_min", "~future_high_max"),
 ]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.core import Operator
 from ..operators.cross_section import CROSS_SECTION
 from ..operators.evaluation import EVALUATION
+from ..operators.inference import INFERENCE
 from ..operators.recursions import RECURSIONS, Scan
 from ..operators.relational import RELATIONAL
 from ..operators.studies import STUDIES
@@ -27,7 +28,7 @@ def register(op: Operator | Scan) -> None:
     ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
 
 
-for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *STUDIES):
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *INFERENCE, *STUDIES):
     register(_operator)
 
 for _name, (_function, _oracle) in FUNCTIONAL.items():

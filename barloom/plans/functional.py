@@ -16,8 +16,13 @@ from ..sources.sinks import append_ledger
 
 FUNCTIONAL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 _A, _B3 = f"({bars_sql('A')}) b", f"({bars_sql('B3')}) b"
-#: Steps up to which the learned studies fit: months since 1970 of mapping B3.
-FITTED = 330
+_HALF = f"(SELECT (min(t) + max(t)) // 2 FROM {_A})"
+
+
+def _fitted(rows: DataFrame) -> int:
+    """The step up to which the learned studies fit: two thirds of the span."""
+    span = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    return span.lo + 2 * (span.hi - span.lo) // 3
 
 
 def _query(name: str, oracle: str | None = None) -> Callable:
@@ -86,12 +91,14 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.by_group(bars(spark, sf_dir, "A").select("asset", "trades"), ["asset"], span, "asset string, span long")
 
 
-@_query("UDF05_user_predictor", f"SELECT asset, t, (SELECT max(x.trades) FROM {_A.replace(') b', ') x')} WHERE x.asset = b.asset AND x.t <= 19742) AS pred FROM {_A} WHERE t > 19742")
+@_query("UDF05_user_predictor", f"SELECT asset, t, (SELECT max(x.trades) FROM {_A.replace(') b', ') x')} WHERE x.asset = b.asset AND x.t <= {_HALF}) AS pred FROM {_A} WHERE t > {_HALF}")
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     def predict(train: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
         return rest[["asset", "t"]].assign(pred=pd.array([train["trades"].max() if len(train) else None] * len(rest), dtype="Int64"))
 
-    rows = bars(spark, sf_dir, "A").select("asset", "t", "trades").withColumn("part", F.expr("CASE WHEN t <= 19742 THEN 'train' ELSE 'test' END"))
+    rows = bars(spark, sf_dir, "A").select("asset", "t", "trades")
+    span = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    rows = rows.withColumn("part", F.when(F.col("t") <= (span.lo + span.hi) // 2, "train").otherwise("test"))
     return learning.predict_splits(rows, ["asset"], predict, "asset string, t long, pred long")
 
 
@@ -107,24 +114,47 @@ def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("ML08_validated_leaves")
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.leaves(bars(spark, sf_dir, "B3"), FITTED)
+    rows = bars(spark, sf_dir, "B3")
+    return learning.leaves(rows, _fitted(rows))
 
 
 @_query("ML10_boosted_deciles")
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.boosted_deciles(bars(spark, sf_dir, "B3"), FITTED)
+    rows = bars(spark, sf_dir, "B3")
+    return learning.boosted_deciles(rows, _fitted(rows))
 
 
 @_query("MET18_platt")
 def _platt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.calibrated(bars(spark, sf_dir, "B3"), FITTED)
+    rows = bars(spark, sf_dir, "B3")
+    return learning.calibrated(rows, _fitted(rows))
+
 
+_PAIRS = f"""WITH p AS (SELECT asset, t, ln(close) - lag(ln(close)) OVER (PARTITION BY asset ORDER BY t) AS r FROM {_A})
+    SELECT a.asset AS a, b.asset AS b, count(*) AS n, floor(corr(a.r, b.r) * 1000000 + 0.5) / 1000000 AS rho
+    FROM p a JOIN p b ON a.t = b.t AND a.asset < b.asset WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.asset, b.asset HAVING count(*) >= 10"""
 
-@_query("AGG11_all_pairs")
+
+@_query("AGG11_pair_correlation", _PAIRS)
 def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.all_correlations(bars(spark, sf_dir, "A"))
+    return pairs.all_correlations(bars(spark, sf_dir, "A")).withColumn("rho", F.floor(F.col("rho") * 1000000 + 0.5) / 1000000)
+
+
+#: The test span is the last eighth of the steps, the train span the first half, so an embargo lies between.
+TRAIN, TEST = 0.5, 0.875
+_WINDOWS = f"""WITH w AS (SELECT asset, t, close AS x0, lag(close, 1) OVER o AS x1, lag(close, 2) OVER o AS x2, lag(close, 3) OVER o AS x3 FROM {_A} WINDOW o AS (PARTITION BY asset ORDER BY t)),
+    m AS (SELECT *, list_avg([x0, x1, x2, x3]) AS m, list_stddev_pop([x0, x1, x2, x3]) AS sd FROM w WHERE x3 IS NOT NULL),
+    z AS (SELECT asset, t, (x0 - m) / sd AS z0, (x1 - m) / sd AS z1, (x2 - m) / sd AS z2, (x3 - m) / sd AS z3 FROM m WHERE sd > 0),
+    g AS (SELECT min(t) + CAST(floor({TRAIN} * (max(t) - min(t))) AS BIGINT) AS train_end, min(t) + CAST(floor({TEST} * (max(t) - min(t))) AS BIGINT) AS test_from FROM {_A}),
+    d AS (SELECT q.asset, q.t, l.asset AS near_asset, l.t AS near_t, sqrt((q.z0 - l.z0) ** 2 + (q.z1 - l.z1) ** 2 + (q.z2 - l.z2) ** 2 + (q.z3 - l.z3) ** 2) AS dist FROM z q, z l, g WHERE q.t > g.test_from AND l.t <= g.train_end)
+    SELECT asset, t, k, floor(dist * 1000000 + 0.5) / 1000000 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY asset, t ORDER BY dist, near_asset, near_t) AS k FROM d) r WHERE k <= 3"""
 
 
-@_query("JOIN15_all_windows")
+@_query("JOIN15_nearest_windows", _WINDOWS)
 def _all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.all_nearest_windows(bars(spark, sf_dir, "A"), "t <= 19739", "t > 19747")
+    """Neighbours of equal distance may stand in either order, so the distances are compared."""
+    rows = bars(spark, sf_dir, "A")
+    span = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    train, test = (span.lo + int(share * (span.hi - span.lo)) for share in (TRAIN, TEST))
+    found = pairs.all_nearest_windows(rows, f"t <= {train}", f"t > {test}")
+    return found.select("asset", "t", F.col("k").cast("long").alias("k"), (F.floor(F.col("dist") * 1000000 + 0.5) / 1000000).alias("dist"))

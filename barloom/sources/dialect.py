@@ -11,6 +11,12 @@ _SPARK = {
     "KEY": "struct({0})",
     "PCTL": "percentile({0})",
     "SHA": "sha2({0}, 256)",
+    "UNIT": "(CAST(conv(substring(md5({0}), 1, 12), 16, 10) AS DOUBLE) / 281474976710656e0)",
+    "LISTOF": "collect_list({0})",
+    "LEN": "size({0})",
+    "KEEP": "filter({0}, x -> {1})",
+    "TOTAL": "aggregate(transform({0}, x -> {1}), 0e0, (a, b) -> a + b)",
+    "SERIES": "explode(sequence({0}))",
     "SETTEXT": "array_join(sort_array(collect_set({0})), ',')",
     "TODATE": "date_add(DATE '1970-01-01', CAST({0} AS INT))",
 }
@@ -21,13 +27,19 @@ _DUCK = {
     "KEY": "row({0})",
     "PCTL": "quantile_cont({0})",
     "SHA": "sha256({0})",
+    "UNIT": "(CAST('0x' || substr(md5({0}), 1, 12) AS BIGINT) / 281474976710656e0)",
+    "LISTOF": "list({0})",
+    "LEN": "len({0})",
+    "KEEP": "list_filter({0}, lambda x: {1})",
+    "TOTAL": "list_sum(list_transform({0}, lambda x: {1}))",
+    "SERIES": "unnest(generate_series({0}))",
     "SETTEXT": "string_agg(DISTINCT {0}, ',' ORDER BY {0})",
     "TODATE": "(DATE '1970-01-01' + CAST({0} AS INTEGER))",
 }
 
 
 def _translate(sql: str, table: dict[str, str]) -> str:
-    """Replace NAME(arguments) by its pattern; arguments may hold balanced brackets."""
+    """Replace NAME(arguments) by its pattern; arguments may hold balanced brackets, two are parted by a semicolon."""
     found = re.search(rf"\b({'|'.join(table)})\(", sql)
     if not found:
         return sql
@@ -36,7 +48,7 @@ def _translate(sql: str, table: dict[str, str]) -> str:
         depth += {"(": 1, ")": -1}.get(sql[at], 0)
         at += 1
     inner = _translate(sql[found.end() : at - 1], table)
-    return sql[: found.start()] + table[found[1]].format(inner) + _translate(sql[at:], table)
+    return sql[: found.start()] + table[found[1]].format(*(p.strip() for p in inner.split(";"))) + _translate(sql[at:], table)
 
 
 def to_spark(sql: str) -> str:
