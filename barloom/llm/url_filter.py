@@ -138,8 +138,8 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
 def judge_sql(pages: str = "pages", rules: tuple[Rule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> str:
     """DuckDB SQL for :func:`judge` that counts every subset of every URL's tokens."""
     fits = "".join(f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'rule': '{r.name}', 'verdict': '{r.verdict}'}}" for r in sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True))
-    return rf"""WITH cut AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, row_number() OVER () AS k, strpos(coalesce(url, ''), '://') AS at FROM {pages}),
-        parts AS (SELECT *, CASE WHEN at > 0 THEN left(url, at - 1) ELSE '' END AS scheme, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM cut),
+    return rf"""WITH cut AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, row_number() OVER () AS k, strpos(coalesce(url, ''), '://') AS cut_at FROM {pages}),
+        parts AS (SELECT *, CASE WHEN cut_at > 0 THEN left(url, cut_at - 1) ELSE '' END AS scheme, CASE WHEN cut_at > 0 THEN substr(url, cut_at + 3) ELSE '' END AS rest FROM cut),
         hosts AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM parts),
         asked AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS masked, regexp_extract(coalesce(url, ''), '\?([^#]*)', 1, 's') AS query, string_split(host, '.') AS labels, CASE{fits} END AS r FROM hosts),
         named AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(query, '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''))), '&') AS params,
