@@ -15,6 +15,7 @@ from ..operators.relational import RELATIONAL
 from ..operators.studies import STUDIES
 from ..operators.windows import WINDOWS
 from ..sources.bars import bars, bars_sql
+from . import io_queries  # noqa: F401
 from .functional import FUNCTIONAL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -19,6 +19,14 @@ def test_klines(spark, tmp_path):
     (tmp_path / "BTC.csv").write_text("timestamp,Open,high,low,close,volume\n1700000000000,1,2,0,1,5\n1700000000000,1,2,0,3,5\nbad,1,1,1,1,1\n")
     found = read_klines(spark, str(tmp_path)).collect()
     assert [(r.asset, r.close, r.trades) for r in found] == [("BTC", 3.0, None)]
+    # mixed layouts: every file is read by its own header
+    (tmp_path / "AAA.csv").write_text("timestamp,datetime_utc,open,high,low,close,volume,trades\n1,2023-11-14 22:13:20,1,2,0.5,1.5,7,3\n")
+    (tmp_path / "BBB.csv").write_text("Close,timestamp,Open,High,Low,Volume\n9,1700000000,8,10,7,\n\n")
+    rows = {r.asset: r for r in read_klines(spark, str(tmp_path)).collect()}
+    assert rows["AAA"].ts == rows["BBB"].ts == rows["BTC"].ts
+    assert (rows["BBB"].open, rows["BBB"].high, rows["BBB"].low, rows["BBB"].close, rows["BBB"].volume, rows["AAA"].trades) == (8, 10, 7, 9, None, 3)
+    for name in ("AAA", "BBB"):
+        (tmp_path / f"{name}.csv").unlink()
     assert manifest(spark, str(tmp_path)).count() == 1
 
 
