@@ -54,16 +54,6 @@ def select_available(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.select(*[c for c in columns if c in frame.columns])
 
 
-def kinds(columns: Sequence[str], prefixes: dict[str, str], default: str) -> dict[str, list[str]]:
-    """kind -> columns: names that end in ``_available`` are flags, else the longest known prefix decides, else ``default``."""
-    out: dict[str, list[str]] = {}
-    for column in columns:
-        known = max((p for p in prefixes if column.startswith(p)), key=len, default=None)
-        kind = "flag" if column.endswith("_available") else prefixes[known] if known is not None else default
-        out.setdefault(kind, []).append(column)
-    return out
-
-
 def required_bars(warm_up: Sequence[int], horizon: int, ratio: int = 1) -> int:
     """Bars to load before a live prediction: the longest warm-up in base bars, and the horizon."""
     return max(warm_up, default=0) * ratio + horizon

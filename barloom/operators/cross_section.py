@@ -32,7 +32,6 @@ _BIN = {"bin": "CASE WHEN n > 1 THEN greatest(CAST(ceil((rn - 1) * 5e0 / (n - 1)
 CROSS_SECTION = [
     _op("XS01_momentum_rank", (_R, _KNOWN, {"rank": f"{tie_rank('r')} / count(*) {ACROSS}"}), "asset", "t", "~rank"),
     _op("XS02_market_breadth", ({"r": f"ln(close) - {lag('ln(close)', 3)}"}, "SELECT t, count(r) AS n, coalesce(avg(CASE WHEN r > 0 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END), 0.5) AS breadth FROM $in GROUP BY t"), "t", "n", "~breadth"),
-    _op("XS03_orthogonal_momentum", (_R, {"natr": full("avg", "(high - low) / close", 12)}, "SELECT * FROM $in WHERE r IS NOT NULL AND natr IS NOT NULL", {"rm": f"{tie_rank('r')} / (count(*) {ACROSS} / 2e0)", "rn": f"{tie_rank('natr')} / (count(*) {ACROSS} / 2e0)", "n": f"count(*) {ACROSS}"}, {"slope": f"covar_pop(rm, rn) {ACROSS} / nullif(var_pop(rn) {ACROSS}, 0)", "mm": f"avg(rm) {ACROSS}", "mn": f"avg(rn) {ACROSS}"}, {"res": "CASE WHEN n >= 5 THEN coalesce(rm - mm - slope * (rn - mn), 0) ELSE 0 END"}), "asset", "t", "~res"),
     _op("XS04_target_zscore_rank", (_R, _KNOWN, {"m": f"avg(r) {ACROSS}", "s": f"stddev_pop(r) {ACROSS}", "n": f"count(*) {ACROSS}", "rn": "row_number() OVER (PARTITION BY t ORDER BY r, asset)"}, {"z": "CASE WHEN n < 5 THEN r WHEN s < 0.000000001 THEN 0 ELSE greatest(least((r - m) / s, 5), -5) END", "rk": "CASE WHEN n < 5 THEN r ELSE (rn - 1) * 2e0 / (n - 1) - 1 END"}), "asset", "t", "~z", "~rk"),
     _op("XS05_inverse_zscore", (_R, _KNOWN, "SELECT a.asset, a.t, a.r, g.m, g.s FROM $in a LEFT JOIN (SELECT t, avg(r) AS m, stddev_pop(r) AS s FROM $in GROUP BY t HAVING count(*) >= 5) g ON a.t = g.t", {"z": "CASE WHEN s IS NULL THEN r ELSE (r - m) / nullif(s, 0) END"}, {"back": "CASE WHEN s IS NULL THEN z ELSE z * s + m END"}), "asset", "t", "~back"),
     _op("XS06_median_relative", (_R, _KNOWN, "SELECT a.*, g.med FROM $in a JOIN (SELECT t, PCTL(r, 0.5) AS med FROM $in GROUP BY t) g ON a.t = g.t", {"rel": "r - med", "cls": "CASE WHEN r > med THEN 1 ELSE 0 END"}), "asset", "t", "~rel", "cls"),

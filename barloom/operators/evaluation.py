@@ -62,7 +62,6 @@ EVALUATION = [
     _op("AGG30_skip_summary", ("SELECT asset, count(*) AS n, max(t) AS end_t FROM $in GROUP BY asset", _scalar("max(end_t) AS last_t"), {"status": "CASE WHEN n < 10 THEN 'too short' WHEN end_t < last_t - 10 THEN 'ended' ELSE 'kept' END"}, "SELECT status, count(*) AS n FROM $in GROUP BY status"), "status", "n"),
     _op("SRT01_stable_order", ({"g": "CAST(floor(t / 5e0) AS BIGINT)"}, {"k": "row_number() OVER (PARTITION BY g ORDER BY t, asset)"}), "g", "k", "asset", "t"),
     _op("SRT05_candidate_ranking", ({"target": full("avg", "close", 14)} | {f"c{n}": full("avg", "close", n) for n in (10, 14, 20)} | {"back": "row_number() OVER (PARTITION BY asset ORDER BY t DESC)"}, "SELECT " + ", ".join(f"max(CASE WHEN back <= 20 THEN abs(c{n} / target - 1) END) AS e{n}" for n in (10, 14, 20)) + " FROM $in", "SELECT 'mean10' AS name, e10 AS err FROM $in UNION ALL SELECT 'mean14', e14 FROM $in UNION ALL SELECT 'mean20', e20 FROM $in", {"k": "row_number() OVER (ORDER BY err, name)"}), "name", "~err", "k", mapping="B2"),
-    _op("SMP01_sliding_window", ({f"w{k}": lag("close", 7 - k) if k < 7 else "close" for k in range(8)}, "SELECT * FROM $in WHERE w0 IS NOT NULL AND t % 2 = 0"), "asset", "t", *[f"~w{k}" for k in range(8)]),
     _op("SMP07_return_target", (*_NEXT, {"y": "100 * greatest(least((f - close) / CASE WHEN abs(close) > 0.00000001 THEN close ELSE 0.00000001 END, 1), -1)"}), "asset", "t", "~y"),
     _op("SMP09_retarget_modes", (*_NEXT, _QUART, _FULL8, {"magnitude": "abs(ret)", "scaled": "(f - close) / greatest(q3 - q1, 0.00000001)", "pos": "coalesce((f - q1) / nullif(q3 - q1, 0), 0.5)"}, _BOUNDS, _scalar("PCTL(magnitude, 0.5) AS typical", "t <= train_end"), {"relative": "magnitude / typical"}), "asset", "t", "~ret", "~magnitude", "~scaled", "~pos", "~relative"),
     _op("SMP10_volnorm_scale", (_QUART, _FULL8, {"s": "(q3 - q1) / abs(close)"}, _scalar("PCTL(s, 0.5) AS typical"), {"scale": "CASE WHEN s > 0.000001 THEN s ELSE typical END"}), "asset", "t", "~scale"),

@@ -115,3 +115,66 @@ def predict_splits(frame: DataFrame, keys: list[str], predict: Callable[[pd.Data
     """A user's function of the train and the later rows of each key."""
     train, rest = frame.where("part = 'train'"), frame.where("part <> 'train'")
     return train.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInPandas(predict, schema)
+
+
+def ordered_map(frame: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: list[str]) -> DataFrame:
+    """A function of batches, its rows numbered in the input's order: places within a key's rows plus the counts of keys before it."""
+    from pyspark.sql import Window
+
+    done = frame.mapInPandas(lambda batches: (function(b) for b in batches), schema)
+    lead, rest = order[0], order[1:] or order
+    counts = done.groupBy(lead).agg(F.count(F.lit(1)).alias("m"))
+    before = counts.select(lead, (F.sum("m").over(Window.orderBy(lead)) - F.col("m")).alias("before"))  # one row a key
+    return done.join(before, lead).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy(lead).orderBy(*rest))).drop("before").orderBy("i")
+
+
+def rolling_apply(frame: DataFrame, column: str, rows: int, function: Callable[[pd.Series], float], name: str, keys: str = "asset", order: str = "t") -> DataFrame:
+    """A user's function of the last rows of each key, called on Arrow slices of its frames."""
+    from pyspark.sql import Window
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def run(values: pd.Series) -> float:
+        return function(values)
+
+    return frame.withColumn(name, run(column).over(Window.partitionBy(keys).orderBy(order).rowsBetween(1 - rows, 0)))
+
+
+def success_patterns(bars: DataFrame, depth: int = 3, k: int = 4) -> DataFrame:
+    """(kind, pattern, n, success): leaves of a tree and clusters with the share of rows whose next return is positive, and how far apart rows lie.
+
+    ``outlier`` is the share of rows beyond three mean distances from their cluster's centre.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = features(bars)
+    tree = _fit(DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, seed=7).setLeafCol("leaf"), rows)
+    scaled = _fit(StandardScaler(inputCol="x", outputCol="z", withMean=True), rows).transform(rows)
+    model = _fit(KMeans(featuresCol="z", predictionCol="cluster", k=k, seed=7), scaled)
+    leaves_ = tree.transform(rows).groupBy(F.col("leaf").cast("long").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("success")).select(F.lit("leaf").alias("kind"), "pattern", "n", "success")
+    placed = model.transform(scaled)
+    groups = placed.groupBy(F.col("cluster").cast("long").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("success")).select(F.lit("cluster").alias("kind"), "pattern", "n", "success")
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    gap = F.sqrt(F.aggregate(F.zip_with(vector_to_array("z"), F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    far = placed.withColumn("gap", gap)
+    mean = far.agg(F.avg("gap").alias("mean"))
+    outliers = far.crossJoin(F.broadcast(mean)).where("gap > 3 * mean").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("success")).select(F.lit("outlier").alias("kind"), F.lit(0).cast("long").alias("pattern"), "n", "success")
+    return leaves_.unionByName(groups).unionByName(outliers)
+
+
+def attributions(bars: DataFrame) -> DataFrame:
+    """(feature, loss): how much the squared error of a linear scorer grows when one feature is dealt anew among the rows."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import LinearRegression
+
+    rows = features(bars)
+    model = _fit(LinearRegression(featuresCol="x", labelCol="fwd"), rows)
+    weights = [float(w) for w in model.coefficients]
+    x = vector_to_array("x")
+    # dealing a feature anew adds twice its part's variance less its part's bond with the error: exact in expectation, one pass
+    error = F.col("fwd") - model.intercept - sum((x[i] * w for i, w in enumerate(weights)), F.lit(0.0))
+    found = rows.agg(*[(2 * w * w * F.var_pop(x[i]) + 2 * w * F.covar_pop(x[i], error)).alias(FEATURES[i]) for i, w in enumerate(weights)])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("loss")) for n in FEATURES])).alias("r")).select("r.*")

@@ -69,7 +69,6 @@ WINDOWS = [
     _op("WIN46_past_volatility", (_R1, {"own": f"CASE WHEN count(r) {prior(20)} >= 5 THEN stddev_samp(r) {prior(20)} END"}, "SELECT s.*, g.med FROM $in s LEFT JOIN (SELECT t, PCTL(own, 0.5) AS med FROM $in GROUP BY t) g ON s.t = g.t", "SELECT s.*, g.med AS overall FROM (SELECT asset, t, own, med FROM $in) s CROSS JOIN (SELECT PCTL(own, 0.5) AS med FROM $in) g", {"pvol": "coalesce(own, med, overall)"}), "~pvol"),
     _op("WIN47_rolling_quantiles", ({"x": "(high - low) / close"}, {f"q{p}": f"CASE WHEN count(x) {last(30)} = 30 THEN PCTL(x, 0.{p}) {last(30)} END" for p in (10, 50, 90)}), "~q10", "~q50", "~q90"),
     _op("WIN48_forward_targets", ({"next_range": f"lead((high - low) / close) {LAG}", "next_up": f"lead(high) {LAG} / close - 1", "next_down": f"1 - lead(low) {LAG} / close", "fwd": f"ln(lead(close, 6) {LAG}) - ln(lead(close, 1) {LAG})"},), "~next_range", "~next_up", "~next_down", "~fwd"),
-    _op("WIN49_panel_features", (_R1, {"mom5": full("sum", "r", 5), "mom20": full("sum", "r", 20), "vol20": full("stddev_samp", "r", 20), "to_high": f"close / {full('max', 'high', 20)} - 1", "to_low": f"close / {full('min', 'low', 20)} - 1"}), "~mom5", "~mom20", "~vol20", "~to_high", "~to_low"),
     _op("WIN50_tsmom_weights", (_R1, {f"m{h}": f"CASE WHEN {lag('close', h)} IS NULL THEN NULL WHEN close > {lag('close', h)} THEN 1e0 ELSE 0e0 END" for h in (5, 20, 60)} | {"sd": full("stddev_samp", "r", 30)}, {"live": "CASE WHEN m60 IS NOT NULL AND sd > 0 THEN 1 ELSE 0 END"}, {"n": "sum(live) OVER (PARTITION BY t)"}, {"w": "CASE WHEN live = 1 THEN (m5 + m20 + m60) / 3 * least(0.02 / sd, 3) / n ELSE 0 END"}), "~w"),
     _op("WIN51_intraday_lag", ({"day": "CAST(floor(t / 24.0) AS BIGINT)"}, {"r": "ln(close / coalesce(lag(close) OVER (PARTITION BY asset, day ORDER BY t), open))"}), "~r", mapping="A2"),
     _op("WIN52_drawdown_streaks", (_R1, {"e": f"exp(sum(coalesce(r, 0)) {EVER})", "win": "CASE WHEN coalesce(r, 0) >= 0 THEN 1 ELSE 0 END"}, {"dd": f"e / max(e) {EVER} - 1", "g": f"sum(win) {EVER}"}, {"streak": "row_number() OVER (PARTITION BY asset, g ORDER BY t) - max(win) OVER (PARTITION BY asset, g)"}), "~dd", "streak"),

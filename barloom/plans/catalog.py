@@ -12,10 +12,11 @@ from ..operators.evaluation import EVALUATION
 from ..operators.inference import INFERENCE
 from ..operators.recursions import RECURSIONS, Scan
 from ..operators.relational import RELATIONAL
+from ..operators.samples import SAMPLES
 from ..operators.studies import STUDIES
 from ..operators.windows import WINDOWS
 from ..sources.bars import bars, bars_sql
-from . import io_queries  # noqa: F401
+from . import io_queries, stream_queries, study_queries  # noqa: F401
 from .functional import FUNCTIONAL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,7 @@ def register(op: Operator | Scan) -> None:
     ORACLES[op.name] = op.oracle(bars_sql(op.mapping))
 
 
-for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *INFERENCE, *STUDIES):
+for _operator in (*WINDOWS, *RECURSIONS, *CROSS_SECTION, *RELATIONAL, *EVALUATION, *INFERENCE, *SAMPLES, *STUDIES):
     register(_operator)
 
 for _name, (_function, _oracle) in FUNCTIONAL.items():

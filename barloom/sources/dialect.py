@@ -16,6 +16,11 @@ _SPARK = {
     "LEN": "size({0})",
     "KEEP": "filter({0}, x -> {1})",
     "TOTAL": "aggregate(transform({0}, x -> {1}), 0e0, (a, b) -> a + b)",
+    "EACH": "transform({0}, x -> {1})",
+    "LOWEST": "array_min({0})",
+    "HIGHEST": "array_max({0})",
+    "ORDERED": "sort_array({0})",
+    "AT": "get({0}, {1} - 1)",
     "SERIES": "explode(sequence({0}))",
     "SETTEXT": "array_join(sort_array(collect_set({0})), ',')",
     "TODATE": "date_add(DATE '1970-01-01', CAST({0} AS INT))",
@@ -32,6 +37,11 @@ _DUCK = {
     "LEN": "len({0})",
     "KEEP": "list_filter({0}, lambda x: {1})",
     "TOTAL": "list_sum(list_transform({0}, lambda x: {1}))",
+    "EACH": "list_transform({0}, lambda x: {1})",
+    "LOWEST": "list_min({0})",
+    "HIGHEST": "list_max({0})",
+    "ORDERED": "list_sort({0})",
+    "AT": "list_extract({0}, {1})",
     "SERIES": "unnest(generate_series({0}))",
     "SETTEXT": "string_agg(DISTINCT {0}, ',' ORDER BY {0})",
     "TODATE": "(DATE '1970-01-01' + CAST({0} AS INTEGER))",
@@ -40,7 +50,7 @@ _DUCK = {
 
 def _translate(sql: str, table: dict[str, str]) -> str:
     """Replace NAME(arguments) by its pattern; arguments may hold balanced brackets, two are parted by a semicolon."""
-    found = re.search(rf"\b({'|'.join(table)})\(", sql)
+    found = re.search(rf"\b({'|'.join(sorted(table, key=len, reverse=True))})\(", sql)
     if not found:
         return sql
     depth, at = 1, found.end()

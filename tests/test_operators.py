@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barloom.functions import registry
+from barloom.functions import normalize, registry
 from barloom.operators.core import Operator
 from barloom.operators.recursions import BLOCK, Scan, ema
 from barloom.operators.studies import _PAV
@@ -77,5 +77,6 @@ def test_registry(spark):
     with pytest.warns(UserWarning):
         assert registry.select_available(bars, ["low", "x"]).columns == ["low"]
     assert registry.drop_matching(bars, ["h*", "low"]).columns == ["asset", "close"]
-    assert registry.kinds(["ret_1", "ret_z_1", "oi_available", "x"], {"ret": "return", "ret_z": "score"}, "level") == {"return": ["ret_1"], "score": ["ret_z_1"], "flag": ["oi_available"], "level": ["x"]}
+    assert normalize.kinds(["ret_1", "ret_z_1", "oi_available", "x"], {"ret": "return", "ret_z": "score"}, "level") == {"return": ["ret_1"], "score": ["ret_z_1"], "level": ["oi_available", "x"]}
+    assert normalize.kinds(["BBP_5", "oi_available", "x"]) == {"unit_0_1": ["BBP_5"], "binary_flag": ["oi_available"], "cumulative": ["x"]}
     assert (registry.required_bars([30, 55], 3, 4), registry.embargo([30, 12], 24, 3), registry.embargo([], 24, 3)) == (223, 33, 26)
