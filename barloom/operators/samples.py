@@ -73,7 +73,7 @@ _PANEL_OUT = ["mom_1", "mom_4", "mom_24", "mom_72", "mom_168", "vol24", "vol168"
 def _fold_skill(share: float, k: int) -> str:
     """Fit on the latest ``share`` of the training steps, judged on validation by the moments of both."""
     return (
-        f"SELECT {k} AS k, {share!r} AS share, a.n, a.slope, b.cov * a.slope / nullif(sqrt(a.slope * a.slope * b.vx * b.vy), 0) AS skill FROM "
+        f"SELECT {k} AS k, {share!r}e0 AS share, a.n, a.slope, b.cov * a.slope / nullif(sqrt(a.slope * a.slope * b.vx * b.vy), 0) AS skill FROM "
         f"(SELECT count(*) AS n, covar_pop(score, actual) / nullif(var_pop(score), 0) AS slope FROM $in WHERE t <= train_end AND t > train_end - {share!r} * (train_end - first_t + 1)) a "
         "CROSS JOIN (SELECT covar_pop(score, actual) AS cov, var_pop(score) AS vx, var_pop(actual) AS vy FROM $in WHERE t > train_end + 2 AND t <= val_end) b"
     )

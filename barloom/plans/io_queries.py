@@ -219,7 +219,7 @@ def _klines(symbol: str, start: int, limit: int) -> list[dict]:
     return [{"t": t, "close": t * 0.5 + ord(symbol[0])} for t in hours]
 
 
-_EXCHANGE = "SELECT symbol, t, t * 0.5 + ascii(symbol) AS close FROM (VALUES ('AUSDT'), ('BUSDT'), ('CUSDT')) s(symbol), generate_series({0}, {1}) g(t) WHERE t % 17 <> 0"
+_EXCHANGE = "SELECT symbol, t, t * 0.5e0 + ascii(symbol) AS close FROM (VALUES ('AUSDT'), ('BUSDT'), ('CUSDT')) s(symbol), generate_series({0}, {1}) g(t) WHERE t % 17 <> 0"
 
 
 @_query("SRC11_paged_klines", _EXCHANGE.format(5, 2300))
