@@ -50,7 +50,7 @@ EVALUATION = [
     _op("FIL27_name_matching", ("SELECT coalesce(c.name, d.asset) AS name, CASE WHEN d.asset IS NULL THEN 'config only' WHEN c.name IS NULL THEN 'data only' WHEN c.raw = d.asset THEN 'exact' ELSE 'normalised' END AS state FROM (SELECT raw, regexp_replace(upper(raw), 'USDT$', '') AS name FROM (SELECT '7usdt' AS raw UNION ALL SELECT '11' UNION ALL SELECT 'none') r) c FULL OUTER JOIN (SELECT DISTINCT asset FROM $in) d ON c.name = d.asset",), "name", "state"),
     _op("RES04_all_members_range", ({"b": "CAST(floor(t / 4e0) AS BIGINT) * 4"}, "SELECT asset, b AS t, count(*) AS members, max(high) AS hi, min(low) AS lo, max_by(close, t) AS close FROM $in GROUP BY asset, b HAVING count(*) = 4", {"range_pct": "100 * (hi - lo) / close"}), "asset", "t", "~range_pct", mapping="A2"),
     _op("RES11_calendar_parts", ({"h": "t % 24", "dow": "(CAST(floor(t / 24e0) AS BIGINT) + 3) % 7"}, {"hs": "sin(2 * pi() * h / 24)", "hc": "cos(2 * pi() * h / 24)", "ds": "sin(2 * pi() * dow / 7)", "dc": "cos(2 * pi() * dow / 7)"}), "asset", "t", "h", "dow", "~hs", "~hc", "~ds", "~dc", mapping="A2"),
-    _op("REC13_library_indicators", ({"typ": "(high + low + close) / 3", "pc": lag("close")}, {"flow": f"typ * volume * sign(typ - {lag('typ')})", "signed": "CASE WHEN pc IS NULL THEN volume ELSE sign(close - pc) * volume END", "mfv": "coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume"}, {"obv": f"sum(signed) {EVER}", "ad": f"sum(mfv) {EVER}", "gain": full("sum", "greatest(flow, 0)", 14), "drop_": full("sum", "greatest(-flow, 0)", 14), "cmf": f"{full('sum', 'mfv', 20)} / nullif({full('sum', 'volume', 20)}, 0)"}, {"mfi": "100 * gain / nullif(gain + drop_, 0)", "bop": "(close - open) / nullif(high - low, 0)", "wcp": "(high + low + 2 * close) / 4"}), "asset", "t", "~typ", "~obv", "~ad", "~mfi", "~cmf", "~bop", "~wcp", mapping="B2"),
+    _op("REC13_library_indicators", ({"typ": "(high + low + close) / 3", "pc": lag("close")}, {"flow": f"typ * volume * sign(typ - {lag('typ')})", "signed": "CASE WHEN pc IS NULL THEN volume ELSE sign(close - pc) * volume END", "mfv": "coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume"}, {"obv": f"sum(signed) {EVER}", "ad": f"sum(mfv) {EVER}", "gain": full("sum", "CASE WHEN flow > 0 THEN flow WHEN flow <= 0 THEN 0e0 END", 14), "drop_": full("sum", "CASE WHEN flow < 0 THEN -flow WHEN flow >= 0 THEN 0e0 END", 14), "cmf": f"{full('sum', 'mfv', 20)} / nullif({full('sum', 'volume', 20)}, 0)"}, {"mfi": "100 * gain / nullif(gain + drop_, 0)", "bop": "(close - open) / nullif(high - low, 0)", "wcp": "(high + low + 2 * close) / 4"}), "asset", "t", "~typ", "~obv", "~ad", "~mfi", "~cmf", "~bop", "~wcp", mapping="B2"),
     _op("JOIN09_left_one_to_one", ("SELECT a.asset, a.t, a.close, b.extra FROM $in a LEFT JOIN (SELECT asset, t, max(volume) AS extra FROM $in WHERE trades > 1 GROUP BY asset, t) b ON a.asset = b.asset AND a.t = b.t", {"copies": "count(*) OVER (PARTITION BY asset, t)"}), "asset", "t", "~extra", "copies"),
     _op("JOIN16_universe_join", ("SELECT a.* FROM $in a WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT asset || CASE WHEN t % 2 = 0 THEN 'USDT' ELSE 'usdt' END AS s FROM $in WHERE volume > 300) u WHERE regexp_replace(upper(u.s), 'USDT$', '') = upper(a.asset))",), "asset", "t", "~close"),
     _op("AGG06_sum_min_count", ("SELECT asset, sum(CASE WHEN trades > 2 THEN volume END) AS busy FROM $in GROUP BY asset",), "asset", "~busy"),

@@ -89,7 +89,7 @@ def wilder(x: str, name: str, n: int) -> dict[str, tuple[str, str]]:
 _CHANGE = {"rsi": "100 * u / nullif(u + d, 0)"}, {"dp": f"lc - {lag('lc', 5)}", "dr": f"rsi - {lag('rsi', 5)}"}
 _DIVERGENCE = {"div": "coalesce(" + " - ".join(f"({x} - {full('avg', x, 20)}) / nullif({full('stddev_samp', x, 20)}, 0)" for x in ("dp", "dr")) + ", 0)"}
 _CLOSE = ({"c": "close"},)
-_MOVE = ({"d": f"close - {lag('close')}"}, {"up": "greatest(d, 0)", "dn": "greatest(-d, 0)"})
+_MOVE = ({"d": f"close - {lag('close')}"}, {"up": "CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0e0 END", "dn": "CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0e0 END"})
 _BAR = ({"pc": lag("close"), "ph": lag("high"), "pl": lag("low")}, {"tr": "CASE WHEN pc IS NULL THEN NULL ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END", "um": "high - ph", "dm": "pl - low"}, {"pdm": "CASE WHEN um IS NULL THEN NULL WHEN um > dm AND um > 0 THEN um ELSE 0 END", "mdm": "CASE WHEN dm IS NULL THEN NULL WHEN dm > um AND dm > 0 THEN dm ELSE 0 END"})
 _FAST, _SLOW = ema("r.c", "fast", 12), ema("r.c", "slow", 26)
 _LINE = f"(({_FAST}) - ({_SLOW}))"

@@ -41,7 +41,7 @@ def _robust(h: int) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     known = f"count(r{h}) {last(12)} = 12"
     return (
         {f"g{h}": f"CASE WHEN {known} THEN {size} END", f"d{h}": f"CASE WHEN {known} THEN stddev_pop(r{h}) {last(12)} END"},
-        {f"z{h}": f"greatest(least(r{h} / CASE WHEN g{h} >= 1e-8 THEN g{h} ELSE greatest(d{h}, 1e-8) END, 5), -5)"},
+        {f"z{h}": f"CASE WHEN g{h} IS NOT NULL THEN greatest(least(r{h} / CASE WHEN g{h} >= 1e-8 THEN g{h} ELSE greatest(d{h}, 1e-8) END, 5), -5) END"},
         {f"q{h}": f"z{h} / CASE WHEN stddev_pop(z{h}) OVER ({_XS}) > 1e-8 THEN stddev_pop(z{h}) OVER ({_XS}) END"},
     )
 
@@ -102,7 +102,7 @@ SAMPLES = [
         "REC14_oscillator_sweep",
         (
             {"d": f"close - {lag('close')}", "tp": "(high + low + close) / 3", "pc": lag("close")},
-            {f"up{n}": full("avg", "greatest(d, 0)", n) for n in (7, 14)} | {f"dn{n}": full("avg", "greatest(-d, 0)", n) for n in (7, 14)} | {f"m{n}": full("avg", "tp", n) for n in (10, 20)} | {f"l{n}": f"LISTOF(tp) {last(n)}" for n in (10, 20)}
+            {f"up{n}": full("avg", "CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0e0 END", n) for n in (7, 14)} | {f"dn{n}": full("avg", "CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0e0 END", n) for n in (7, 14)} | {f"m{n}": full("avg", "tp", n) for n in (10, 20)} | {f"l{n}": f"LISTOF(tp) {last(n)}" for n in (10, 20)}
             | {f"bm{n}": full("avg", "close", n) for n in (10, 20)} | {f"sd{n}": full("stddev_pop", "close", n) for n in (10, 20)},
             {f"rsi_{n}": f"100 * up{n} / nullif(up{n} + dn{n}, 0)" for n in (7, 14)} | {f"cci_{n}": f"(tp - m{n}) / nullif(0.015 * TOTAL(l{n}; abs(x - m{n})) / {n}, 0)" for n in (10, 20)} | {f"bbm_{n}": f"(close - bm{n}) / nullif(2 * sd{n}, 0)" for n in (10, 20)},
             " UNION ALL ".join(f"SELECT asset, t, '{c}_{n}' AS name, {c}_{n} AS x FROM $in" for c, ns in (("rsi", (7, 14)), ("cci", (10, 20)), ("bbm", (10, 20))) for n in ns), "SELECT * FROM $in WHERE x IS NOT NULL",

@@ -68,7 +68,7 @@ STUDIES = [
     _op("MET41_monthly_refit", (*_RANGE, {"ratio": "y / x"}, "SELECT a.t, a.n, f.q, a.covered FROM (SELECT s.t, count(*) AS n, avg(CASE WHEN s.ratio <= f.q THEN 1e0 ELSE 0e0 END) AS covered FROM $in s JOIN (SELECT m, PCTL(ratio, 0.8) AS q FROM (SELECT s.t + k.k AS m, s.ratio FROM $in s CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) k) e GROUP BY m) f ON s.t = f.m GROUP BY s.t) a JOIN (SELECT m, PCTL(ratio, 0.8) AS q FROM (SELECT s.t + k.k AS m, s.ratio FROM $in s CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) k) e GROUP BY m) f ON a.t = f.m"), "t", "n", "~q", "~covered", mapping="B3"),
     _op("MET42_forward_chain", (*_RANGE, {"yr": "CAST(floor(t / 12e0) AS BIGINT) + 1970"}, "SELECT yr, count(*) AS n, sum(lx) AS sx, sum(ly) AS sy, sum(lx * lx) AS sxx, sum(lx * ly) AS sxy FROM $in GROUP BY yr", {c: f"sum({a}) OVER (ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c, a in {"pn": "n", "px": "sx", "py": "sy", "pxx": "sxx", "pxy": "sxy"}.items()}, "SELECT * FROM $in WHERE pn >= 10", {"slope": "(pn * pxy - px * py) / (pn * pxx - px * px)"}, {"bias": "(sy - slope * sx) / n - (py - slope * px) / pn"}), "yr", "n", "~slope", "~bias", mapping="B3"),
     # simulation
-    _op("SIM07_extra_families", ({"top20": full("max", "high", 20, prior(20)), "top55": full("max", "high", 55, prior(55)), "mid": full("avg", "close", 20), "sd": full("stddev_samp", "close", 20), "atr": full("avg", "high - low", 20), "slow": full("avg", "close", 50), "mv": full("avg", "volume", 20, prior(20)), "d": f"close - {lag('close')}"}, {"up2": full("sum", "greatest(d, 0)", 2), "dn2": full("sum", "greatest(-d, 0)", 2)}, {"rsi2": "100 * up2 / nullif(up2 + dn2, 0)", "tight": "CASE WHEN 2 * sd < 1.5 * atr THEN 1 ELSE 0 END"}, {"donchian20": "CASE WHEN close > top20 THEN 1 ELSE 0 END", "donchian55": "CASE WHEN close > top55 THEN 1 ELSE 0 END", "rsi2_pullback": "CASE WHEN rsi2 < 10 AND close > slow THEN 1 ELSE 0 END", "keltner_squeeze": f"CASE WHEN tight = 0 AND {lag('tight')} = 1 AND close > mid THEN 1 ELSE 0 END", "volume_donchian": "CASE WHEN close > top20 AND volume > 1.5 * mv THEN 1 ELSE 0 END"}), "asset", "t", "donchian20", "donchian55", "rsi2_pullback", "keltner_squeeze", "volume_donchian", mapping="B2"),
+    _op("SIM07_extra_families", ({"top20": full("max", "high", 20, prior(20)), "top55": full("max", "high", 55, prior(55)), "mid": full("avg", "close", 20), "sd": full("stddev_samp", "close", 20), "atr": full("avg", "high - low", 20), "slow": full("avg", "close", 50), "mv": full("avg", "volume", 20, prior(20)), "d": f"close - {lag('close')}"}, {"up2": full("sum", "CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0e0 END", 2), "dn2": full("sum", "CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0e0 END", 2)}, {"rsi2": "100 * up2 / nullif(up2 + dn2, 0)", "tight": "CASE WHEN 2 * sd < 1.5 * atr THEN 1 ELSE 0 END"}, {"donchian20": "CASE WHEN close > top20 THEN 1 ELSE 0 END", "donchian55": "CASE WHEN close > top55 THEN 1 ELSE 0 END", "rsi2_pullback": "CASE WHEN rsi2 < 10 AND close > slow THEN 1 ELSE 0 END", "keltner_squeeze": f"CASE WHEN tight = 0 AND {lag('tight')} = 1 AND close > mid THEN 1 ELSE 0 END", "volume_donchian": "CASE WHEN close > top20 AND volume > 1.5 * mv THEN 1 ELSE 0 END"}), "asset", "t", "donchian20", "donchian55", "rsi2_pullback", "keltner_squeeze", "volume_donchian", mapping="B2"),
     _op("SIM09_hedged_legs", (*_LEGS, "SELECT t, avg(CASE WHEN rn = n THEN fwd END) AS lead_, avg(fwd) AS hedge, count(*) AS n FROM $in GROUP BY t HAVING count(*) >= 5", {"net": "greatest(lead_, -0.5) - hedge - 0.0028", "cum": "sum(greatest(lead_, -0.5) - hedge - 0.0028) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}), "t", "n", "~net", "~cum", mapping="B3"),
     _op("SIM10_range_fade", ({"bid": full("min", "low", 12, prior(12)), "top": full("max", "high", 12, prior(12)), "nh": f"lead(high) {LAG}", "nc": f"lead(close) {LAG}"}, "SELECT * FROM $in WHERE bid IS NOT NULL AND nc IS NOT NULL AND low <= bid", {"entry": "least(open, bid)", "goal": "(bid + top) / 2"}, {"ret": "CASE WHEN nh >= goal THEN goal ELSE nc END / entry - 1"}), "asset", "t", "~entry", "~ret", mapping="B2"),
     _op("SIM11_first_touch", ({"d": "CAST(floor(t / 24e0) AS BIGINT)"}, "SELECT e.asset, e.d, e.c, min(CASE WHEN s.high >= e.c * 1.5e0 THEN s.t END) AS up_t, min(CASE WHEN s.low <= e.c * 0.5e0 THEN s.t END) AS dn_t FROM (SELECT asset, d, max_by(close, t) AS c FROM $in GROUP BY asset, d) e JOIN $in s ON s.asset = e.asset AND s.d = e.d + 1 GROUP BY e.asset, e.d, e.c", {"first": "CASE WHEN up_t IS NULL AND dn_t IS NULL THEN 'none' WHEN dn_t IS NULL OR up_t < dn_t THEN 'up' WHEN up_t IS NULL OR dn_t < up_t THEN 'down' ELSE 'same bar' END"}), "asset", "d", "first", mapping="A2"),
@@ -77,7 +77,7 @@ STUDIES = [
     _op("SIM22_up_share", (*_SIGNAL, {"rn": "row_number() OVER (PARTITION BY t ORDER BY score, asset)", "n": f"count(*) {ACROSS}"}, {"dec": "CAST(floor((rn - 1) * 10e0 / n) AS BIGINT)"}, "SELECT dec, count(*) AS n, count(CASE WHEN actual > 0.1 THEN 1 END) / nullif(CAST(count(CASE WHEN abs(actual) > 0.1 THEN 1 END) AS DOUBLE), 0) AS up_share FROM $in GROUP BY dec"), "dec", "n", "~up_share"),
     # discovery
     _op("ML01_candidates", (*_CAND, _MELTED, spearman("x", "fwd", "name")), "name", "n", "~ic"),
-    _op("ML02_predictors", ({"d": f"close - {lag('close')}", "r": f"close / {lag('close')} - 1", "mid": full("avg", "close", 21)}, {"up": full("sum", "greatest(d, 0)", 14), "dn": full("sum", "greatest(-d, 0)", 14), "sd": full("stddev_samp", "r", 14), "mom": full("sum", "r", 14)}, {"cmo": "100 * (up - dn) / nullif(up + dn, 0)", "dpo": f"{lag('close', 11)} - mid", "asym": "CASE WHEN mom > 0 THEN mom ELSE 1.5 * mom END", "adjusted": "mom / nullif(sd, 0)"}), "asset", "t", "~cmo", "~dpo", "~asym", "~adjusted", mapping="B2"),
+    _op("ML02_predictors", ({"d": f"close - {lag('close')}", "r": f"close / {lag('close')} - 1", "mid": full("avg", "close", 21)}, {"up": full("sum", "CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0e0 END", 14), "dn": full("sum", "CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0e0 END", 14), "sd": full("stddev_samp", "r", 14), "mom": full("sum", "r", 14)}, {"cmo": "100 * (up - dn) / nullif(up + dn, 0)", "dpo": f"{lag('close', 11)} - mid", "asym": "CASE WHEN mom > 0 THEN mom ELSE 1.5 * mom END", "adjusted": "mom / nullif(sd, 0)"}), "asset", "t", "~cmo", "~dpo", "~asym", "~adjusted", mapping="B2"),
     Scan("ML02_true_strength", ({"d": f"coalesce(close - {lag('close')}, 0)"},), ("d",), {"a": ("NULL", ema("r.d", "a", 25)), "b": ("NULL", ema("abs(r.d)", "b", 25)), "aa": ("NULL", ema(f"({ema('r.d', 'a', 25)})", "aa", 13)), "bb": ("NULL", ema(f"({ema('abs(r.d)', 'b', 25)})", "bb", 13))}, ("aa", "bb")),
     _op("ML03_target_reference", ({"up": f"lead(high) {LAG} / close - 1", "dn": f"lead(low) {LAG} / close - 1"}, "SELECT * FROM $in WHERE up IS NOT NULL"), "asset", "t", "~up", "~dn"),
     _op("ML04_batch_classify", (*_CAND, _MELTED, {"w": "CAST(floor(t / 4e0) AS BIGINT)"}, spearman("x", "fwd", "name, w", least=10), {"z": "ic * sqrt(n - 1e0)"}, "SELECT name, count(ic) AS n_ok, avg(ic) AS mean_ic, CASE WHEN min(sign(ic)) = max(sign(ic)) THEN 1 ELSE 0 END AS consistent, avg(CASE WHEN abs(z) > 1.96 THEN 1e0 ELSE 0e0 END) AS significant FROM $in GROUP BY name", {"verdict": "CASE WHEN n_ok < 5 THEN 'pending' WHEN consistent = 1 AND significant >= 0.34 THEN 'accepted' ELSE 'rejected' END"}), "name", "n_ok", "~mean_ic", "verdict", mapping="B3"),
