@@ -55,22 +55,25 @@ def _indexed() -> tuple[str, ...]:
     )
 
 
-def _ranked(order: str) -> tuple[str, ...]:
-    """``rn`` and ``n``: each row's place in the order (t first within ties) and the number of rows, without one task for all rows.
-
-    Rows of a step are ranked among themselves and against the counts of the value's range;
-    ranges are hundredths of the leading column, so a task holds a range.
-    """
-    lead_, *ties = [c.strip() for c in order.split(",")]
-    keys = ", ".join((lead_, "t", *ties))
+def _cells(x: str, name: str = "") -> tuple[str, ...]:
+    """The hundredth of the rows that a value falls in, about, how many rows lie in lower ones, and the number of rows ``n``."""
     return (
-        f"SELECT s.*, least(greatest(CAST(floor((s.{lead_} - g.lo) / nullif(g.hi - g.lo, 0) * 100) AS BIGINT), 0), 99) AS rg FROM $in s CROSS JOIN (SELECT min({lead_}) AS lo, PCTL({lead_}, 0.99) AS hi FROM $in) g",
-        "SELECT *, coalesce(rg, 0) AS cell FROM $in",
-        "SELECT s.*, c.below, c.n FROM $in s JOIN (SELECT cell, coalesce(sum(m) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(m) OVER () AS n FROM (SELECT cell, count(*) AS m FROM $in GROUP BY cell) q) c ON s.cell = c.cell",
-        f"SELECT *, below + row_number() OVER (PARTITION BY cell ORDER BY {keys}) AS rn FROM $in",
+        f"SELECT s.*, LEN(KEEP(g.edges; x < s.{x})) AS cell{name} FROM $in s CROSS JOIN (SELECT EDGES({x}) AS edges FROM $in) g",
+        f"SELECT s.*, c.below{name}, c.n{name} FROM $in s JOIN (SELECT cell{name}, coalesce(sum(m) OVER (ORDER BY cell{name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below{name}, sum(m) OVER () AS n{name} FROM (SELECT cell{name}, count(*) AS m FROM $in GROUP BY cell{name}) q) c ON s.cell{name} = c.cell{name}",
     )
 
 
+def _ranked(order: str) -> tuple[str, ...]:
+    """``rn`` and ``n``: each row's place in the order (t first within ties) and the number of rows, without one task for all rows."""
+    lead_, *ties = [c.strip() for c in order.split(",")]
+    return (*_cells(lead_), f"SELECT *, below + row_number() OVER (PARTITION BY cell ORDER BY {', '.join((lead_, 't', *ties))}) AS rn FROM $in")
+
+
+def _tied(x: str, name: str) -> tuple:
+    """``name``: the average rank of ties over all rows."""
+    return (*_cells(x, f"_{name}"), {name: f"below_{name} + rank() OVER (PARTITION BY cell_{name} ORDER BY {x}) + (count(*) OVER (PARTITION BY cell_{name}, {x}) - 1) / 2e0"})
+
+
 RELATIONAL = [
     # filters and predicates
     _op("FIL01_category_flatten", ("SELECT category, asset FROM (SELECT asset, CASE WHEN CAST(asset AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM $in) c GROUP BY category, asset",), "category", "asset"),
@@ -185,8 +188,8 @@ RELATIONAL = [
     _op("MET07_mae_rmse", (*_SIGNAL, "SELECT count(*) AS n, avg(abs(score - actual)) AS mae, sqrt(avg((score - actual) * (score - actual))) AS rmse, corr(score, actual) AS rho FROM $in"), "n", "~mae", "~rmse", "~rho"),
     _op("MET08_direction_bias", (*_SIGNAL, "SELECT asset, avg(score - actual) AS bias, avg(CASE WHEN sign(score) = sign(actual) THEN 1e0 ELSE 0e0 END) AS same FROM $in GROUP BY asset"), "asset", "~bias", "~same"),
     _op("MET11_flatten", (*_SIGNAL, "SELECT asset, t, 'score' AS target, score AS value FROM $in UNION ALL SELECT asset, t, 'actual' AS target, actual AS value FROM $in"), "asset", "t", "target", "~value"),
-    _op("MET12_auc", (*_PROB, {"one": "1"}, {"rk": tie_rank("p", "one")}, "SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1e0) / 2) / (sum(y) * CAST(sum(1 - y) AS DOUBLE)) AS auc FROM $in"), "n", "~auc"),
-    _op("MET13_ic", (*_SIGNAL, {"one": "1"}, {"a": tie_rank("score", "one"), "b": tie_rank("actual", "one")}, "SELECT count(*) AS n, corr(a, b) AS spearman, corr(score, actual) AS pearson FROM $in"), "n", "~spearman", "~pearson"),
+    _op("MET12_auc", (*_PROB, *_tied("p", "rk"), "SELECT count(*) AS n, (sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) - sum(y) * (sum(y) + 1e0) / 2) / (sum(y) * CAST(sum(1 - y) AS DOUBLE)) AS auc FROM $in"), "n", "~auc"),
+    _op("MET13_ic", (*_SIGNAL, *_tied("score", "a"), *_tied("actual", "b"), "SELECT count(*) AS n, corr(a, b) AS spearman, corr(score, actual) AS pearson FROM $in"), "n", "~spearman", "~pearson"),
     _op(
         "MET14_decile_spread",
         (

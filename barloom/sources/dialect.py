@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+#: Where values are cut into ranges; results do not depend on the exact edges.
+_CENTILES = ", ".join(str(k / 100) for k in range(1, 100))
 _SPARK = {
     "DAYS": "CAST(datediff(CAST({0} AS DATE), DATE '1970-01-01') AS BIGINT)",
     "HOURS": "(CAST(datediff(CAST({0} AS DATE), DATE '1970-01-01') AS BIGINT) * 24 + hour({0}))",
@@ -21,6 +23,7 @@ _SPARK = {
     "HIGHEST": "array_max({0})",
     "ORDERED": "sort_array({0})",
     "AT": "get({0}, {1} - 1)",
+    "EDGES": f"approx_percentile({{0}}, array({_CENTILES}), 1000)",
     "SERIES": "explode(sequence({0}))",
     "SETTEXT": "array_join(sort_array(collect_set({0})), ',')",
     "TODATE": "date_add(DATE '1970-01-01', CAST({0} AS INT))",
@@ -42,6 +45,7 @@ _DUCK = {
     "HIGHEST": "list_max({0})",
     "ORDERED": "list_sort({0})",
     "AT": "list_extract({0}, {1})",
+    "EDGES": f"quantile_cont({{0}}, [{_CENTILES}])",
     "SERIES": "unnest(generate_series({0}))",
     "SETTEXT": "string_agg(DISTINCT {0}, ',' ORDER BY {0})",
     "TODATE": "(DATE '1970-01-01' + CAST({0} AS INTEGER))",
