@@ -249,22 +249,31 @@ def _cut_words(text: Column, places: Column) -> Column:
     return udf(text, places)
 
 
-def taken_text(mixed: Mix, *columns: str, text: str = "text", unused_too: bool = False) -> DataFrame:
-    """The documents that the mix takes words of, with ``taken`` and ``pieces``: all their text in it.
-
-    A piece is a run of words with the shard, the position in it and the word of that block
-    where it begins; the pieces of all documents in this order are the blocks. Places are
-    found without texts; each text is cut where its document is. ``taken`` counts the words
-    of the pieces, repeats included; with ``unused_too`` documents without any stay, too.
-    """
+def _placed(mixed: Mix, how: str) -> DataFrame:
+    """The documents with ``places``: shard, position, begin in the block, first word and words of each piece. No text moves for them."""
     part = _pieces(mixed.documents.select("source_index", "start", "size"), mixed.block)
     used = part.join(mixed.slots.select("source_index", "block", "shard", "position", "words").hint("shuffle_merge"), ["source_index", "block"])
     used = used.withColumn("n", F.when(F.col("words") < 0, F.col("n")).otherwise(F.least("n", F.col("words") - F.col("begin")))).where("n > 0")
     place = F.struct(*(F.col(c).cast("long").alias(c) for c in ("shard", "position", "begin", "first", "n")))
     held = used.groupBy(F.col("source_index").alias("i"), F.col("start").alias("at")).agg(F.array_sort(F.collect_list(place)).alias("places"))
     met = (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
-    whole = mixed.documents.join(held.hint("shuffle_merge"), met, "left" if unused_too else "inner")
-    out = whole.select(*columns, "size", "source_size", "target", _cut_words(F.coalesce(F.col(text), F.lit("")), F.col("places")).alias("pieces"))
+    return mixed.documents.join(held.hint("shuffle_merge"), met, how)
+
+
+def taken(mixed: Mix, *columns: str) -> DataFrame:
+    """All documents with ``taken``: the words of each that the mix holds, repeats counted, from the places of its pieces."""
+    words = F.aggregate(F.coalesce("places", F.expr("cast(array() as array<struct<shard:long,position:long,begin:long,first:long,n:long>>)")), F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    return _placed(mixed, "left").select(*columns, "size", "source_size", "target", words.alias("taken"))
+
+
+def taken_text(mixed: Mix, *columns: str, text: str = "text") -> DataFrame:
+    """The documents that the mix takes words of, with ``taken`` and ``pieces``: all their text in it.
+
+    A piece is a run of words with the shard, the position in it and the word of that block
+    where it begins; the pieces of all documents in this order are the blocks. Each text is
+    cut where its document is. ``taken`` counts the words of the pieces, repeats included.
+    """
+    out = _placed(mixed, "inner").select(*columns, "size", "source_size", "target", _cut_words(F.coalesce(F.col(text), F.lit("")), F.col("places")).alias("pieces"))
     return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
 
 

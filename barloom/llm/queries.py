@@ -31,7 +31,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixing.taken_text(mixed, "doc_id", unused_too=True).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(mixed, "doc_id")
 
 
 @query
