@@ -198,28 +198,29 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     result column is renamed with underscores before it; an empty table gives an empty mix.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long") if size is None else F.coalesce(size, F.lit(0)).cast("long")
-    made = ("size", "source_index", "start", "source_size", "target", "taken", "pieces")
+    made = ("size", "source_index", "start", "source_size", "target", "taken", "pieces", "places")
     docs = docs.withColumnsRenamed({c: unused(c, docs) for c in docs.columns if c.lower() in made})
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    n, name, k1, k2, bucket, begin = (unused(f"__{c}", docs) for c in ("n", "name", "k1", "k2", "bucket", "begin"))
+    n, name, k1, k2, bucket, begin, s2, at, b2, offset = (unused(f"__{c}", docs) for c in ("n", "name", "k1", "k2", "bucket", "begin", "s2", "at", "b2", "offset"))
     h1, h2 = hashes(doc_id, text)
     parts = pieces(docs.count(), 256, 1 << 16, 1 << 16, 64)
     own = docs.select("*", words.alias(n), F.col(source).cast("string").alias(name), h1.alias(k1), h2.alias(k2), F.pmod(h1, F.lit(parts)).alias(bucket))
-    sums = own.groupBy(name, bucket).agg(F.sum(n).alias("n"))
-    stats = sums.groupBy(name).agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    stats = own.groupBy(name, bucket).agg(F.sum(n).alias("n")).groupBy(name).agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     stats = sorted(((r[name], r["n"]) for r in stats), key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([n for _, n in stats], [weights[i % len(weights)] for i in range(len(stats))])
     shares = [Share(s, n, t, *(divmod(min(round(t), MOST_EPOCHS * n), n) if n else (0, 0))) for (s, n), t in zip(stats, wanted, strict=True)]
     spark = docs.sparkSession
-    index = spark.createDataFrame([(i, s.source, s.words, s.target) for i, s in enumerate(shares)], "source_index long, source string, source_size long, target double")
-    # where a document starts: sums of the buckets before its own, then inside the bucket; no source sits in one task
-    offsets = sums.select(F.col(name).alias("s"), F.col(bucket).alias("b"), (F.sum("n").over(Window.partitionBy(name).orderBy(bucket)) - F.col("n")).alias("offset"))
-    within = Window.partitionBy(name, bucket).orderBy(k1, k2)
-    placed = own.join(offsets.hint("shuffle_merge"), F.col(name).eqNullSafe(F.col("s")) & (F.col(bucket) == F.col("b")))
-    placed = placed.withColumn(begin, F.col("offset") + F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
-    placed = placed.join(F.broadcast(index.withColumnRenamed("source", "s2")), F.col(name).eqNullSafe(F.col("s2")))  # MOST_SOURCES rows at most
+    index = spark.createDataFrame([(i, s.source, s.words, s.target) for i, s in enumerate(shares)], f"source_index long, {s2} string, source_size long, target double")
+    own = own.join(F.broadcast(index), F.col(name).eqNullSafe(F.col(s2)))  # MOST_SOURCES rows at most
+    # where a document starts: sums of the buckets before its own, then inside the bucket; no source sits in one task.
+    # the join and the window share one exchange: both deal by the source's number, which is never null, and the bucket
+    sums = own.groupBy(F.col("source_index").alias(at), F.col(bucket).alias(b2)).agg(F.sum(n).alias(n))
+    offsets = sums.select(at, b2, (F.sum(n).over(Window.partitionBy(at).orderBy(b2)) - F.col(n)).alias(offset))
+    within = Window.partitionBy("source_index", bucket).orderBy(k1, k2)
+    placed = own.join(offsets.hint("shuffle_merge"), (F.col("source_index") == F.col(at)) & (F.col(bucket) == F.col(b2)))
+    placed = placed.withColumn(begin, F.col(offset) + F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
     documents = placed.select(*kept, F.col(n).alias("size"), "source_index", "source_size", "target", F.col(begin).alias("start"))
     return Mix(shares, documents, _slots(spark, shares, block, shard_slots, seed), block)
 
@@ -250,30 +251,26 @@ def _cut_words(text: Column, places: Column) -> Column:
 
 
 def _placed(mixed: Mix, how: str) -> DataFrame:
-    """The documents with ``places``: shard, position, begin in the block, first word and words of each piece. No text moves for them."""
+    """The documents with ``places``: shard, position, begin in the block, first word and words of each piece."""
     part = _pieces(mixed.documents.select("source_index", "start", "size"), mixed.block)
     used = part.join(mixed.slots.select("source_index", "block", "shard", "position", "words").hint("shuffle_merge"), ["source_index", "block"])
     used = used.withColumn("n", F.when(F.col("words") < 0, F.col("n")).otherwise(F.least("n", F.col("words") - F.col("begin")))).where("n > 0")
     place = F.struct(*(F.col(c).cast("long").alias(c) for c in ("shard", "position", "begin", "first", "n")))
-    held = used.groupBy(F.col("source_index").alias("i"), F.col("start").alias("at")).agg(F.array_sort(F.collect_list(place)).alias("places"))
-    met = (F.col("source_index") == F.col("i")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
+    i, at = (unused(f"__{c}", mixed.documents) for c in ("i", "at"))
+    held = used.groupBy(F.col("source_index").alias(i), F.col("start").alias(at)).agg(F.array_sort(F.collect_list(place)).alias("places"))
+    met = (F.col("source_index") == F.col(i)) & (F.col("start") == F.col(at)) & (F.col("size") > 0)
     return mixed.documents.join(held.hint("shuffle_merge"), met, how)
 
 
-def taken(mixed: Mix, *columns: str) -> DataFrame:
-    """All documents with ``taken``: the words of each that the mix holds, repeats counted, from the places of its pieces."""
-    words = F.aggregate(F.coalesce("places", F.expr("cast(array() as array<struct<shard:long,position:long,begin:long,first:long,n:long>>)")), F.lit(0).cast("long"), lambda n, p: n + p["n"])
-    return _placed(mixed, "left").select(*columns, "size", "source_size", "target", words.alias("taken"))
-
-
-def taken_text(mixed: Mix, *columns: str, text: str = "text") -> DataFrame:
+def taken_text(mixed: Mix, *columns: str, text: str = "text", unused_too: bool = False) -> DataFrame:
     """The documents that the mix takes words of, with ``taken`` and ``pieces``: all their text in it.
 
     A piece is a run of words with the shard, the position in it and the word of that block
     where it begins; the pieces of all documents in this order are the blocks. Each text is
     cut where its document is. ``taken`` counts the words of the pieces, repeats included.
+    With ``unused_too`` the other documents are rows, too: none taken, no pieces.
     """
-    out = _placed(mixed, "inner").select(*columns, "size", "source_size", "target", _cut_words(F.coalesce(F.col(text), F.lit("")), F.col("places")).alias("pieces"))
+    out = _placed(mixed, "left" if unused_too else "inner").select(*columns, "size", "source_size", "target", _cut_words(F.coalesce(F.col(text), F.lit("")), F.col("places")).alias("pieces"))
     return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
 
 

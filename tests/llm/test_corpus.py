@@ -217,19 +217,19 @@ def test_mixing(spark, edge, empty):
     for n in (1, 2, 7, 1000):
         there = mixing.permute(np.arange(n), n, 5)
         assert sorted(there) == list(range(n)) and list(mixing.permute(there, n, 5, inverse=True)) == list(range(n))
-    docs = edge.withColumns({"target": edge.size, "start": edge.size, "__n": edge.size})  # clashes with result columns
+    docs = edge.withColumns({"target": edge.size, "start": edge.size, "__n": edge.size, "s": edge.size, "b": edge.size, "s2": edge.size, "i": edge.size, "at": edge.size, "offset": edge.size, "places": edge.size})  # clashes with result columns
     for block in (512, 7):
         mixed = mixing.mix(docs, block=block, shard_slots=16)
-        found = mixing.taken(mixed, "doc_id", "source").collect()
+        found = mixing.taken_text(mixed, "doc_id", "source", unused_too=True).collect()
         assert len(found) == len(EDGE) and all(r.taken <= 3 * r["size"] for r in found)
         for share in mixed.shares:
             assert abs(sum(r.taken for r in found if r.source == share.source) - share.target) <= 0.5
-        assert sorted(map(repr, found)) == sorted(map(repr, mixing.taken(mixing.mix(docs, block=block, shard_slots=16), "doc_id", "source").collect()))
+        assert sorted(map(repr, found)) == sorted(map(repr, mixing.taken_text(mixing.mix(docs, block=block, shard_slots=16), "doc_id", "source", unused_too=True).collect()))
         cut = mixing.taken_text(mixed, "doc_id", "source").collect()
         assert sorted((repr(r.doc_id), r.taken) for r in cut) == sorted((repr(r.doc_id), r.taken) for r in found if r.taken)
         texts = mixing.mixed_blocks(mixed).collect()
         assert sum(len(r.text.split()) for r in texts) == sum(r.taken for r in found) and len({(r.shard, r.position) for r in texts}) == len(texts)
-    assert mixing.taken(mixing.mix(empty), "doc_id").count() == 0
+    assert mixing.taken_text(mixing.mix(empty), "doc_id", unused_too=True).count() == 0
 
 
 def test_url_rules_and_mining(spark):
