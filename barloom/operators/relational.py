@@ -69,6 +69,14 @@ def _ranked(order: str) -> tuple[str, ...]:
     return (*_cells(lead_), f"SELECT *, below + row_number() OVER (PARTITION BY cell ORDER BY {', '.join((lead_, 't', *ties))}) AS rn FROM $in")
 
 
+def _running(x: str) -> tuple:
+    """``x_so_far``: the sum of ``x`` up to each row in the order of :func:`_ranked`, from sums a cell and sums within it."""
+    return (
+        f"SELECT s.*, c.{x}_below FROM $in s JOIN (SELECT cell, coalesce(sum(m) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {x}_below FROM (SELECT cell, sum({x}) AS m FROM $in GROUP BY cell) q) c ON s.cell = c.cell",
+        {f"{x}_so_far": f"{x}_below + sum({x}) OVER (PARTITION BY cell ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"},
+    )
+
+
 def _tied(x: str, name: str) -> tuple:
     """``name``: the average rank of ties over all rows."""
     return (*_cells(x, f"_{name}"), {name: f"below_{name} + rank() OVER (PARTITION BY cell_{name} ORDER BY {x}) + (count(*) OVER (PARTITION BY cell_{name}, {x}) - 1) / 2e0"})
@@ -214,7 +222,7 @@ RELATIONAL = [
         "b", "n", "~conf", "~acc", "~ece", "~mce", "~brier",
     ),
     _op("MET20_trust_score", (*_PROB, "SELECT 100 * (1 - abs(avg(p) - avg(CAST(y AS DOUBLE)))) * (0.5 + 0.5 * (corr(p, CAST(y AS DOUBLE)) + 1) / 2) AS trust FROM $in"), "~trust"),
-    _op("MET22_threshold_pick", (*_SIGNAL, {"hit": "CASE WHEN score * actual < 0 THEN 1e0 ELSE 0e0 END", "k": "row_number() OVER (ORDER BY abs(score) DESC, t, asset)", "n": "count(*) OVER ()"}, {"acc": "avg(hit) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, "SELECT max(k) AS k, max(n) AS n, max(k) / CAST(max(n) AS DOUBLE) AS coverage FROM $in WHERE acc >= 0.6 AND k >= 30"), "k", "n", "~coverage"),
+    _op("MET22_threshold_pick", (*_SIGNAL, {"hit": "CASE WHEN score * actual < 0 THEN 1e0 ELSE 0e0 END", "weakness": "-abs(score)"}, *_ranked("weakness, asset"), *_running("hit"), {"k": "rn", "acc": "hit_so_far / rn"}, "SELECT max(k) AS k, max(n) AS n, max(k) / CAST(max(n) AS DOUBLE) AS coverage FROM $in WHERE acc >= 0.6 AND k >= 30"), "k", "n", "~coverage"),
     _op("MET28_generalisation_gap", (*_PROB, *_SPLITS, "SELECT part, count(*) AS n, avg(CASE WHEN (score > 0 AND y = 1) OR (score <= 0 AND y = 0) THEN 1e0 ELSE 0e0 END) AS acc FROM $in GROUP BY part"), "part", "n", "~acc"),
     _op("MET35_pinball", (*_SIGNAL, {"d": "actual - score"}, "SELECT avg(greatest(0.1 * d, -0.9 * d)) AS p10, avg(greatest(0.5 * d, -0.5 * d)) AS p50, avg(greatest(0.9 * d, -0.1 * d)) AS p90 FROM $in"), "~p10", "~p50", "~p90"),
     _op("MET44_qlike", ({"v": "high / low", "f": f"avg(high / low) {last(5)}"}, "SELECT asset, avg(v / f - ln(v / f) - 1) AS qlike FROM $in GROUP BY asset"), "asset", "~qlike"),

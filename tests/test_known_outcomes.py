@@ -8,6 +8,7 @@ import pytest
 
 from barloom.functions import normalize
 from barloom.operators.recursions import RECURSIONS
+from barloom.operators.relational import RELATIONAL
 from barloom.operators.windows import WINDOWS
 from barloom.plans.catalog import QUERIES
 from barloom.sources.bars import bars
@@ -215,3 +216,25 @@ def test_orthogonal_momentum_matches_pandas(spark):
     found = QUERIES["XS03_orthogonal_momentum"](spark, SF).toPandas().sort_values(["asset", "t"]).reset_index(drop=True)
     assert np.allclose(found.res.astype(float), expected, atol=2e-5)
     assert np.allclose(found.mom.astype(float), mom, atol=2e-5, equal_nan=True) and mom.notna().sum() > 20
+
+
+def test_threshold_pick_matches_pandas(spark):
+    """Large moves reverse, small ones go on, so the pick ends inside the rows; equal moves tie."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for asset in "abcdef":
+        price = 100.0
+        for t in range(200):
+            rows.append((asset, t, price))
+            price = 100.0 if price != 100.0 and t % 3 else price * (1 + rng.choice([-0.08, -0.04, 0.02, 0.01, 0.005]))
+    frame = pd.DataFrame(rows, columns=["asset", "t", "close"])
+    close = frame.groupby("asset").close
+    signal = frame.assign(score=frame.close / close.shift() - 1, actual=close.shift(-1) / frame.close - 1).dropna()
+    signal = signal.assign(size=signal.score.abs()).sort_values(["size", "t", "asset"], ascending=[False, True, True])
+    hits = (signal.score * signal.actual < 0).to_numpy().astype(float)
+    places = np.arange(1, len(hits) + 1)
+    picked = places[(np.cumsum(hits) / places >= 0.6) & (places >= 30)].max()
+    assert 30 < picked < len(hits)
+    op = next(o for o in RELATIONAL if o.name == "MET22_threshold_pick")
+    found = op(spark.createDataFrame(frame)).collect()
+    assert [(r["k"], r["n"]) for r in found] == [(picked, len(hits))]
