@@ -110,9 +110,9 @@ def export_unsealed(frame: DataFrame, sealed: DataFrame, before: int, path: str)
 
 
 def append_ledger(old: DataFrame, new: DataFrame, key: str = "t", value: str = "pnl", tolerance: float = 1e-9) -> DataFrame:
-    """Old rows must be unchanged, null values may be filled, new keys are added; a changed value raises."""
+    """Old rows must be unchanged, null values may be filled, new keys are added; a changed value raises. A null key is a key like others."""
     o, n = F.col(f"o.{value}"), F.col(f"n.{value}")
-    joined = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    joined = old.alias("o").join(new.alias("n"), F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
     changed = o.isNotNull() & n.isNotNull() & (F.abs(o - n) > tolerance)
     held = F.when(changed, F.raise_error(F.lit("a settled ledger row changed")).cast("double")).otherwise(F.coalesce(o, n))
     return joined.select(F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key), held.alias(value))
