@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import present
 from ..sources.sinks import append_ledger
 
 _EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -126,7 +127,14 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process all that is available into an in-memory table and return it: for tests and back-fills of bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Process all that is available and return it, from a folder beside the checkpoint: of any size, as no row passes through the driver.
+
+    Each batch writes a folder of its own, so one that is repeated after a failure replaces what it wrote.
+    """
+    out = f"{checkpoint}-out"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if not present(spark, {"": out})[""]:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

@@ -1,8 +1,10 @@
 """Queries on inputs that the small tables do not hold, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from barloom.plans.catalog import ORACLES, QUERIES
+from barloom.streaming.bars import event_stream, run_once, sessions
 
 
 def _events(folder, rows):
@@ -44,3 +46,15 @@ def _join_rows(plan):
     own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.getClass().getSimpleName() else []
     children = plan.children()
     return own + [n for i in range(children.size()) for n in _join_rows(children.apply(i))]
+
+
+def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
+    """The sessions are files that executors read, not a table in the driver's memory, and a stream that runs again gives them all."""
+    con = _events(tmp_path, "SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(40 * (i % 9) AS INT)), i // 9, 1 FROM range(900) g(i)")
+    found = QUERIES["STR09_sessions"](spark, str(tmp_path))
+    assert found.inputFiles() and "LocalTableScan" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert _sorted(found.collect()) == _sorted(con.execute(ORACLES["STR09_sessions"]).fetchall())
+    spark.read.parquet(f"{tmp_path}/events.parquet").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        found = run_once(sessions(event_stream(spark, f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))), "again", f"{tmp_path}/state")
+    assert found.count() == con.execute(f"SELECT count(*) FROM ({ORACLES['STR09_sessions']}) s").fetchone()[0]
