@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import pairs
 from barloom.operators.permutations import draws, order
 from barloom.plans.catalog import ORACLES, QUERIES
+from barloom.sources.bars import bars
 from barloom.streaming.bars import event_stream, run_once, sessions
 
 
@@ -83,3 +85,14 @@ def test_draws_are_those_of_the_sql():
     for draw in (found, close):  # also where draws agree but in their last bits, or in all
         assert (order(draw) == np.argsort(draw, kind="stable")).all()
     assert list(order(found[:1])) == [0]
+
+
+def test_pairs_shuffle_the_panel_once(spark, tmp_path):
+    """40 assets in 10 blocks, one without a name: every pair, and no exchange writes an asset once for each block."""
+    con = _events(tmp_path, "SELECT TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(i % 20 AS INT)), nullif(i // 20, 40), 1 + (i * 7919 % 1013) / 7 FROM range(820) g(i)")
+    found = pairs.all_correlations(bars(spark, str(tmp_path), "A"), assets=4)
+    rows, expected = found.collect(), con.execute(ORACLES["AGG11_pair_correlation"]).fetchall()
+    assert len(rows) == len(expected) == 780
+    assert {(r.a, r.b): (r.n, r.rho) for r in rows} == {(a, b): (n, pytest.approx(rho, abs=2e-6)) for a, b, n, rho in expected}
+    assert _metrics(found._jdf.queryExecution().executedPlan(), "CartesianProduct", "numOutputRows")
+    assert max(_metrics(found._jdf.queryExecution().executedPlan(), "Exchange", "shuffleBytesWritten")) <= 30_000
