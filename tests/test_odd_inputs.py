@@ -96,3 +96,14 @@ def test_pairs_shuffle_the_panel_once(spark, tmp_path):
     assert {(r.a, r.b): (r.n, r.rho) for r in rows} == {(a, b): (n, pytest.approx(rho, abs=2e-6)) for a, b, n, rho in expected}
     assert _metrics(found._jdf.queryExecution().executedPlan(), "CartesianProduct", "numOutputRows")
     assert max(_metrics(found._jdf.queryExecution().executedPlan(), "Exchange", "shuffleBytesWritten")) <= 30_000
+
+
+def test_pairs_of_equal_series_are_runs(spark, tmp_path):
+    """8 series of 12 assets each and one that does not move of 40, more than a block: every pair as in the SQL, and pairs of equal series one after another."""
+    con = _events(tmp_path, "SELECT TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(i % 20 AS INT)), i // 20, CASE WHEN i < 1920 THEN 1 + ((i // 20 % 8 * 20 + i % 20) * 7919 % 1013) / 7 ELSE 5 END FROM range(2720) g(i)")
+    found = pairs.all_correlations(bars(spark, str(tmp_path), "A"), assets=16, digits=6)
+    rows, expected = found.collect(), con.execute(ORACLES["AGG11_pair_correlation"]).fetchall()
+    assert len(rows) == len(expected) == 136 * 135 // 2 and any(np.isnan(rho) for *_, rho in expected)
+    assert {(r.a, r.b): (r.n, r.rho) for r in rows} == {(a, b): (n, pytest.approx(rho, abs=2e-6, nan_ok=True)) for a, b, n, rho in expected}
+    moving = [r.rho for r in rows if not np.isnan(r.rho)]
+    assert sum(x != y for x, y in zip(moving, moving[1:])) < len(moving) / 3
